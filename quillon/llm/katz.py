@@ -340,7 +340,7 @@ def score(docs: DataFrame, held_one_in: int = 10, id_col: str = "doc_id", text_c
 
     def weigh(part: pd.DataFrame) -> pd.DataFrame:
         sums, asks = part[part["total"].notna()], part[part["doc"].notna()]
-        empty = pd.DataFrame({"chunk": pd.Series(dtype="int64"), "doc": pd.Series(dtype="int64"), "extra": pd.Series(dtype="float64")})
+        empty = pd.DataFrame({"chunk": pd.Series(dtype="int64"), "doc": pd.Series(dtype="object"), "extra": pd.Series(dtype="object")})
         if not len(asks):
             return empty
         joined = lambda rows, name: np.concatenate([np.asarray(x) for x in rows[name]]) if len(rows) else np.zeros(0)
@@ -354,12 +354,17 @@ def score(docs: DataFrame, held_one_in: int = 10, id_col: str = "doc_id", text_c
         at = np.minimum(np.searchsorted(contexts, wanted), max(0, len(contexts) - 1))
         at = np.where(contexts[at] == wanted, at, len(contexts)) if len(contexts) else np.zeros(len(wanted), dtype=np.int64)
         extra = np.log10(alpha[at]) * joined(asks, "times")
-        chunk = np.repeat(asks["chunk"].to_numpy(), [len(x) for x in asks["doc"]])
-        return pd.DataFrame({"chunk": chunk, "doc": joined(asks, "doc").astype(np.int64), "extra": extra}).groupby(["chunk", "doc"], as_index=False).sum()
+        ends = np.cumsum([len(x) for x in asks["doc"]])
+        return pd.DataFrame({"chunk": asks["chunk"], "doc": list(asks["doc"]), "extra": np.split(extra, ends[:-1])})
+
+    def gather(part: pd.DataFrame) -> pd.DataFrame:
+        sums = np.bincount(np.concatenate(part["doc"].to_list()).astype(np.int64), weights=np.concatenate(part["extra"].to_list()))
+        at = np.flatnonzero(sums)
+        return pd.DataFrame({"chunk": part["chunk"].iloc[0], "doc": at, "extra": sums[at]})
 
     weights = (
         scored.filter("bucket >= 0").select("bucket", "chunk", "keys", "total", "mass", "seen", "doc", "times").groupBy("bucket")
-        .applyInPandas(weigh, "chunk long, doc long, extra double").groupBy("chunk", "doc").agg(F.sum("extra").alias("extra"))
+        .applyInPandas(weigh, "chunk long, doc array<long>, extra array<double>").groupBy("chunk").applyInPandas(gather, "chunk long, doc long, extra double")
     )
     texts = scored.filter("bucket < 0").select("chunk", F.posexplode(F.arrays_zip("ids", "held", "n_tokens", "n_known", "base", "score")).alias("doc", "d"))
     return texts.withColumn("doc", F.col("doc").cast("long")).join(weights, ["chunk", "doc"], "left").select(
