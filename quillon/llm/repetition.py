@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-WORDS_AT_ONCE = 1_000_000
+WORDS_AT_ONCE = 500_000
+DOCS_AT_ONCE = 1000
 
 
 def common_prefixes(docs: np.ndarray, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -148,8 +149,10 @@ def judge_docs(docs: DataFrame, rules: Rules | None = None, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = rules.judge(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[c]) for c in COUNTS)], schema.names)
+            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
+                part = batch.slice(at, DOCS_AT_ONCE)
+                found = rules.judge(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(found[c]) for c in COUNTS)], schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -161,6 +164,8 @@ def filter_docs(docs: DataFrame, rules: Rules | None = None, text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(rules.judge(batch.column(place).to_pylist())["kept"]))
+            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
+                part = batch.slice(at, DOCS_AT_ONCE)
+                yield part.filter(pa.array(rules.judge(part.column(place).to_pylist())["kept"]))
 
     return docs.mapInArrow(run, docs.schema)
