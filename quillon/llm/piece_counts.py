@@ -24,8 +24,8 @@ SPACE = "▁"
 PRE_TOKEN = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 LOOSE = re.compile(f"^ | $|  | \n|{SPACE}").search
 BARE = (SPACE, "\n")
-CACHED = 1_500_000
-AT_ONCE = 2_000_000
+CACHED = 1_200_000
+AT_ONCE = 500_000
 NEVER = np.int32(2**31 - 1)
 
 
