@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from .common import Shelf, text_or_empty
 
-CHUNK_BYTES = 24_000_000
+CHUNK_BYTES = 16_000_000
 KEYS_A_BUCKET = 1_500_000
 DISCOUNTED = 5
 KEPT_BACK = 0.001
