@@ -15,7 +15,7 @@ def pearson(x: str, y: str) -> Column:
     a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
     spread = F.stddev_pop(a) * F.stddev_pop(b)
     value = F.try_divide(F.covar_pop(a, b), F.nullif(spread, F.lit(0.0)))
-    return F.when(F.count_if(both) >= 3, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
+    return F.when((F.count_if(both) >= 3) & value.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -39,7 +39,7 @@ def headers(names: Sequence[str | None], rename: bool = False) -> list[str]:
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", strict: bool = True, rename: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Good rows as text, and ragged rows. With ``strict`` any ragged row refuses the file."""
+    """Good rows as text, and ragged rows (the parsed rows are kept, as both are asked of them). With ``strict`` any ragged row refuses the file."""
     first = spark.read.option("sep", sep).option("encoding", encoding).option("header", False).option("multiLine", True).csv(path).limit(1).collect()
     if not first:
         raise Refused("no header row")
@@ -47,7 +47,7 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UT
     schema = T.StructType([*(T.StructField(n, T.StringType()) for n in names), T.StructField("_broken", T.StringType())])
     rows = (
         spark.read.schema(schema).option("sep", sep).option("encoding", encoding).option("header", True).option("enforceSchema", True).option("multiLine", True)
-        .option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").csv(path)
+        .option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").csv(path).persist()
     )
     broken = rows.filter(F.col("_broken").isNotNull())
     if strict and not broken.isEmpty():
@@ -131,6 +131,7 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
             place = 0
             for c in letters:
                 place = place * 26 + ord(c) - 64
+            place = place or max(cells, default=-1) + 2  # a cell without a reference follows the one before
             value, kind = cell.find(f"{space}v"), cell.get("t")
             inline = "".join(t.text or "" for t in cell.iter(f"{space}t"))
             cells[place - 1] = inline if kind == "inlineStr" else None if value is None else shared[int(value.text)] if kind == "s" else value.text
