@@ -218,3 +218,14 @@ def overall_concentration(facts: DataFrame) -> DataFrame:
 def violations(summary: DataFrame) -> DataFrame:
     """Rows of a tier table that break its invariants; none if all is well."""
     return summary.filter((F.col("n1") + F.col("n2") + F.col("n3") != F.col("total")) | (F.col("total") < 0) | (F.col("points") < F.col("total")))
+
+
+def over_ceiling(df: DataFrame, by: str, counted: str, ceiling: int) -> DataFrame:
+    """Distinct values of each group, and whether they are more than there can be."""
+    return df.groupBy(by).agg(F.count_distinct(counted).alias("found")).withColumn("is_over", F.col("found") > ceiling)
+
+
+def missing_figures(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """A row for each column: rows, missing cells and their share; one pass."""
+    parts = [F.struct(F.lit(c).alias("column"), F.count("*").alias("rows"), F.count_if(F.col(c).isNull()).alias("missing")) for c in columns]
+    return df.agg(F.array(*parts).alias("all")).select(F.inline("all")).withColumn("share", F.try_divide("missing", "rows"))

@@ -97,3 +97,23 @@ def clean(df: DataFrame, plan: CleanPlan) -> tuple[DataFrame, DataFrame, DataFra
         return good, rejects, good.limit(0).select(plan.row_id, F.col(plan.row_id).alias("duplicate_of"))
     marked = mark_duplicates(good, plan.duplicates, plan.row_id)
     return marked.filter(F.col("duplicate_of").isNull()).drop("duplicate_of"), rejects, marked.filter(F.col("duplicate_of").isNotNull()).select(plan.row_id, "duplicate_of")
+
+
+def fitting_formats(df: DataFrame, column: str, formats: Sequence[str]) -> DataFrame:
+    """Which stated formats every date-like value fits: ``format, fits``; one pass."""
+    text = squeezed(F.col(column))
+    parts = [F.struct(F.lit(f).alias("format"), F.bool_and(parsed_date(text, f).isNotNull()).alias("fits")) for f in formats]
+    return df.filter(text.isNotNull()).agg(F.array(*parts).alias("all")).select(F.inline("all"))
+
+
+def suggest(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Steps that text columns ask for: ``column, step``; from one pass over all rows."""
+    parts = []
+    for c in columns:
+        text = squeezed(F.col(c))
+        wanted = {
+            "trim": F.bool_or(F.col(c) != text), "fill_missing": F.bool_or(text.isNull()),
+            "to_number": F.bool_and(F.when(text.isNotNull(), parsed_number(text)["reason"].isNull())),
+        }
+        parts += [F.struct(F.lit(c).alias("column"), F.lit(step).alias("step"), w.alias("wanted")) for step, w in wanted.items()]
+    return df.agg(F.array(*parts).alias("all")).select(F.inline("all")).filter("wanted").select("column", "step")

@@ -83,3 +83,11 @@ def require_numeric(df: DataFrame, column: str) -> None:
 def require_columns(df: DataFrame, columns: Sequence[str]) -> None:
     if absent := [c for c in columns if c not in df.columns]:
         raise KeyError(f"no such column: {', '.join(absent)}")
+
+
+def scoped(df: DataFrame, column: str, scope) -> DataFrame:
+    """Only the rows of one scope; a missing scope is refused rather than read as all."""
+    if scope is None:
+        raise ValueError("a scope is required")
+    require_columns(df, [column])
+    return df.filter(F.col(column) == F.lit(scope))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import matching_key
@@ -82,3 +82,14 @@ def longest_suffix(df: DataFrame, host: str, rules: DataFrame) -> DataFrame:
     hosts = df.select(host).distinct().withColumn("suffix", F.explode(suffixes))
     best = hosts.join(rules.select(F.col("domain").alias("suffix"), "rule"), "suffix").groupBy(host).agg(F.max_by("rule", F.length("suffix")).alias("rule"))
     return df.join(best, host, "left")
+
+
+def single_cell(df: DataFrame, test: Column, column: str) -> DataFrame:
+    """One row with the value of the only row that fits; any other number of rows stops the query when it runs."""
+    found = df.filter(test).agg(F.any_value(column).alias("value"), F.count("*").alias("rows_"))
+    return found.select(F.when(F.col("rows_") == 1, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("rows that fit: "), F.col("rows_").cast("string")))).alias("value"))
+
+
+def alias_clashes(aliases: DataFrame, key: Column, target: str) -> DataFrame:
+    """Keys that stand for more than one target: ``alias, targets``."""
+    return aliases.groupBy(key.alias("alias")).agg(F.count_distinct(target).alias("targets")).filter("targets > 1")

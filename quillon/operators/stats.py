@@ -162,3 +162,16 @@ def cluster(df: DataFrame, columns: Sequence[str], most: int = 6, seed: int = 0)
     return max(fits, key=lambda f: ClusteringEvaluator().evaluate(f[1]))
 
 
+def exclusions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Columns that can't be predictors, and why: no value, one value, or another value in every row. One pass."""
+    parts = [F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.count_distinct(c).alias("d"), F.count("*").alias("rows")) for c in columns]
+    why = F.when(F.col("n") == 0, "empty").when(F.col("d") == 1, "constant").when((F.col("d") == F.col("rows")) & (F.col("rows") > 1), "id_like")
+    return df.agg(F.array(*parts).alias("all")).select(F.inline("all")).select("column", why.alias("reason")).filter("reason is not null")
+
+
+def problem_of(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """For each column as a target: regression for numbers with over ten values, else classification."""
+    numeric = {c for c, k in df.dtypes if k in ("int", "bigint", "smallint", "double", "float") or k.startswith("decimal")}
+    parts = [F.struct(F.lit(c).alias("column"), F.count_distinct(c).alias("values"), F.lit(c in numeric).alias("is_number")) for c in columns]
+    kind = F.when(F.col("is_number") & (F.col("values") > 10), "regression").otherwise("classification")
+    return df.agg(F.array(*parts).alias("all")).select(F.inline("all")).select("column", "values", kind.alias("problem"))

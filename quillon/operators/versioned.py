@@ -94,3 +94,35 @@ def resolve(conflicts: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
     good = decisions.filter(F.col("note").isNotNull() & (F.btrim("note") != "") & F.col("resolved_by").isNotNull())
     last = good.groupBy(key).agg(F.max_by("status", "at").alias("decided"))
     return conflicts.join(last, key, "left").withColumn("status", F.when(F.col("status") == "open", F.coalesce("decided", F.lit("open"))).otherwise(F.col("status"))).drop("decided")
+
+
+def rehashed(df: DataFrame, content: str, recorded: str) -> DataFrame:
+    """Stored contents against the digest recorded for them: ``status`` ok, changed or missing."""
+    status = F.when(F.col(content).isNull(), "missing").when(F.sha2(F.col(content).cast("binary"), 256) == F.col(recorded), "ok").otherwise("changed")
+    return df.withColumn("status", status)
+
+
+def rank_changes(before: DataFrame, after: DataFrame, key: str, measure: str) -> DataFrame:
+    """Keys of both whose competition rank by the measure moved: ``was, now``."""
+    place = F.rank().over(Window.orderBy(F.desc(measure)))
+    both = before.select(key, place.alias("was")).join(after.select(key, place.alias("now")), key)
+    return both.filter("was <> now")
+
+
+def close_stuck(runs: DataFrame, is_open: Column, started: str, now: str, most_days: int) -> DataFrame:
+    """Runs still open after so many days are failed, with a reason; all rows stay."""
+    stuck = is_open & (F.datediff(now, started) > most_days)
+    return runs.withColumn("outcome", F.when(stuck, "failed").when(is_open, "running").otherwise("done")).withColumn("reason", F.when(stuck, "STUCK"))
+
+
+def reuse(share: Column, age_days: Column, complete: Column, most_days: int = 365, least: float = 0.5) -> Column:
+    """What to do with a stored table: reuse, refresh, extend or collect anew."""
+    return F.when(share < least, "collect").when(~complete, "extend").when(age_days > most_days, "refresh").otherwise("reuse")
+
+
+def validated(df: DataFrame, event: Sequence[str], slot: str, value: str) -> DataFrame:
+    """Each row with the first reason against it: a repeated row, or a slot that two values claim."""
+    again = F.row_number().over(Window.partitionBy(*event, slot, value).orderBy(slot)) > 1
+    per_slot = Window.partitionBy(*event, slot)
+    clash = F.min(value).over(per_slot) != F.max(value).over(per_slot)
+    return df.select(*event, slot, value, F.when(again, "DUPLICATE").when(clash, "SLOT_CONFLICT").alias("reason"))

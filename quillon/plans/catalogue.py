@@ -950,8 +950,11 @@ def _(t):
 
 
 def queries() -> dict[str, Query]:
+    from quillon.plans import catalogue_rules  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
