@@ -65,8 +65,8 @@ def split_by_hash(df: DataFrame, key: str, test_percent: int = 20, seed: int = 0
     return df.withColumn("is_test", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100)) < test_percent)
 
 
-def preprocess(numeric: Sequence[str], categorical: Sequence[str], most: int = 20) -> list:
-    """Stages: median fill and scaling; indexing with a rest category and one-hot."""
+def preprocess(numeric: Sequence[str], categorical: Sequence[str]) -> list:
+    """Stages: median fill and scaling; indexing with a rest category and one-hot (see ``capped_values`` for long tails)."""
     from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 
     stages: list = []
@@ -78,6 +78,34 @@ def preprocess(numeric: Sequence[str], categorical: Sequence[str], most: int = 2
     return [*stages, VectorAssembler(inputCols=[*(["scaled"] if numeric else []), *[f"{c}_hot" for c in categorical]], outputCol="features")]
 
 
+def capped_values(df: DataFrame, column: str, most: int = 20, rest: str = "other") -> DataFrame:
+    """The ``most`` frequent values (ties by value) stay, nulls take the most frequent one, all others become ``rest``."""
+    top = [r[0] for r in df.filter(F.col(column).isNotNull()).groupBy(column).count().orderBy(F.desc("count"), column).limit(most).collect()]  # ``most`` rows
+    filled = F.coalesce(F.col(column), F.lit(top[0] if top else rest))
+    return df.withColumn(column, F.when(filled.isin(top), filled).otherwise(rest))
+
+
+def time_folds(df: DataFrame, day: str, folds: int = 5) -> DataFrame:
+    """A ``fold`` from 0 by time, cut at even shares of the rows; fold k is tested on models of the folds before it."""
+    number = F.unix_date(F.to_date(day))
+    cuts = df.agg(F.percentile(number, F.array(*[F.lit(k / folds) for k in range(1, folds)])).alias("cuts_"))  # one row
+    return df.crossJoin(cuts).withColumn("fold", F.size(F.filter("cuts_", lambda c: c <= number))).drop("cuts_")
+
+
+def hash_folds(df: DataFrame, key: str, folds: int = 5, seed: int = 0) -> DataFrame:
+    """A ``fold`` from 0 that depends on the key alone."""
+    return df.withColumn("fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)).cast("int"))
+
+
+def forward_scores(df: DataFrame, day: str, label: str, numeric: Sequence[str], name: str = "linear", folds: int = 5, seed: int = 0) -> dict[int, float]:
+    """By fold from 1: the error on it of a model of the folds before it."""
+    from pyspark.ml import Pipeline
+
+    marked = time_folds(df.filter(F.col(label).isNotNull()), day, folds)
+    steps = Pipeline(stages=[*preprocess(numeric, []), estimators("regression", label, seed)[name]])
+    return {k: regression_scores(steps.fit(marked.filter(F.col("fold") < k)).transform(marked.filter(F.col("fold") == k)), label, "prediction").first()["rmse"] for k in range(1, folds)}
+
+
 def estimators(problem: str, label: str, seed: int = 0) -> dict:
     """Named estimators of a problem."""
     if problem == "classification":
@@ -101,7 +129,13 @@ def compare_models(df: DataFrame, key: str, label: str, numeric: Sequence[str],
 
     marked = split_by_hash(df.filter(F.col(label).isNotNull()), key, 20, seed)
     train, test = marked.filter(~F.col("is_test")), marked.filter("is_test")
-    out = {}
+    for c in categorical:
+        top = capped_values(train, c)
+        kept = [r[0] for r in top.select(c).distinct().collect()]  # 21 values at most
+        train, test = top, test.withColumn(c, F.when(F.col(c).isin(kept), F.col(c)).otherwise("other"))
+    guess = train.agg(F.avg(label)).first()[0] if problem == "regression" else train.groupBy(label).count().orderBy(F.desc("count"), label).first()[0]
+    score = regression_scores if problem == "regression" else classification_scores
+    out = {"baseline": {k: float(v) if v is not None else None for k, v in score(test.withColumn("prediction", F.lit(guess).cast("double")), label, "prediction").first().asDict().items()}}
     for name, estimator in estimators(problem, label, seed).items():
         if names and name not in names:
             continue

@@ -39,7 +39,7 @@ def decide(official: Column, agrees: Column, fresher: Column, disputed: Column)
 
 def fingerprint(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """A digest of each group's set of rows. Row digests are summed as numbers first, so no group is gathered."""
-    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]), 256)
+    row = F.sha2(F.to_json(F.array(*[F.col(c).cast("string") for c in columns])), 256)
     parts = [F.sum(F.conv(F.substring(row, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")) for k in range(4)]
     return df.groupBy(*by).agg(F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts], F.count("*").cast("string")), 256).alias("fingerprint"))
 

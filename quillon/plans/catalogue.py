@@ -950,7 +950,7 @@ def _(t):
 
 
 def queries() -> dict[str, Query]:
-    from quillon.plans import catalogue_rules  # noqa: F401  registers its own
+    from quillon.plans import catalogue_rules, catalogue_stores  # noqa: F401  register their own
 
     return dict(_QUERIES)
 

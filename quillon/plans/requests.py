@@ -6,11 +6,13 @@ import hashlib
 import re
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.scalars import canonical_json
+from quillon.functions.scalars import canonical_json, number_tokens
 from quillon.operators import aggregates, filters, stats, windows
+from quillon.operators.cleaning import CleanPlan
+from quillon.operators.versioned import reuse
 
 
 @dataclass(frozen=True)
@@ -132,3 +134,79 @@ def findings(described: DataFrame) -> list[str]:
         if r["distinct"] == 1:
             out.append(f"{r['column']} is constant")
     return out
+
+
+def parse_model(text: str, columns: list[str]) -> dict[str, str]:
+    """``Predict X``, ``Predict X over time using D`` or ``Find groups``."""
+    known = {c.lower(): c for c in columns}
+    plain = re.sub(r"\s+", " ", text.strip().rstrip(".?!"))
+    if plain.lower() == "find groups":
+        return {"task": "cluster"}
+    m = re.fullmatch(r"(?i)predict (.+?)(?: over time using (.+))?", plain)
+    if not m:
+        raise NotUnderstood("the request is not one of the forms")
+    named = [x.lower() for x in (m[1], m[2]) if x]
+    if absent := [x for x in named if x not in known]:
+        raise NotUnderstood(f"no column {', '.join(absent)}")
+    return {"task": "predict", "target": known[named[0]], "split": "time" if m[2] else "hash", "day": known[named[1]] if m[2] else ""}
+
+
+def parse_cleaning(text: str, columns: list[str], row_id: str) -> CleanPlan:
+    """``trim a, b; number c; number d , .; date e yyyy-MM-dd; duplicates a, b``: the shorthand of a cleaning plan."""
+
+    def listed(part: str) -> tuple[str, ...]:
+        names = tuple(x.strip() for x in part.split(","))
+        if absent := [x for x in names if x not in columns]:
+            raise NotUnderstood(f"no column {', '.join(absent)}")
+        return names
+
+    trim, numbers, dates, duplicates = (), {}, {}, ()
+    for step in filter(None, map(str.strip, text.split(";"))):
+        verb, _, rest = step.partition(" ")
+        if verb == "trim":
+            trim += listed(rest)
+        elif verb == "duplicates":
+            duplicates = listed(rest)
+        elif verb == "number":
+            name, *marks = rest.split()
+            thousands, decimal = marks if len(marks) == 2 else ("", ".")
+            numbers[listed(name)[0]] = thousands, decimal
+        elif verb == "date":
+            name, _, form = rest.partition(" ")
+            dates[listed(name)[0]] = form or "yyyy-MM-dd"
+        else:
+            raise NotUnderstood(f"no step {verb}")
+    return CleanPlan(trim, numbers, dates, duplicates, row_id)
+
+
+def cards(df: DataFrame, numbers: list[str]) -> DataFrame:
+    """Cards to show first: rows, then sum and mean of each number, in one pass."""
+    parts = [F.struct(F.lit("rows").alias("card"), F.count("*").cast("double").alias("value"))]
+    for c in numbers:
+        parts += [F.struct(F.lit(f"{c} total").alias("card"), F.sum(c).cast("double").alias("value")), F.struct(F.lit(f"{c} average").alias("card"), F.avg(c).alias("value"))]
+    return df.agg(F.array(*parts).alias("all")).select(F.inline("all"))
+
+
+def cleaning_agrees(before: DataFrame, kept: DataFrame, rejects: DataFrame, duplicates: DataFrame, row_id: str) -> DataFrame:
+    """An independent check of a cleaning: every row is in one of the three outcomes, once, and none came from elsewhere."""
+    parts = [d.select(F.col(row_id).alias("id_"), F.lit(k).alias("outcome_")) for k, d in enumerate((kept, rejects, duplicates))]
+    placed = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("id_").agg(F.count("*").alias("times_"))
+    both = before.select(F.col(row_id).alias("id_"), F.lit(1).alias("was_")).join(placed, "id_", "full_outer")
+    return both.agg(F.count("*").alias("rows"), F.count_if(~((F.col("was_") == 1) & (F.col("times_") == 1)).eqNullSafe(True)).alias("astray"))
+
+
+def number_lock(sentence: Column, figures: Column) -> Column:
+    """The numbers of a sentence that are none of its figures (array of text); an empty array passes."""
+    return F.array_except(number_tokens(sentence), figures)
+
+
+def figures_from_claims(claims: DataFrame, slot: list[str], value: str, project: str) -> DataFrame:
+    """A figure for each slot on which all its claims agree, within one project; else none, and the gap is named."""
+    found = claims.groupBy(*slot).agg(F.min(value).alias("low_"), F.max(value).alias("high_"), F.min(project).alias("first_"), F.max(project).alias("last_"), F.count("*").alias("claims"))
+    gap = F.when(F.col("low_").isNull(), "missing").when(F.col("first_") != F.col("last_"), "projects").when(F.col("low_") != F.col("high_"), "conflict")
+    return found.select(*slot, F.when(gap.isNull(), F.col("low_")).alias("figure"), gap.alias("gap"), "claims")
+
+
+def research(topics: DataFrame, topic: str, share: Column, age_days: Column, complete: Column, most_days: int = 365) -> DataFrame:
+    """The work list of a question: what is reused, refreshed, extended or collected for each topic."""
+    return topics.withColumn("decision", reuse(share, age_days, complete, most_days)).groupBy(topic, "decision").agg(F.count("*").alias("n"))

@@ -11,7 +11,7 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,14 +115,35 @@ def check_archive(data: bytes, members: int = 1000, ratio: int = 200, total: int
     return archive
 
 
+def visible_sheets(archive: zipfile.ZipFile) -> list[str]:
+    """The parts of the sheets that are not hidden, in the workbook's order."""
+    book = ElementTree.fromstring(archive.read("xl/workbook.xml"))
+    links = ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels"))
+    parts = {link.get("Id"): link.get("Target", "") for link in links}
+    shown = [next((v for k, v in s.items() if k.endswith("}id")), "") for s in book.iter() if s.tag.endswith("}sheet") and s.get("state", "visible") == "visible"]
+    found = [parts[i].lstrip("/") if parts[i].startswith("/") else f"xl/{parts[i]}" for i in shown if i in parts]
+    if not found:
+        raise Refused("no sheet is visible")
+    return found
+
+
+def workbook_notes(archive: zipfile.ZipFile) -> dict[str, int]:
+    """What a reader should know: hidden sheets, merged ranges of the sheet read, and whether days count from 1904."""
+    book = ElementTree.fromstring(archive.read("xl/workbook.xml"))
+    sheet = ElementTree.fromstring(archive.read(visible_sheets(archive)[0]))
+    states = [s.get("state", "visible") for s in book.iter() if s.tag.endswith("}sheet")]
+    epoch = [p.get("date1904") in ("1", "true") for p in book.iter() if p.tag.endswith("}workbookPr")]
+    return {"hidden_sheets": sum(s != "visible" for s in states), "merged_ranges": sum(m.tag.endswith("}mergeCell") for m in sheet.iter()), "from_1904": int(any(epoch))}
+
+
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet's cached values as text."""
+    """The first visible sheet's cached values as text."""
     archive = check_archive(_bounded(spark, path))
     space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
     shared = []
     if "xl/sharedStrings.xml" in archive.namelist():
         shared = ["".join(t.text or "" for t in s.iter(f"{space}t")) for s in ElementTree.fromstring(archive.read("xl/sharedStrings.xml")).iter(f"{space}si")]
-    sheet = next(n for n in sorted(archive.namelist()) if n.startswith("xl/worksheets/sheet"))
+    sheet = visible_sheets(archive)[0]
     table = []
     for row in ElementTree.fromstring(archive.read(sheet)).iter(f"{space}row"):
         cells: dict[int, str | None] = {}
@@ -159,6 +180,27 @@ def uniform_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n).orderBy(key)
 
 
+def open_within(df: DataFrame, key: str, whole: int, most: int, sample: int, seed: int = 0) -> tuple[DataFrame, str]:
+    """The table itself up to ``whole`` rows, a uniform sample of it up to ``most``; beyond that it is refused."""
+    rows = df.count()
+    if rows > most:
+        raise Refused("the table is larger than the limit")
+    return (df, "whole") if rows <= whole else (uniform_sample(df, key, sample, seed), "sample")
+
+
+def read_registry(spark: SparkSession, path: str, columns: Sequence[str], rules: dict[str, Column], key: str) -> DataFrame:
+    """A CSV of rules or entries: exactly these columns, every row within every rule, no key twice; else refused."""
+    rows = read_csv(spark, path)[0]
+    if rows.columns != list(columns):
+        raise Refused(f"the columns are not {', '.join(columns)}")
+    broken = rows.select([F.count_if(~F.coalesce(rule, F.lit(False))).alias(name) for name, rule in rules.items()]).first()
+    if named := [name for name in rules if broken[name]]:
+        raise Refused(f"rows break {', '.join(named)}")
+    if not rows.groupBy(key).count().filter("count > 1").isEmpty():
+        raise Refused(f"{key} occurs twice")
+    return rows
+
+
 class _Tables(HTMLParser):
     """Rows of each plain table; nested or merged ones get a reason."""
 
@@ -221,6 +263,36 @@ def html_tables(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return pages.select(id_col, html_col).mapInPandas(run, schema)
 
 
+def chosen_table(tables: DataFrame, index: int | None = None, most: int = 10) -> DataFrame:
+    """One table of each page of ``html_tables``: the one with this index, or the only usable one; else ``reason`` says why none.
+
+    A page has ``most`` tables at most in a choice; beyond that it must be by index.
+    """
+    usable = tables.filter(F.col("reason").isNull())
+    if index is not None:
+        return usable.filter(F.col("table_index") == index).select("page", "table_index", "n_rows", F.lit(None).cast("string").alias("reason"))
+    found = tables.groupBy("page").agg(F.count_if(F.col("reason").isNull()).alias("n"), F.min_by("table_index", F.when(F.col("reason").isNull(), F.col("table_index"))).alias("at"), F.min_by("n_rows", F.when(F.col("reason").isNull(), F.col("table_index"))).alias("rows"))
+    why = F.when(F.col("n") == 0, "NO_TABLE").when(F.col("n") > most, "TOO_MANY").when(F.col("n") > 1, "AMBIGUOUS")
+    return found.select("page", F.when(why.isNull(), F.col("at")).alias("table_index"), F.when(why.isNull(), F.col("rows")).alias("n_rows"), why.alias("reason"))
+
+
+def unwrapped(document: Column) -> Column:
+    """The one list that a JSON envelope holds, as JSON text; null if there is none, several, or no JSON object."""
+    fields = F.from_json(document, "map<string,variant>")
+    lists = F.filter(F.map_values(fields), lambda v: F.schema_of_variant(v).startswith("ARRAY"))
+    return F.when(F.size(lists) == 1, F.to_json(F.get(lists, 0)))
+
+
+def encode_payloads(df: DataFrame, column: str) -> DataFrame:
+    """The inverse of ``decode_payloads``."""
+
+    @F.pandas_udf("string")
+    def deflate(values: pd.Series) -> pd.Series:
+        return values.map(lambda text: None if text is None else zlib.compress(text.encode()).decode("latin-1"))
+
+    return df.withColumn(column, deflate(F.col(column)))
+
+
 def decode_payloads(df: DataFrame, column: str, most: int = 50 * 1024 * 1024) -> DataFrame:
     """Text whose characters are the bytes of a zlib stream, as the text inside; a bounded size each."""
 
