@@ -39,6 +39,24 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def stream_query(name: str, table: str, sql: str):
+    """A query on a table read as a stream; its result is written to a store and read back."""
+
+    def keep(f: Callable) -> Callable:
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            from quillon.sources.store import Store
+            from quillon.streaming.state import written
+
+            path = f"{d}/{table}.parquet"
+            # a stream's path is a folder or a pattern, and a table may be one file
+            return written(f(spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")), Store(spark), name)
+
+        _QUERIES[name], _SQL[name] = run, sql
+        return f
+
+    return keep
+
+
 def facts(t) -> DataFrame:
     return J.star(t("lineitem"), t("orders"), t("customer"), t("nation"), t("part"))
 

@@ -14,10 +14,11 @@ from quillon.operators import cleaning as C
 from quillon.operators import stats as M
 from quillon.operators import versioned as V
 from quillon.plans import requests
-from quillon.plans.catalogue import PRIORITIES, query
+from quillon.plans.catalogue import PRIORITIES, query, stream_query
 from quillon.sources import readers as R
 from quillon.sources import writers as O
 from quillon.sources.store import Store
+from quillon.streaming import state as T
 
 NATIONS = "SELECT CAST(n_nationkey + 1 AS BIGINT) AS row_id, CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation"
 REGION_CSV = "'r_regionkey,r_name' || chr(10) || string_agg(r_regionkey || ',' || r_name || chr(10), '' ORDER BY r_regionkey)"
@@ -330,3 +331,24 @@ def _(t):
 @query("pln11", "SELECT p_brand, decision, count(*) AS n FROM (SELECT p_brand, CASE WHEN p_size < 10 THEN 'collect' WHEN p_brand LIKE '%3' THEN 'extend' WHEN p_size > 36 THEN 'refresh' ELSE 'reuse' END AS decision FROM part) GROUP BY 1, 2")
 def _(t):
     return requests.research(t("part"), "p_brand", F.col("p_size") / 20, F.col("p_size") * 10, ~F.col("p_brand").endswith("3"), 360)
+
+
+# ---- streams ----
+
+
+@stream_query("str01", "events", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS rows FROM events GROUP BY 1, 2")
+def _(events):
+    counts = T.windowed_counts(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type")
+    return counts.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@stream_query("str02", "events", "WITH g AS (SELECT user_id, ts, CAST(coalesce(ts - lag(ts) OVER w > INTERVAL 6 HOUR, true) AS INTEGER) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS \"end\", user_id, count(*) AS rows FROM s GROUP BY user_id, k")
+def _(events):
+    found = T.sessions(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "user_id", "6 hours")
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+@stream_query("str03", "events", "SELECT user_id, arg_max(event_type, struct_pack(t := ts, e := event_id)) AS event_type, arg_max(event_id, struct_pack(t := ts, e := event_id)) AS last FROM events GROUP BY 1")
+def _(events):
+    latest = T.latest_claims(events.withColumn("at", F.struct("ts", "event_id")), "user_id", "at", "event_type")
+    return latest.select("user_id", "event_type", F.col("at.event_id").alias("last"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.sources.store import Store
+
 
 def windowed_counts(events: DataFrame, ts: str, key: str, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """Counts by window and key; a window closes when the watermark passes it."""
@@ -22,3 +24,14 @@ def first_seen(events: DataFrame, ts: str, keys: list[str], late: str = "1 day")
 def latest_claims(claims: DataFrame, slot: str, order: str, value: str) -> DataFrame:
     """The value in force for each slot (complete or update mode)."""
     return claims.groupBy(slot).agg(F.max_by(value, order).alias(value), F.max(order).alias(order))
+
+
+def written(stream: DataFrame, store: Store, name: str) -> DataFrame:
+    """Run a stream of results over all that is there now; each batch replaces the table, so a batch that is run again does no harm."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(store.path(name))
+
+    run = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", store.path(f"{name}-state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return store.table(name) if store.exists(name) else stream.sparkSession.createDataFrame([], stream.schema)

@@ -16,6 +16,7 @@ from quillon.operators import stats as M
 from quillon.operators import windows as W
 from quillon.plans import catalogue, requests
 from quillon.sources import readers, writers
+from quillon.sources.store import Store
 
 
 @pytest.fixture(scope="session")
@@ -79,11 +80,13 @@ def test_xlsx_round_trip(spark, tmp_path):
     assert [tuple(r) for r in back.orderBy("row_id").collect()] == [(1, "1", "'=a"), (2, "2", None)]
 
 
-def test_publish_is_idempotent(tmp_path):
-    where = writers.publish(str(tmp_path), "a", {"x.csv": b"1"})
-    assert writers.publish(str(tmp_path), "a", {"x.csv": b"1"}) == where and writers.verify(str(where))
-    with pytest.raises(FileExistsError):
-        writers.publish(str(tmp_path), "a", {"x.csv": b"2"})
+def test_publish_is_idempotent(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    assert store.publish("a", {"x.csv": b"1"}) and not store.publish("a", {"x.csv": b"1"})
+    assert store.verified("a") == {"x.csv": True}
+    with pytest.raises(readers.Refused):
+        store.publish("a", {"x.csv": b"2"})
+    assert store.names() == ["a"]
 
 
 def test_html_tables():
