@@ -80,19 +80,24 @@ def clean(df: DataFrame, plan: CleanPlan) -> tuple[DataFrame, DataFrame, DataFra
     Every row is in one of the three.
     """
     out = trim_text(df, plan.trim)
+    parsed: list[Column] = []
     checks: list[Column] = []
     values: dict[str, Column] = {}
-    for c, (thousands, decimal) in plan.numbers.items():
-        p = parsed_number(F.col(c), thousands, decimal)
+    for k, (c, (thousands, decimal)) in enumerate(plan.numbers.items()):
+        parsed.append(parsed_number(F.col(c), thousands, decimal).alias(f"n{k}"))
+        p = F.col(f"parsed_.n{k}")
         checks.append(F.when(p["reason"].isNotNull(), F.struct(F.lit(c).alias("column"), F.col(c).alias("original_value"), p["reason"].alias("reason"))))
         values[c] = p["value"]
-    for c, fmt in plan.dates.items():
-        d = parsed_date(F.col(c), fmt)
+    for k, (c, fmt) in enumerate(plan.dates.items()):
+        parsed.append(parsed_date(F.col(c), fmt).alias(f"d{k}"))
+        d = F.col(f"parsed_.d{k}")
         checks.append(F.when(F.col(c).isNotNull() & d.isNull(), F.struct(F.lit(c).alias("column"), F.col(c).alias("original_value"), F.lit("NOT_A_DATE").alias("reason"))))
         values[c] = d
+    if parsed:  # one row each: no filter is moved below a generator, so each value is trimmed and parsed once
+        out = out.select("*", F.explode(F.array(F.struct(*parsed))).alias("parsed_"))
     out = out.withColumn("reject_", F.coalesce(*checks) if checks else F.lit(None).cast("struct<column:string,original_value:string,reason:string>"))
     rejects = out.filter(F.col("reject_").isNotNull()).select(plan.row_id, "reject_.*")
-    good = out.filter(F.col("reject_").isNull()).drop("reject_").withColumns(values)
+    good = out.filter(F.col("reject_").isNull()).withColumns(values).drop("reject_", "parsed_")
     if not plan.duplicates:
         return good, rejects, good.limit(0).select(plan.row_id, F.col(plan.row_id).alias("duplicate_of"))
     marked = mark_duplicates(good, plan.duplicates, plan.row_id)
