@@ -30,6 +30,9 @@ PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
 
 def query(name: str, sql: str | None = None):
+    if name in _QUERIES:
+        raise KeyError(f"{name} is registered twice")
+
     def keep(f: Callable) -> Callable:
         _QUERIES[name] = lambda spark, d: f(lambda t: spark.read.parquet(f"{d}/{t}.parquet"))
         if sql:
@@ -51,6 +54,8 @@ def stream_query(name: str, table: str, sql: str):
             # a stream's path is a folder or a pattern, and a table may be one file
             return written(f(spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")), Store(spark), name)
 
+        if name in _QUERIES:
+            raise KeyError(f"{name} is registered twice")
         _QUERIES[name], _SQL[name] = run, sql
         return f
 

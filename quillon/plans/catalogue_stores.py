@@ -336,19 +336,19 @@ def _(t):
 # ---- streams ----
 
 
-@stream_query("str01", "events", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS rows FROM events GROUP BY 1, 2")
+@stream_query("stream01", "events", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS rows FROM events GROUP BY 1, 2")
 def _(events):
     counts = T.windowed_counts(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type")
     return counts.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@stream_query("str02", "events", "WITH g AS (SELECT user_id, ts, CAST(coalesce(ts - lag(ts) OVER w > INTERVAL 6 HOUR, true) AS INTEGER) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS \"end\", user_id, count(*) AS rows FROM s GROUP BY user_id, k")
+@stream_query("stream02", "events", "WITH g AS (SELECT user_id, ts, CAST(coalesce(ts - lag(ts) OVER w > INTERVAL 6 HOUR, true) AS INTEGER) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS \"end\", user_id, count(*) AS rows FROM s GROUP BY user_id, k")
 def _(events):
     found = T.sessions(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "user_id", "6 hours")
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
-@stream_query("str03", "events", "SELECT user_id, arg_max(event_type, struct_pack(t := ts, e := event_id)) AS event_type, arg_max(event_id, struct_pack(t := ts, e := event_id)) AS last FROM events GROUP BY 1")
+@stream_query("stream03", "events", "SELECT user_id, arg_max(event_type, struct_pack(t := ts, e := event_id)) AS event_type, arg_max(event_id, struct_pack(t := ts, e := event_id)) AS last FROM events GROUP BY 1")
 def _(events):
     latest = T.latest_claims(events.withColumn("at", F.struct("ts", "event_id")), "user_id", "at", "event_type")
     return latest.select("user_id", "event_type", F.col("at.event_id").alias("last"))
