@@ -264,7 +264,11 @@ def near_duplicates(docs: DataFrame, threshold: int = 4, words: int = 4, id_col:
 
 def keep_one(docs: DataFrame, threshold: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of one row of each group: the one with the smallest id (a null id last)."""
-    groups = near_duplicates(docs, threshold, words, id_col, text_col)
+    return one_of_each(docs, near_duplicates(docs, threshold, words, id_col, text_col), id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of the row with the smallest id of each ``root`` of ``groups`` (``doc_id, hash, root``)."""
     shelf = Shelf(docs.sparkSession, "keep")
     marks = shelf.put(groups.groupBy("root", "doc_id", "hash").agg(F.count("*").alias("rows")), "marks")
     first = marks.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("hash"), F.col("rows"))).alias("m"))

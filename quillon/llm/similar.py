@@ -1,0 +1,136 @@
+"""Near copies by exact similarity of word shingles: Jaccard, not an estimate.
+
+The sets of five-word shingles of two texts have similarity ``least`` or more, or they are not linked. Minima of keyed
+hashes of the shingles, four to a band, propose the pairs; a pair of similarity 0.8 shares no band of 24 in three cases of
+a million. Every proposed pair is then compared shingle by shingle. Equal sets are one row. In a band's bucket all are
+first compared with the least of them; what is not linked after that is compared pair by pair, none left out.
+
+Defined results: a null text has no words; texts without words are equal to each other; a text of fewer words than a shingle
+is one shingle; an empty table gives an empty result; extra columns are kept.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import Shelf, components
+from .simhash import one_of_each
+
+BANDS, ROWS = 24, 4
+_RANDOM = np.random.default_rng(42)
+ADDED = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+#: Shingles hashed in one step.
+AT_ONCE = 1 << 12
+
+
+def shingles(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct hashes of the word shingles of a text, in order."""
+    from xxhash import xxh64_intdigest
+
+    split = (text or "").encode().lower().split()
+    joined = b" ".join(split)
+    if len(split) <= words:
+        return np.array([xxh64_intdigest(joined, seed)], dtype=np.uint64)
+    lengths = np.fromiter(map(len, split), dtype=np.int64, count=len(split)) + 1
+    starts = np.cumsum(lengths) - lengths
+    ends = (starts + lengths - 1)[words - 1 :].tolist()
+    found = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[: len(ends)].tolist(), ends, strict=True)], dtype=np.uint64)
+    return np.unique(found)
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """One key for each band."""
+    from xxhash import xxh64_intdigest
+
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(found), AT_ONCE):
+        least = np.minimum(least, ((found[at : at + AT_ONCE, None] ^ ADDED) * FACTORS).min(axis=0))
+    return np.array([xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))], dtype=np.uint64).view(np.int64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two arrays of distinct hashes."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def _marked(rows: DataFrame, words: int) -> DataFrame:
+    """``doc_id, hash, set_`` (one number for equal sets), ``n`` (its size) and ``bands`` of rows ``doc_id, hash, text``."""
+    from xxhash import xxh64_intdigest
+
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("hash", T.LongType()), T.StructField("set_", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t, words) for t in batch.column(2).to_pylist()]
+            sets = np.array([xxh64_intdigest(f.tobytes(), 1) for f in found], dtype=np.uint64).view(np.int64)
+            keys = pa.array([bands(f).tolist() for f in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets), pa.array([len(f) for f in found], pa.int64()), keys], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """``set_, shingles`` (bytes) of rows ``set_, text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t, words).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["set_", "shingles"])
+
+    return texts.mapInArrow(run, "set_ long, shingles binary")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs ``src, dst`` whose sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (batch.column(k).to_pylist() for k in (2, 3))
+            near = [similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= least for a, b in zip(left, right, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["src", "dst"]).filter(pa.array(near, pa.bool_()))
+
+    a, b = (sets.select(F.col("set_").alias(k), F.col("shingles").alias(f"{k}_shingles")) for k in ("src", "dst"))
+    return pairs.join(a, "src").join(b, "dst").select("src", "dst", "src_shingles", "dst_shingles").mapInArrow(run, "src long, dst long")
+
+
+def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, hash`` (of the text) and ``root``, the same for texts that links join."""
+    shelf = Shelf(docs.sparkSession, "similar")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("hash"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    marked = shelf.put(_marked(rows, words), "marked")
+    one = marked.groupBy("set_").agg(F.min("hash").alias("hash"), F.min("n").alias("n"), F.min("bands").alias("bands"))
+    members = shelf.put(one.select("set_", "hash", "n", F.explode("bands").alias("key")), "members")
+    heads = members.groupBy("key").agg(F.min("set_").alias("head"), F.min_by("n", "set_").alias("head_n"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    members = shelf.put(members.join(heads, "key"), "shared")
+    needed = members.groupBy("set_").agg(F.first("hash").alias("hash"))
+    texts = rows.select("hash", "text").join(needed, "hash").select("set_", "text").dropDuplicates(["set_"])
+    sets = shelf.put(_sets(texts, words), "sets")
+
+    fits = lambda a, b: F.least(a, b) >= least * F.greatest(a, b) - 1e-6  # noqa: E731  no similarity is above the ratio of the sizes
+    first = members.filter("set_ <> head").filter(fits("n", "head_n")).select(F.col("head").alias("src"), F.col("set_").alias("dst")).distinct()
+    first = shelf.put(first, "first")
+    edges = shelf.put(_linked(first, sets, least), "links-first")
+    roots = components(edges, Shelf(docs.sparkSession, "similar-first"))
+    placed = members.join(roots.withColumnRenamed("node", "set_"), "set_", "left").select("key", "set_", "head", "n", F.coalesce("root", "set_").alias("root"))
+    placed = shelf.put(placed, "placed")
+    apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    apart = shelf.put(placed.join(apart, "key").filter("set_ <> head"), "apart")  # the head has met all
+    other = apart.select("key", F.col("set_").alias("dst"), F.col("root").alias("other"), F.col("n").alias("other_n"))
+    rest = apart.select("key", F.col("set_").alias("src"), "root", "n").join(other, "key").filter("src < dst and root <> other").filter(fits("n", "other_n")).select("src", "dst").distinct()
+    rest = shelf.put(rest, "rest")
+    more = shelf.put(_linked(rest, sets, least), "links-rest")
+    roots = components(edges.unionByName(more), Shelf(docs.sparkSession, "similar-all"))
+    return marked.select("doc_id", "hash", "set_").join(roots.withColumnRenamed("node", "set_"), "set_", "left").select("doc_id", "hash", F.coalesce("root", "set_").alias("root"))
+
+
+def keep_one(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of one row of each group of near copies: the one with the smallest id (a null id last)."""
+    return one_of_each(docs, near_copies(docs, least, words, id_col, text_col), id_col, text_col)

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillon.llm import byte_bpe, grid_join, katz, packing, piece_counts, pseudonyms, queries, repetition, secrets, sharding, simhash
+from quillon.llm import byte_bpe, grid_join, katz, packing, piece_counts, pseudonyms, queries, repetition, secrets, sharding, simhash, similar
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -306,6 +306,35 @@ def test_pipeline_by_brute_force(spark, sf):
     assert all(used[b] <= size[b] for b in used)
 
 
+def brute_near(texts):
+    """By index: the least index of the group of texts of similarity 0.8 and more over five-word shingles."""
+    sets = []
+    for text in texts:
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    root = list(range(len(sets)))
+    links = [(i, j) for i in root for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for _ in root:
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    return root
+
+
+def test_near_copies_of_the_stage_by_brute_force(spark, some):
+    rnd = random.Random(9)
+    rows = [r["text"] for r in some.collect()]
+    for _ in range(30):  # copies of a text at growing distance, and of these
+        words = [rnd.choice("abcdefghijklmnopqrstuvwxyz") * rnd.randint(1, 9) for _ in range(120)]
+        for k in range(4):
+            rows.append(" ".join(words))
+            for _ in range(k + 1):
+                words[rnd.randrange(120)] = f"new{k}"
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(rows)], SCHEMA)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    root = brute_near(rows)
+    assert kept == {i for i, r in enumerate(root) if i == r}
+
+
 @pytest.mark.parametrize("k", range(3))
 def test_stages_keep_the_columns(spark, sf, k):
     docs = spark.createDataFrame(ODD, SCHEMA)
