@@ -13,12 +13,13 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op1: counts and places of secrets; spans beyond the base are candidates that one owner has."""
-    found = secrets.scan(_documents(spark, sf_dir))
+    """op1: counts and places of secrets; spans beyond the base are candidates of two owners and two repositories at most."""
+    found = secrets.scan(_documents(spark, sf_dir), max_owners=2, max_repos=2)
     count = lambda k: F.expr(f"cast(size(filter(base, m -> m.kind = {k})) as bigint)")
     return found.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.concat("base", "added")).alias("spans"), "n_live", "n_copied",
+        *[F.coalesce(F.array_max(f"spread.{c}"), F.lit(0)).alias(f"most_{c}") for c in ("owners", "repos")],
     )
 
 

@@ -2,8 +2,8 @@
 
 Each text is searched for assignments, access keys and long hex runs (the base), and for further candidates: long tokens of
 mixed letters and digits outside these. Every candidate is hashed, and its hash is counted by distinct repositories and
-owners over the whole corpus. A hash with few owners is a live-looking credential of theirs; one that many have is a widely
-copied example. Further candidates become spans if they look live. The base spans stay in any case.
+owners over the whole corpus. A hash with few owners and few repositories is a live-looking credential of theirs; one with
+more than ``max_owners`` or ``max_repos`` (a repository counts once for each owner) is a widely copied example. Further candidates become spans if they look live. The base spans stay in any case.
 
 Hot values: counting is pre-aggregated by (hash, repository, owner), then by hash; the verdict is joined back on an
 expression of the hash so that both sides are shuffled and an oversized partition can be split at run time.
@@ -42,8 +42,9 @@ def candidates(text: str) -> tuple[Column, Column]:
     return base, _kind(matches(text, TOKEN), 3)
 
 
-def scan(docs: DataFrame, max_owners: int = 1, repo_cols: tuple[str, ...] = ("source", "lang"), owner_cols: tuple[str, ...] = ("source",), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row: ``doc_id, hash_, base, added`` (arrays of spans), ``n_live, n_copied`` (candidates by verdict)."""
+def scan(docs: DataFrame, max_owners: int = 1, max_repos: int | None = 2, repo_cols: tuple[str, ...] = ("source", "lang"), owner_cols: tuple[str, ...] = ("source",), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row: ``doc_id, hash_, base, added`` (arrays of spans), ``n_live, n_copied`` (candidates by verdict), ``spread``
+    (hash, owners and repositories of each candidate). ``max_repos`` None: owners alone decide."""
     shelf = Shelf(docs.sparkSession, "secrets")
     base, more = candidates("text")
     found = shelf.put(
@@ -62,20 +63,23 @@ def scan(docs: DataFrame, max_owners: int = 1, repo_cols: tuple[str, ...] = ("so
     owned = each.groupBy("hash", "repo", "owner").agg(F.count("*").alias("docs"))
     by_repo = owned.groupBy("hash", "owner").agg(F.count("*").alias("repos"))
     verdict = by_repo.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos")).select(
-        F.reverse("hash").alias("key"), (F.col("owners") <= max_owners).alias("live")
+        F.reverse("hash").alias("key"), "owners", "repos",
+        ((F.col("owners") <= max_owners) & (F.lit(True) if max_repos is None else F.col("repos") <= max_repos)).alias("live"),
     )
     judged = each.withColumn("key", F.reverse("hash")).join(verdict, "key").groupBy("doc_id", "hash_").agg(
-        F.collect_set(F.when(F.col("live"), F.col("hash"))).alias("live"), F.collect_set(F.when(~F.col("live"), F.col("hash"))).alias("copied")
+        F.collect_set(F.when(F.col("live"), F.col("hash"))).alias("live"), F.collect_set(F.when(~F.col("live"), F.col("hash"))).alias("copied"),
+        F.collect_set(F.struct("hash", "owners", "repos")).alias("spread"),
     )
-    judged = judged.select(F.col("doc_id").alias("id_"), F.col("hash_").alias("of_"), "live", "copied")
+    judged = judged.select(F.col("doc_id").alias("id_"), F.col("hash_").alias("of_"), "live", "copied", F.array_sort("spread").alias("spread"))
     joined = found.join(judged, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("hash_") == F.col("of_")), "left")
     none = F.expr("cast(array() as array<string>)")
     joined = joined.withColumn("live", F.coalesce("live", none)).withColumn("copied", F.coalesce("copied", none))
+    joined = joined.withColumn("spread", F.coalesce("spread", F.expr("cast(array() as array<struct<hash: string, owners: bigint, repos: bigint>>)")))
     return joined.select(
         "doc_id", "hash_", "base",
         F.expr("filter(more, m -> array_contains(live, m.hash))").alias("added"),
         F.expr("size(filter(concat(base, more), m -> array_contains(live, m.hash)))").cast("long").alias("n_live"),
-        F.expr("size(filter(concat(base, more), m -> array_contains(copied, m.hash)))").cast("long").alias("n_copied"),
+        F.expr("size(filter(concat(base, more), m -> array_contains(copied, m.hash)))").cast("long").alias("n_copied"), "spread",
     )
 
 

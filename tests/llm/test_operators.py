@@ -90,6 +90,16 @@ def test_redaction(spark):
     assert [r["text"] for r in rows] == ['é [SECRET]" and [SECRET] end', None, "clean"]
 
 
+def test_spread_over_owners_and_repositories(spark, sf):
+    two, hot, many = "zQ9xw8ZZk2m1PPq0aT7u", "qW3er5tY7uI9oP1aS2dF", "mN4bv6cX8zL0kJ2hG3fD"
+    rows = [(1, two, "en", "s1"), (2, two, "en", "s2"), *((3 + k, hot, x, "s1") for k, x in enumerate("abc")), *((6 + k, many, "en", f"s{k}") for k in range(3))]
+    docs = spark.createDataFrame([(i, f"see {t} end", x, s, 1) for i, t, x, s in rows], SCHEMA)
+    found = {r["doc_id"]: (len(r["added"]), *r["spread"][0][1:]) for r in secrets.scan(docs, max_owners=2, max_repos=2).collect()}
+    assert found == {1: (1, 2, 2), 2: (1, 2, 2), **dict.fromkeys((3, 4, 5), (0, 1, 3)), **dict.fromkeys((6, 7, 8), (0, 3, 3))}
+    clean = {r["doc_id"]: r["text"] for r in corpus_pipeline.secret_scan(spark, docs, sf).collect()}
+    assert clean == {**dict.fromkeys(range(1, 6), "see [SECRET] end"), **dict.fromkeys((6, 7, 8), f"see {many} end")}
+
+
 def test_shards(some):
     rows = sharding.shard(some, 7).collect()
     by = collections.defaultdict(list)
