@@ -100,6 +100,12 @@ def test_spread_over_owners_and_repositories(spark, sf):
     assert clean == {**dict.fromkeys(range(1, 6), "see [SECRET] end"), **dict.fromkeys((6, 7, 8), f"see {many} end")}
 
 
+def test_tokens_whose_first_digit_or_letter_comes_late(spark):
+    rows = [(1, "k " + "aB" * 50 + "7", "en", "s1", 1), (2, "k " + "1+" * 50 + "z", "en", "s2", 1), (3, "k " + "aB" * 50, "en", "s3", 1)]
+    found = {r["doc_id"]: [(m["start"], m["end"]) for m in r["added"]] for r in secrets.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {1: [(2, 103)], 2: [(2, 103)], 3: []}
+
+
 def test_shards(some):
     rows = sharding.shard(some, 7).collect()
     by = collections.defaultdict(list)
