@@ -16,12 +16,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
-from .spans import matches
+from .spans import matches, quoted
 
 #: The formats.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
-PHONE = r"(?<![0-9+])\+?1[ -]?\([2-9][0-9]{2}\) ?[2-9][0-9]{2}-[0-9]{4}(?![0-9])"
+#: Three, three and four digits with or without a country code, or a plus sign and 7 digits and more in groups.
+PHONE = (
+    r"(?<![0-9+])(?<![0-9][.-])(?:(?:\+[1-9][0-9]{0,2}[ .-]?|1[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+    r"|\+[1-9](?=(?:[ .()-]{0,2}[0-9]){6})(?:[0-9]{6,14}|[0-9]{0,2}(?:[ .-]?\([0-9]{1,4}\)|[ .-][0-9]{1,4}){1}(?:[ .-][0-9]{2,4}|(?<=\))[0-9]{2,4}){1,3}))(?![0-9]|[.-][0-9])"
+)
+#: The digits of a phone number that stay.
+CODE = r"^(?:\+[0-9]{1,3}(?![0-9])|\+[0-9]|1(?=[^0-9]))"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 DATE = r"(?<![0-9-])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9-])"
 CARD = r"(?<![0-9])(?:[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![0-9])"
@@ -64,8 +70,8 @@ def kind_of(value: str) -> str:
     digits = f"regexp_replace({value}, '[^0-9]', '')"
     return (
         f"case when {value} like '%@%' then 0 "
-        f"when {value} rlike '^[0-9]{{1,3}}[.]' then if(forall(split({value}, '[.]'), o -> cast(o as int) <= 255), 1, -1) "
-        f"when {value} like '%(%' then 2 "
+        f"when {value} rlike '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$' then if(forall(split({value}, '[.]'), o -> cast(o as int) <= 255), 1, -1) "
+        f"when {value} rlike {quoted('^(?:' + PHONE + ')$')} then 2 "
         f"when {value} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then if({value} rlike '^(?!000|666|9)[0-9]{{3}}-(?!00)[0-9]{{2}}-(?!0000)', 3, -1) "
         f"when {value} rlike '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$' then if(try_to_date({value}, 'yyyy-MM-dd') is not null, 4, -1) "
         f"when {_let('d', digits, _luhn('d') + ' % 10 = 0')} then 5 else -1 end"
@@ -78,10 +84,17 @@ def pseudonym(value: str, kind: str, key: int) -> str:
     octets = f"aggregate(split({value}, '[.]'), 0L, (t, o) -> t * 256 + cast(o as bigint))"
     ip = _let("p", permuted("n", "65536L", "65536L", key, 1), "concat_ws('.', p div 16777216, (p div 65536) % 256, (p div 256) % 256, p % 256)")
     ip = _let("n", octets, ip)
-    national = f"cast(right(regexp_replace({value}, '[^0-9]', ''), 10) as bigint)"
-    plan = "((n div 10000000 - 200) * 800 + (n div 10000) % 1000 - 200) * 10000 + n % 10000"
-    phone = _let("p", permuted(plan, "80000L", "80000L", key, 2), _let("d", "concat('1', (p div 8000000) + 200, (p div 10000) % 800 + 200, lpad(p % 10000, 4, '0'))", _refilled(value, "d")))
-    phone = _let("n", national, phone)
+    # a phone: the country code stays; of ten further digits, area and exchange from 200 on stay so, and those below stay below
+    code = f"regexp_replace(regexp_extract({value}, {quoted(CODE)}, 0), '[^0-9]', '')"
+    plan = "((n div 10000000 - (a - 200) div 3) * b + (n div 10000) % 1000 - (b - 200) div 3) * 10000 + n % 10000"
+    ten = "concat(lpad(p div (b * 10000) + (a - 200) div 3, 3, '0'), lpad((p div 10000) % b + (b - 200) div 3, 3, '0'), lpad(p % 10000, 4, '0'))"
+    ten = _let("p", permuted(plan, "a * 100", "b * 100", key, 2), ten)
+    ten = _let("a", "if(n div 10000000 >= 200, 800L, 200L)", _let("b", "if((n div 10000) % 1000 >= 200, 800L, 200L)", ten))
+    other = f"lpad({permuted('n', 'a', 'b', key, 2)}, length(d), '0')"
+    other = _let("a", "cast(pow(10, length(d) div 2) as bigint)", _let("b", "cast(pow(10, length(d) - length(d) div 2) as bigint)", other))
+    phone = _let("n", "cast(d as bigint)", f"if(length(d) = 10, {ten}, {other})")
+    phone = _let("d", f"substring(regexp_replace({value}, '[^0-9]', ''), length(c) + 1)", _let("moved", phone, _let("e", "concat(c, moved)", _refilled(value, "e"))))
+    phone = _let("c", code, phone)
     area = f"cast(substring({value}, 1, 3) as bigint)"
     social = f"((if({area} > 666, {area} - 2, {area} - 1) * 99 + cast(substring({value}, 5, 2) as bigint) - 1) * 9999 + cast(substring({value}, 8, 4) as bigint) - 1)"
     ssn = _let(

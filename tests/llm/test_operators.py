@@ -226,6 +226,17 @@ def test_pseudonyms(spark):
     assert all(0 <= int(o) <= 255 for o in new[5].split(".")) and re.fullmatch(r"\d{3}-\d\d-\d{4}", new[7]) and re.fullmatch(r"(19|20|21)\d\d-\d\d-\d\d", new[8])
 
 
+def test_phones_by_shape(spark):
+    shapes = ["+1 (017) 555-7713", "212-555-0199", "(212) 555-0199", "+1-212-555-0199", "1.212.555.0199", "+12125550199", "+44 20 7946 0958", "+49 (30) 123 4567", "212.555.0199"]
+    rows = pseudonyms.pseudonymise(spark.createDataFrame([(i, f"call {s} now") for i, s in enumerate(shapes)], "doc_id long, text string")).orderBy("doc_id").collect()
+    new = [r["text"].removeprefix("call ").removesuffix(" now") for r in rows]
+    assert [[m["kind"] for m in r["pii_"]] for r in rows] == [[2]] * len(shapes)
+    assert all(a != b and re.sub("[0-9]", "0", a) == re.sub("[0-9]", "0", b) for a, b in zip(new, shapes, strict=True))
+    assert len({re.sub("[^0-9]", "", new[k])[-10:] for k in (1, 2, 3, 4, 5, 8)}) == 1 and new[6].startswith("+44 ") and new[7].startswith("+49 (")
+    values = spark.range(20_000).selectExpr("concat('+1 (', lpad(id % 1000, 3, '0'), ') ', lpad(id * 7 % 1000, 3, '0'), '-', lpad(id, 4 + int(id > 9999), '0')) as v").filter("length(v) = 17")
+    assert values.selectExpr(f"{pseudonyms.pseudonym('v', '2', 9)} as p").distinct().count() == values.count()
+
+
 def test_social_numbers_stay_apart(spark):
     values = spark.range(20_000).selectExpr("concat_ws('-', lpad(1 + id % 665, 3, '0'), lpad(1 + id % 99, 2, '0'), lpad(1 + id % 9999, 4, '0')) as v").distinct()
     assert values.selectExpr(f"{pseudonyms.pseudonym('v', '3', 9)} as p").distinct().count() == values.count()
