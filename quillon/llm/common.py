@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -13,11 +14,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that every executor sees: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that every executor sees: ``spark.checkpoint.dir``; one of our own only where a local session has none."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         if not context.getCheckpointDir():
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")
@@ -57,8 +60,13 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
+def packed_row(docs: DataFrame, **keys: Column) -> DataFrame:
+    """All columns as one struct ``row``, so that none can clash with the named keys beside it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[v.alias(k) for k, v in keys.items()])
+
+
 def text_or_empty(column: str = "text") -> Column:
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
 
 def components(edges: DataFrame, shelf: Shelf) -> DataFrame:

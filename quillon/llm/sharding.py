@@ -3,8 +3,10 @@
 Row ``r`` of ``n`` moves to place ``p = permute(r)``; its shard is ``p mod shards`` and its slot ``p div shards``. Both can
 be computed from the row number alone, and shard sizes differ by one at most (law ``rows``).
 
-Defined results: a null text has no bytes (its crc is 0); a null id is a value like any other; wholly equal rows get
-different numbers and are interchangeable; an empty table gives an empty result; extra columns are ignored.
+Rows that agree in id, size, checksum and hash of the text are interchangeable: each gets its own number.
+
+Defined results: a null text has no bytes (its crc is 0); a null id is a value like any other; equal rows get
+different numbers; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ from .common import Shelf
 ROUNDS = 8
 ROWS_A_BUCKET = 100_000
 LEAST_BUCKETS = 4096
-SPREAD = 64
 
 
 def radices(n: int) -> tuple[int, int]:
@@ -58,25 +59,30 @@ def permute(row_number: str, n: int, key: int, passes: int) -> Column:
 
 
 def number_rows(rows: DataFrame, keys: list[str], shelf: Shelf) -> tuple[DataFrame, int]:
-    """Dense global numbers from 0, in the order of a hash bucket and then of ``keys``; also the number of rows.
+    """``rows`` with a dense global number from 0 (``row_``), in the order of a hash bucket and then of ``keys``; also how many.
 
-    ``rows`` is a written table. Buckets are of bounded size; only one count a bucket is summed in one place.
+    Equal rows are one row with their count until they are numbered: the count is dealt over runs of ``ROWS_A_BUCKET`` at most
+    and each run is numbered by arithmetic, so no number depends on how the input is partitioned. Buckets follow the number of
+    rows; only one sum a bucket comes together in one place.
     """
-    n = rows.count()
+    counted = shelf.put(rows.groupBy(*keys).agg(F.count("*").alias("times_")), "counted")
+    n = counted.agg(F.sum("times_")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-n // ROWS_A_BUCKET))
-    rows = shelf.put(
-        rows.withColumn("bucket_", F.pmod(F.xxhash64(*keys, F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)) * F.col("repeat_").cast("long")), F.lit(buckets))),
-        "bucketed",
-    )
+    bucketed = counted.withColumn("bucket_", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
     before = Window.orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("bucket_").agg(F.count("*").alias("in_")).select(
+    offsets = bucketed.groupBy("bucket_").agg(F.sum("times_").alias("in_")).select(
         F.col("bucket_").alias("of_"), F.coalesce(F.sum("in_").over(before), F.lit(0)).alias("offset_")
     )
-    within = Window.partitionBy("bucket_").orderBy(*keys)
-    numbered = rows.withColumn("row_", F.row_number().over(within) - 1).join(
-        F.broadcast(counts), F.col("bucket_") == F.col("of_")
-    )  # as many counts as buckets: 4096, or one for 100,000 rows
-    return numbered.withColumn("row_", F.col("row_") + F.col("offset_")).drop("bucket_", "of_", "offset_"), n
+    within = Window.partitionBy("bucket_").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    first = bucketed.withColumn("first_", F.coalesce(F.sum("times_").over(within), F.lit(0))).join(offsets, F.col("bucket_") == F.col("of_"))
+    first = shelf.put(first.select(*keys, "times_", (F.col("first_") + F.col("offset_")).alias("first_")), "first")
+    shelf.drop("counted")
+    once = first.filter("times_ = 1").select(*keys, F.col("first_").alias("row_"))
+    often = first.filter("times_ > 1").withColumn("run_", F.explode(F.expr(f"sequence(0L, (times_ - 1) div {ROWS_A_BUCKET})")))
+    often = often.repartition(*keys, "run_").withColumn(
+        "row_", F.explode(F.expr(f"sequence(first_ + run_ * {ROWS_A_BUCKET}, first_ + least(times_, (run_ + 1) * {ROWS_A_BUCKET}) - 1)"))
+    )
+    return once.unionByName(often.select(*keys, "row_")), n
 
 
 def shard(docs: DataFrame, shards: int = 40, key: int = 20_231, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,16 +96,8 @@ def shard(docs: DataFrame, shards: int = 40, key: int = 20_231, id_col: str = "d
         (F.octet_length(whole) + 16).cast("long").alias("size"),
         F.crc32(whole.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("hash_"),
-        F.lit(0).alias("repeat_"),
     )
-    rows = shelf.put(narrow, "rows")
-    keys = ["doc_id", "hash_", "size", "text_crc32"]
-    often = rows.groupBy(*keys).count().filter(F.col("count") > ROWS_A_BUCKET).drop("count")
-    if not often.isEmpty():  # rows repeated beyond a bucket's size are spread over several
-        marked = often.select(*[F.col(k).alias(f"{k}_o") for k in keys], F.lit(1).alias("many_"))
-        on = [F.col(k).eqNullSafe(F.col(f"{k}_o")) for k in keys]
-        rows = rows.join(marked, on, "left").select(*keys, F.coalesce("many_", F.lit(0)).alias("repeat_"))
-    numbered, n = number_rows(rows, keys, shelf)
+    numbered, n = number_rows(narrow, ["doc_id", "hash_", "size", "text_crc32"], shelf)
     if n == 0:
         placed = numbered.withColumn("place_", F.col("row_").cast("long"))
     else:
