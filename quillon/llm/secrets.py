@@ -8,6 +8,9 @@ more than ``max_owners`` or ``max_repos`` (a repository counts once for each own
 Hot values: counting is pre-aggregated by (hash, repository, owner), then by hash; the verdict is joined back on an
 expression of the hash so that both sides are shuffled and an oversized partition can be split at run time.
 
+Which columns name an owner and a repository is the caller's to say (``owner_cols``, ``repo_cols``): without better ones, a
+``source`` owns, and its texts of one ``lang`` are a repository of it. A column that the table lacks counts as null throughout.
+
 Defined results: a null text counts as an empty one; null owners or repositories count as one more value each; a null id is
 kept as it is; repeated rows give repeated results; an empty table gives an empty result; extra columns are ignored.
 """
@@ -17,8 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf, text_or_empty
-from .spans import matches
+from .common import Shelf, packed_row, text_or_empty
+from .spans import matches, outside, quoted, replaced
 
 #: The base patterns and the least lengths of what they must hold.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -26,9 +29,12 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 LEAST_VALUE = 6
 KINDS = ("assign", "access", "hex", "token")
-#: Further candidates: runs of 20 and more with letters and digits.
+#: Further candidates: runs of 20 and more with letters and digits, that are no path or slug: between slashes, dashes and low lines, one part
+#: of 16 and more has both.
 TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
 
+LIVE = r"(?<![A-Za-z0-9+=])(?=[A-Za-z+=]*+[0-9])(?=[0-9+=]*+[A-Za-z])[A-Za-z0-9+=]{16,}"
+
 
 def _kind(found: Column, order: int) -> Column:
     return F.transform(found, lambda m: F.struct(
@@ -39,7 +45,7 @@ def candidates(text: str) -> tuple[Column, Column]:
     """Two arrays of structs ``start, kind, end, hash``: the base spans, and all further candidates outside them."""
     assign = F.filter(matches(text, ASSIGN, 2), lambda m: F.length(m["value"]) >= LEAST_VALUE)
     base = F.array_sort(F.concat(_kind(assign, 0), _kind(matches(text, ACCESS), 1), _kind(matches(text, HEX), 2)))
-    return base, _kind(matches(text, TOKEN), 3)
+    return base, _kind(F.filter(matches(text, TOKEN), lambda m: m["value"].rlike(LIVE)), 3)
 
 
 def scan(docs: DataFrame, max_owners: int = 1, max_repos: int | None = 2, repo_cols: tuple[str, ...] = ("source", "lang"), owner_cols: tuple[str, ...] = ("source",), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -47,14 +53,14 @@ def scan(docs: DataFrame, max_owners: int = 1, max_repos: int | None = 2, repo_c
     (hash, owners and repositories of each candidate). ``max_repos`` None: owners alone decide."""
     shelf = Shelf(docs.sparkSession, "secrets")
     base, more = candidates("text")
+    of = lambda c: F.col(f"`{c}`").cast("string") if c in docs.columns else F.lit(None).cast("string")
     found = shelf.put(
         docs.select(
-            F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"),
-            F.to_json(F.array(*[F.col(c).cast("string") for c in repo_cols])).alias("repo"),
-            F.to_json(F.array(*[F.col(c).cast("string") for c in owner_cols])).alias("owner"),
+            F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("text"),
+            F.to_json(F.array(*map(of, repo_cols))).alias("repo"), F.to_json(F.array(*map(of, owner_cols))).alias("owner"),
         )
         .select("doc_id", F.xxhash64("text").alias("hash_"), "repo", "owner", base.alias("base"), more.alias("more"))
-        .withColumn("more", F.expr("filter(more, m -> not exists(base, b -> b.start < m.end and m.start < b.end))")),
+        .withColumn("more", F.expr(outside("more", "base"))),
         "found",
     )
     each = found.filter("size(base) + size(more) > 0").select(
@@ -93,14 +99,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text", id_c
     """All rows and columns, every span of the scan replaced in the text by ``mark``; overlapping spans are one."""
     spans = scan(docs, id_col=id_col, text_col=text_col, **how)
     spans = spans.filter("size(base) + size(added) > 0").select(
-        F.col("doc_id").alias("id__"), F.col("hash_").alias("of__"), F.array_sort(F.expr("transform(concat(base, added), m -> named_struct('start', m.start, 'end', m.end))")).alias("spans__")
-    ).dropDuplicates(["id__", "of__"])
-    join = F.col(f"`{id_col}`").eqNullSafe(F.col("id__")) & (F.xxhash64(text_or_empty(text_col)) == F.col("of__"))
-    start = "named_struct('at', 0L, 'out', cast(array() as array<string>))"
-    step = (
-        "named_struct('at', greatest(s.at, m.end), 'out', if(m.start < s.at, s.out, "
-        f"concat(s.out, array(substring(`{text_col}`, cast(s.at + 1 as int), cast(m.start - s.at as int)), '{mark}'))))"
-    )
-    clean = f"aggregate(spans__, {start}, (s, m) -> {step}, s -> concat(array_join(s.out, ''), substring(`{text_col}`, cast(s.at + 1 as int))))"
-    out = docs.join(spans, join, "left").withColumn(text_col, F.expr(f"if(spans__ is null, `{text_col}`, {clean})"))
-    return out.drop("id__", "of__", "spans__")
+        F.col("doc_id").alias("id_b"), F.col("hash_").alias("of_b"), F.array_sort(F.expr("transform(concat(base, added), m -> named_struct('start', m.start, 'end', m.end))")).alias("spans")
+    ).dropDuplicates(["id_b", "of_b"])
+    rows = packed_row(docs, id_a=F.col(f"`{id_col}`"), of_a=F.xxhash64(text_or_empty(text_col)))
+    clean = F.expr(f"if(spans is null, row.`{text_col}`, {replaced(f'row.`{text_col}`', 'spans', quoted(mark))})")
+    out = rows.join(spans, F.col("id_a").eqNullSafe(F.col("id_b")) & (F.col("of_a") == F.col("of_b")), "left")
+    return out.select(*[clean.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

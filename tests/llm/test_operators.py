@@ -372,3 +372,40 @@ def test_stages_keep_the_columns(spark, sf, k):
 
 def test_registered():
     assert len(queries.QUERIES) == 10
+
+
+def test_equal_rows_beyond_a_run_keep_all_numbers(spark):
+    few = spark.range(2001).select("id", F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    docs = few.union(spark.range(300_000).select(F.lit(-1).cast("long"), F.lit("the same")))
+    found = []
+    for parts in (1, 7):
+        rows = sharding.shard(docs.repartition(parts).withColumnRenamed("id", "doc_id"), 7)
+        found.append({(r["doc_id"], r["shard"], r["slot"]) for r in rows.collect()})
+    assert found[0] == found[1] and len(found[0]) == 302_001
+
+
+def test_secret_verdicts_by_brute_force(spark):
+    """Candidates, owners and repositories counted in Python over a corpus in which the method adds spans."""
+    rnd = random.Random(11)
+    letters = "abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789"
+    tokens = ["k9" + "".join(rnd.choice(letters) for _ in range(rnd.randint(18, 60))) for _ in range(60)]
+    tokens += ["/usr/lib/python3/dist-packages/x", "some-long-slug-of-2024-and-more", "token = " + tokens[0], "a" * 40]
+    rows = [(i, " ".join(rnd.choice(tokens) if rnd.random() < 0.2 else "word" for _ in range(rnd.randint(0, 30))), rnd.choice(["en", "de"]), f"s{rnd.randint(0, 9)}", 1) for i in range(150)]
+    run, live = re.compile(r"[A-Za-z0-9+/_=-]{20,}"), re.compile(r"[A-Za-z0-9+=]{16,}")
+    owners, repos, spans = collections.defaultdict(set), collections.defaultdict(set), {}
+    for i, text, lang, source, _ in rows:
+        base = [tuple(map(int, b.split(":")[1:])) for b in brute_base(text).split(",") if b]
+        more = [(m.start(), m.end(), m[0]) for m in run.finditer(text) if any(re.search("[0-9]", p) and re.search("[A-Za-z]", p) for p in live.findall(m[0]))]
+        spans[i] = [m for m in more if not any(a < m[1] and m[0] < b for a, b in base)]
+        for *_, token in spans[i]:
+            owners[token].add(source), repos[token].add((source, lang))
+    want = {i: [(a, b) for a, b, t in s if len(owners[t]) <= 2 and len(repos[t]) <= 2] for i, s in spans.items()}
+    got = {r["doc_id"]: [(m["start"], m["end"]) for m in r["added"]] for r in secrets.scan(spark.createDataFrame(rows, SCHEMA), max_owners=2, max_repos=2).collect()}
+    assert got == want and any(want.values()) and any(len(spans[i]) > len(want[i]) for i in want)
+
+
+def test_many_spans_and_clashing_names(spark):
+    text = "é " + " ".join(f"token=abcdef{k:06d} 🙂" for k in range(100_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("id__", "of__", "spans__", "spans", "row", "id_a", "of_b", "base", "added")})
+    out = secrets.redact(docs).first()
+    assert out["text"] == re.sub("token=abcdef[0-9]{6}", "[SECRET]", text) and out["spans"] == out["row"] == "clash"
