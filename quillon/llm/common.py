@@ -65,6 +65,13 @@ def packed_row(docs: DataFrame, **keys: Column) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[v.alias(k) for k, v in keys.items()])
 
 
+def unused(name: str, docs: DataFrame) -> str:
+    """The name, with low lines added until no column has it (Spark's names don't tell upper from lower case)."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
