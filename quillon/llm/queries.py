@@ -12,6 +12,14 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def piece_counter():
+    """Token counts of the piece vocabulary for rows ``doc_id, text``."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return lambda rows: piece_counts.count_tokens(rows, path, 4096)
+
+
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: counts and places of secrets; spans beyond the base are candidates of two owners and two repositories at most."""
     found = secrets.scan(_documents(spark, sf_dir), max_owners=2, max_repos=2)
@@ -40,18 +48,16 @@ def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: tokens of the piece vocabulary."""
-    import public_tokenizers
-
-    return piece_counts.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), 4096)
+    return piece_counter()(_documents(spark, sf_dir))
 
 
 def pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: personal data by kind, its places and pseudonyms, and the digest of the text with these in place."""
-    found = pseudonyms.pseudonymise(_documents(spark, sf_dir))
+    found = pseudonyms.pseudonymise(_documents(spark, sf_dir), key="of this registered query only")
     kinds = F.array(*map(F.lit, pseudonyms.KINDS))
     listed = F.array_join(F.transform("pii_", lambda m: F.concat_ws(":", kinds[m["kind"]], m["start"].cast("string"), m["end"].cast("string"))), ",")
     counts = [F.expr(f"cast(size(filter(pii_, m -> m.kind = {k})) as bigint)").alias(f"n_{name}") for k, name in enumerate(pseudonyms.KINDS)]
-    return found.select("doc_id", *counts, listed.alias("spans"), F.array_join(F.col("pii_.pseudonym"), ",").alias("pseudonyms"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("clean_sha256"))
+    return found.select("doc_id", F.size("pii_").cast("long").alias("n_found"), *counts, listed.alias("spans"), F.array_join(F.col("pii_.pseudonym"), ",").alias("pseudonyms"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("clean_sha256"))
 
 
 def bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +68,8 @@ def bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op8: every document's pieces with their training row, place in it and its length."""
-    return packing.pack_docs(_documents(spark, sf_dir))
+    """op8: every document's pieces, in tokens of the piece vocabulary, with their training row, place in it and its length."""
+    return packing.pack_docs(_documents(spark, sf_dir), piece_counter())
 
 
 def katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
