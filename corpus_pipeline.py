@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import packing, repetition, secrets, similar
 from quillon.llm.common import Shelf
+from quillon.llm.queries import piece_counter
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +30,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces with their training row."""
-    return packing.pack_docs(docs)
+    """Every document's pieces, in tokens, with their training row."""
+    return packing.pack_docs(docs, piece_counter())
 
 
 STAGES = [("quality_rules", quality), ("simhash_near_dedup", near_duplicates), ("secret_scan", secret_scan), ("best_fit_packing", pack)]
