@@ -26,8 +26,8 @@ WORDS_AT_ONCE = 500_000
 DOCS_AT_ONCE = 1000
 
 
-def common_prefixes(docs: np.ndarray, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each place, how many words from there on occur again elsewhere in its document.
+def common_prefixes(docs: np.ndarray, words: np.ndarray, ends: np.ndarray, least: int = 1) -> np.ndarray:
+    """For each place, how many words from there on occur again elsewhere in its document; numbers under ``least`` may be less.
 
     docs, words: the document and the word number at each place; ends: where its document ends. The result is the larger
     common prefix with the two neighbours in suffix order.
@@ -68,8 +68,8 @@ def common_prefixes(docs: np.ndarray, words: np.ndarray, ends: np.ndarray) -> np
     suffixes[rank] = np.arange(n)
     a, b = suffixes[:-1], suffixes[1:]
     pair = np.flatnonzero(ranks[0][a] == ranks[0][b]) if n > 1 else np.zeros(0, dtype=np.int64)
-    level = min(2, len(ranks) - 1)
-    pair = pair[ranks[level][a[pair]] == ranks[level][b[pair]]]  # common prefixes under 2**level words don't matter
+    level = min(max(1, least).bit_length() - 1, len(ranks) - 1)
+    pair = pair[ranks[level][a[pair]] == ranks[level][b[pair]]]  # shorter ones than 2**level words don't matter
     a, b = a[pair], b[pair]
     common = np.zeros(len(pair), dtype=np.int64)
     for k in range(len(ranks) - 1, -1, -1):
@@ -122,7 +122,7 @@ class Rules:
             words = np.fromiter((numbers[w] for ws in part for w in ws), dtype=np.int64, count=size)
             docs = np.repeat(np.arange(end - at), count)
             ends = np.repeat(np.cumsum(count), count)
-            prefix = common_prefixes(docs, words, ends)
+            prefix = common_prefixes(docs, words, ends, min(WINDOW, self.min_repeat))
             twice = np.flatnonzero(prefix >= WINDOW)
             repeated[at:end] = covered(twice, np.full(len(twice), WINDOW), docs, end - at)
             long = np.flatnonzero(prefix >= self.min_repeat)
