@@ -1,15 +1,23 @@
 """SimHash near-duplicates by anchor-point covering.
 
-The 64 bits are cut into blocks. Two fingerprints within ``threshold`` bits agree within ``threshold div blocks`` bits in
-one block at least (pigeonhole). In each block a covering code of radius 1, a Hamming code on its leading bits times all
-values of the rest, gives the anchors: a fingerprint lives at its nearest anchor, and a copy goes to every anchor within
-the covering radius plus the block's threshold. A pair within the threshold therefore meets at an anchor, where the full
-distance is computed. Equal fingerprints are one row, an anchor's matches leave it as a spanning forest, and the homes of
-a crowded anchor are dealt over several tiles, each of which sees all copies there: no link is lost and none is sampled.
-
-Defined results: a null text has no words; no words give fingerprint zero, which links like any other; a null id never
-becomes a component's name unless all its ids are null; repeated rows give repeated results; an empty table gives an empty
-result; extra columns are ignored.
+The bits of a fingerprint are cut into blocks. Two fingerprints within ``threshold`` bits agree within ``threshold div blocks``
+bits in one block at least (pigeonhole). In each block a covering code of radius 1, a Hamming code on its leading bits times
+all values of the rest, gives the anchors: a fingerprint lives at its nearest anchor, and a copy goes to every anchor within
+the covering radius plus the block's threshold. A pair within the threshold therefore meets at an anchor, where the distance
+is computed. Equal fingerprints are one row, an anchor's matches leave it as a spanning forest, and the homes of a crowded
+anchor are dealt over several tiles, each of which sees all copies there: no link is lost and none is sampled.
+
+``near_duplicates`` links 64-bit fingerprints within a number of bits. ``similar`` links texts whose sets of word shingles have
+a Jaccard similarity of ``least`` or more. A similarity of 0.8 leaves two of 13 bits different, too many for 64 bits and a sure
+threshold; its fingerprints have ``WIDE`` words of 64 bits and many blocks, so that a pair meets at one of their anchors with a
+probability that ``meeting`` states: 0.990 at 0.8, 0.995 at 0.82, 0.9985 at 0.85. Pairs that meet and are near enough in their first
+word, then in all bits, are compared shingle by shingle, so that nothing else is ever linked. Links are first sought as a
+spanning forest of the closest; after that all pairs that meet and are still apart are compared, none left out.
+
+Defined results: a null text has no words; no words give fingerprint zero, which links like any other; texts without words are
+similar to each other; a text of fewer words than a shingle is one shingle; a null id never becomes a component's name unless
+all its ids are null; repeated rows give repeated results; an empty table gives an empty result; extra columns are ignored, or
+kept by ``keep_one`` and ``keep_one_similar``, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shelf, components
+from .common import Shelf, components, packed_row
 
 BITS = 64
 #: Homes at one anchor beyond which they are dealt over tiles.
@@ -32,28 +40,60 @@ MOST_CROWDED = 200_000
 #: Pairs compared in one step, and rows held before the anchors that are complete are compared.
 PAIRS_AT_ONCE = 1 << 21
 ROWS_AT_ONCE = 1 << 18
+#: Words of a wide fingerprint, their blocks, and the bits of the first word in which similar texts differ at most, or surely do.
+WIDE, WIDE_BLOCKS, NEAR, CLOSE = 10, 4, 17, 8
 
 
-def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
-    """The fingerprint of one text: a bit is set if it is set in over half of the hashes of its word shingles."""
+def shingles(text: str | None, words: int, seed: int = 42) -> np.ndarray:
+    """Hashes of the word shingles of a text, repeats included; of a short text, of all its words; none without words."""
     from xxhash import xxh64_intdigest
 
     split = (text or "").encode().lower().split()
     if not split:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(split)
     if len(split) <= words:
-        return xxh64_intdigest(joined, seed)
+        return np.array([xxh64_intdigest(joined, seed)], dtype=np.uint64)
     lengths = np.fromiter(map(len, split), dtype=np.int64, count=len(split)) + 1
     starts = np.cumsum(lengths) - lengths
-    ends = (starts + lengths - 1)[words - 1 :].tolist()
-    total = np.zeros(BITS, dtype=np.int64)
-    n = len(ends)
-    starts = starts[:n].tolist()
-    for at in range(0, n, 1 << 16):
-        hashes = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)], strict=True)], dtype="<u8")
-        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
+    ends = (starts + lengths - 1)[words - 1 :]
+    return np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist(), strict=False)), dtype=np.uint64, count=len(ends))
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Of rows of hashes (words of 64 bits): the words whose bits are those that over half of the rows have."""
+    total = np.zeros(64 * hashes.shape[1], dtype=np.int64)
+    for at in range(0, len(hashes), 255):  # sums of up to 255 bits fit a byte
+        part = np.ascontiguousarray(hashes[at : at + 255].astype("<u8", copy=False))
+        total += np.add.reduce(np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")
+
+
+def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
+    """The fingerprint of one text: a bit is set if it is set in over half of the hashes of its word shingles."""
+    return int(majority(shingles(text, words, seed)[:, None])[0])
+
+
+def wide_fingerprint(found: np.ndarray, wide: int = WIDE) -> np.ndarray:
+    """A fingerprint of ``wide`` words from a set of hashes: each hash gives as many words by mixing."""
+    mixed = found[:, None] + np.arange(1, wide + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return majority(mixed ^ (mixed >> np.uint64(31)))
+
+
+def meeting(similarity: float, wide: int = WIDE, blocks: int = WIDE_BLOCKS) -> float:
+    """The probability that texts of this similarity meet at an anchor (homes only) and are near enough in the first word."""
+    from math import acos, comb, pi
+
+    differ = acos(2 * similarity / (1 + similarity)) / pi
+    none = 1.0
+    for _, _, n in Cover(0, blocks).blocks:
+        coded = next(2**m - 1 for m in range(6, 0, -1) if 2**m - 1 <= n)
+        ball = coded + 1
+        met = sum(comb(coded, d) * differ**d * (1 - differ) ** (coded - d) * w for d, w in ((0, 1.0), (1, 2 / ball), (2, 2 / ball)))
+        none *= 1 - met * (1 - differ) ** (n - coded)
+    return (1 - none**wide) * sum(comb(64, d) * differ**d * (1 - differ) ** (64 - d) for d in range(NEAR + 1))
 
 
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,15 +112,17 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
 
 
 class Cover:
-    """A covering code of radius 1 on each block of bits, and the anchors of a fingerprint."""
+    """A covering code of radius 1 on each block of bits, and the anchors of fingerprints (rows of words of 64 bits)."""
 
-    def __init__(self, threshold: int, blocks: int):
-        self.near = 1 + threshold // blocks  # covering radius plus the block's threshold
+    def __init__(self, threshold: int, blocks: int, words: int = 1):
+        self.near = 1 + threshold // (blocks * words)  # covering radius plus the block's threshold
         edges = [BITS * k // blocks for k in range(blocks + 1)]
-        self.blocks = [(low, high - low) for low, high in zip(edges, edges[1:], strict=False)]
-        self.width = max(n for _, n in self.blocks)
-        self.code = [next(2**m - 1 for m in range(6, 0, -1) if 2**m - 1 <= n) for _, n in self.blocks]
-        self.masks = [self._masks(n, c) for (_, n), c in zip(self.blocks, self.code, strict=True)]
+        self.blocks = [(w, low, high - low) for w in range(words) for low, high in zip(edges, edges[1:], strict=False)]
+        self.width = max(n for *_, n in self.blocks)
+        self.key_bits = self.width + len(self.blocks).bit_length()
+        self.code = [next(2**m - 1 for m in range(6, 0, -1) if 2**m - 1 <= n) for *_, n in self.blocks]
+        made = {(n, c): self._masks(n, c) for (*_, n), c in zip(self.blocks, self.code, strict=True)}
+        self.masks = [made[n, c] for (*_, n), c in zip(self.blocks, self.code, strict=True)]
 
     def _masks(self, n: int, coded: int) -> list[np.ndarray]:
         """By syndrome: what to flip in a value to reach each anchor within reach. Bit i of the coded ones has column i+1."""
@@ -97,8 +139,8 @@ class Cover:
 
     def values(self, fps: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """By block: its number, the values there, their syndromes."""
-        for k, (low, n) in enumerate(self.blocks):
-            value = ((fps.view(np.uint64) >> np.uint64(low)) & np.uint64((1 << n) - 1)).astype(np.int64)
+        for k, (word, low, n) in enumerate(self.blocks):
+            value = ((fps[:, word] >> np.uint64(low)) & np.uint64((1 << n) - 1)).astype(np.int64)
             syndrome = np.zeros(len(fps), dtype=np.int64)
             for i in range(self.code[k]):
                 syndrome ^= np.where(value >> i & 1, i + 1, 0)
@@ -139,8 +181,8 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def _match(keys: np.ndarray, home: np.ndarray, fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows sorted by key, homes first: a spanning forest as pairs of fingerprints."""
+def _pairs(keys: np.ndarray, home: np.ndarray, bits: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs, a home and a copy at one anchor, within the threshold; rows are sorted by key, homes first."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     at_home = np.add.reduceat(home.astype(np.int64), starts)
@@ -148,43 +190,67 @@ def _match(keys: np.ndarray, home: np.ndarray, fps: np.ndarray, threshold: int)
     homes = np.flatnonzero(home)
     group = np.repeat(np.arange(len(starts)), at_home)
     counts, first = copies[group], (starts + at_home)[group]
-    distinct, node = np.unique(fps, return_inverse=True)
-    bits = fps.view(np.uint64)
-    label_a, label_b, done = [], [], 0
-    upto = np.cumsum(counts)
+    upto, done = np.cumsum(counts), 0
     while done < len(homes):
         end = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + PAIRS_AT_ONCE, side="right")))
         for low in range(0, int(counts[done]) if end == done + 1 else 1, PAIRS_AT_ONCE) or [0]:
             c = counts[done:end] if end > done + 1 else np.minimum(counts[done:end] - low, PAIRS_AT_ONCE)
             left = np.repeat(homes[done:end], c)
             right = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[done:end], c) + (low if end == done + 1 else 0)
-            hit = (np.bitwise_count(bits[left] ^ bits[right]) <= threshold) & (fps[left] != fps[right])
-            a, b = node[left[hit]], node[right[hit]]
-            if len(a):
-                label = forest(a, b, len(distinct))
-                moved = np.flatnonzero(label != np.arange(len(distinct)))
-                label_a.append(moved)
-                label_b.append(label[moved])
+            hit = np.bitwise_count(bits[left] ^ bits[right]) <= threshold
+            yield left[hit], right[hit]
         done = end
-    if not label_a:
-        return distinct[:0], distinct[:0]
-    label = forest(np.concatenate(label_a), np.concatenate(label_b), len(distinct))
-    moved = np.flatnonzero(label != np.arange(len(distinct)))
-    return distinct[moved], distinct[label[moved]]
 
 
-def links(distinct: DataFrame, shelf: Shelf, threshold: int = 4) -> DataFrame:
-    """A spanning forest of the fingerprints (column ``fp``, distinct, written) within the threshold: ``src, dst``."""
+def _match(keys: np.ndarray, home: np.ndarray, bits: np.ndarray, nodes: np.ndarray, threshold: int, roots: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Links among rows: a spanning forest as pairs of nodes; or, with ``roots``, all pairs whose roots differ."""
+    distinct, node = np.unique(nodes, return_inverse=True)
+    label_a, label_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for left, right in _pairs(keys, home, bits, threshold):
+        a, b = node[left], node[right]
+        if roots is not None:
+            apart = roots[left] != roots[right]
+            low, high = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+            pair = np.unique(low * len(distinct) + high)
+            label_a.append(pair // len(distinct))
+            label_b.append(pair % len(distinct))
+        elif (a != b).any():
+            label = forest(a, b, len(distinct))
+            moved = np.flatnonzero(label != np.arange(len(distinct)))
+            label_a.append(moved)
+            label_b.append(label[moved])
+    a, b = np.concatenate(label_a), np.concatenate(label_b)
+    if roots is None:
+        label = forest(a, b, len(distinct))
+        a = np.flatnonzero(label != np.arange(len(distinct)))
+        b = label[a]
+    return distinct[a], distinct[b]
+
+
+def links(distinct: DataFrame, shelf: Shelf, threshold: int = 4, blocks: int = 3, wide: int = 1, near: int | None = None) -> DataFrame:
+    """Pairs ``src, dst`` of a written table with a row for each fingerprint.
+
+    With the column ``fp`` alone: a spanning forest of the fingerprints within the threshold. With ``node`` and ``wide`` (bytes
+    of ``wide`` words) the pairs are of nodes whose first words ``fp`` are within ``near`` bits; with ``root`` as well, all such
+    pairs of different roots.
+    """
     n = distinct.count()
-    cover = Cover(threshold, 3 if n < 1 << 27 else 2)
-    width = cover.width + 3
+    near = threshold if near is None else near
+    cover = Cover(threshold, blocks, wide)
+    width, columns = cover.key_bits, [c for c in ("fp", "node", "root", "wide") if c in distinct.columns]
+    rest = columns[: -1 if "wide" in columns else None]  # what goes with a copy
+
+    def words_of(batch: pa.RecordBatch) -> np.ndarray:
+        if "wide" not in columns:
+            return np.asarray(batch.column(0)).view(np.uint64)[:, None]
+        return np.frombuffer(b"".join(batch.column(columns.index("wide")).to_pylist()), dtype="<u8").reshape(-1, wide)
 
     def home_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(cover.homes(np.asarray(batch.column(0))).ravel())], ["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(cover.homes(words_of(batch)).ravel())], ["key"])
 
     limit = max(CROWDED, -(-n * len(cover.blocks) // MOST_CROWDED))
-    fps = distinct.select("fp")
+    fps = distinct.select(*columns)
     crowded = {
         r["key"]: -(-r["count"] // limit)
         for r in fps.mapInArrow(home_keys, "key long").groupBy("key").count().filter(F.col("count") > limit).toLocalIterator()
@@ -200,35 +266,37 @@ def links(distinct: DataFrame, shelf: Shelf, threshold: int = 4) -> DataFrame:
             return np.where(heavy[at] == keys, tiles[at], 1)
 
         for batch in batches:
-            every = np.asarray(batch.column(0))
-            for at in range(0, len(every), 4000):
-                part = every[at : at + 4000]
-                keys, row = cover.copies(part)
+            for at in range(0, batch.num_rows, 4000):
+                part = batch.slice(at, 4000)
+                whole, own_columns = words_of(part), [np.asarray(part.column(k)) for k in range(len(rest))]
+                keys, row = cover.copies(whole)
                 many = parts(keys)
                 tile = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 keys, row = np.repeat(keys, many), np.repeat(row, many)
-                home = cover.homes(part)
-                own = np.repeat(np.arange(len(part)), home.shape[1])
+                home = cover.homes(whole)
+                own = np.repeat(np.arange(len(whole)), home.shape[1])
                 home = home.ravel()
-                home_tile = (part.view(np.uint64)[own] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts(home)
+                spread = own_columns[1 if "node" in rest else 0].view(np.uint64)[own]
+                home_tile = (spread * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts(home)
+                both = np.r_[own, row]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.r_[home_tile << width | home, tile << width | keys]), pa.array(np.r_[np.zeros(len(home), np.int8), np.ones(len(keys), np.int8)]), pa.array(part[np.r_[own, row]])],
-                    ["key", "copy", "fp"],
+                    [pa.array(np.r_[home_tile << width | home, tile << width | keys]), pa.array(np.r_[np.zeros(len(home), np.int8), np.ones(len(keys), np.int8)]), *(pa.array(c[both]) for c in own_columns)],
+                    ["key", "copy", *rest],
                 )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def out(last: bool):
             nonlocal held, size
-            keys, copy, fps = (np.concatenate(x) for x in zip(*held, strict=True))
-            a, b = _match(keys, copy == 0, fps, threshold)
+            keys, copy, fps, *more = (np.concatenate(x) for x in zip(*held, strict=True))
+            a, b = _match(keys, copy == 0, fps.view(np.uint64), more[0] if more else fps, near, more[1] if len(more) > 1 else None)
             if last:
                 held, size = [], 0
             else:  # of the key that may go on, its homes stay
                 stay = (keys == keys[-1]) & (copy == 0)
-                held, size = [(keys[stay], copy[stay], fps[stay])], int(stay.sum())
+                held, size = [tuple(c[stay] for c in (keys, copy, fps, *more))], int(stay.sum())
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["src", "dst"])
 
         for batch in batches:
@@ -240,23 +308,27 @@ def links(distinct: DataFrame, shelf: Shelf, threshold: int = 4) -> DataFrame:
         if size:
             yield out(True)
 
-    dealt = fps.mapInArrow(deal, "key long, copy byte, fp long")
+    dealt = fps.mapInArrow(deal, ", ".join(["key long", "copy byte", *(f"{c} long" for c in rest)]))
     pieces = max(1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return dealt.repartition(pieces, "key").sortWithinPartitions("key", "copy").mapInArrow(compare, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fingerprint, component_id`` and the internal ``fp, root, hash``; the smallest id names a component."""
+def near_duplicates(docs: DataFrame, threshold: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text", blocks: int = 3) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` and the internal ``fp, root, hash``; the smallest id names a component.
+
+    Fewer blocks mean more copies (45 a fingerprint for 3, 343 for 2) and fewer rows at an anchor.
+    """
     shelf = Shelf(docs.sparkSession, "simhash")
     marked = shelf.put(fingerprints(docs, words, id_col, text_col), "fingerprints")
     distinct = shelf.put(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct, shelf, threshold), shelf)
+    roots = components(links(distinct, shelf, threshold, blocks), shelf)
     placed = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     placed = shelf.put(placed, "placed")
-    names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = shelf.put(placed.join(names, "root").select("fp", "root", "component_id"), "named")
+    # joined by an expression, so that both sides are shuffled and a large component can be split at run time
+    names = placed.groupBy("root").agg(F.min("least").alias("component_id")).select(F.bitwise_not("root").alias("of"), "component_id")
+    named = shelf.put(placed.withColumn("of", F.bitwise_not("root")).join(names, "of").select("fp", "root", "component_id"), "named")
     return marked.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp", "root", "hash"
     )
@@ -272,10 +344,95 @@ def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text
     shelf = Shelf(docs.sparkSession, "keep")
     marks = shelf.put(groups.groupBy("root", "doc_id", "hash").agg(F.count("*").alias("rows")), "marks")
     first = marks.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("hash"), F.col("rows"))).alias("m"))
-    keep = shelf.put(first.select(F.col("m.doc_id").alias("id__"), F.col("m.hash").alias("of__"), F.col("m.rows").alias("rows__")), "keep")
-    on = F.col(f"`{id_col}`").eqNullSafe(F.col("id__")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("of__"))
-    kept = docs.join(keep, on, "left_semi")
-    again = keep.filter("rows__ > 1")
-    if again.isEmpty():
-        return kept
-    return kept.join(again, on, "left_anti").unionByName(kept.join(again, on, "left_semi").dropDuplicates([id_col, text_col]))
+    keep = shelf.put(first.select(F.col("m.doc_id").alias("id_b"), F.col("m.hash").alias("of_b"), F.col("m.rows").alias("rows")), "keep")
+    rows = packed_row(docs, id_a=F.col(f"`{id_col}`"), of_a=F.xxhash64(F.col(f"`{text_col}`").cast("string")))
+    on = F.col("id_a").eqNullSafe(F.col("id_b")) & (F.col("of_a") == F.col("of_b"))
+    kept = rows.join(keep, on, "left_semi")
+    again = keep.filter("rows > 1")
+    if not again.isEmpty():
+        kept = kept.join(again, on, "left_anti").unionByName(kept.join(again, on, "left_semi").dropDuplicates(["id_a", "of_a"]))
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
+# ---- similarity of shingle sets ----
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two arrays of distinct hashes; two empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def _marked(rows: DataFrame, words: int) -> DataFrame:
+    """Of rows ``doc_id, hash, text``: ``doc_id, hash, node`` (a hash of the shingle set), ``n`` (its size), ``fp`` and ``wide``."""
+    from xxhash import xxh64_intdigest
+
+    schema = T.StructType([rows.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("hash", "node", "n", "fp")), T.StructField("wide", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingles(t, words)) for t in batch.column(2).to_pylist()]
+            nodes = np.array([xxh64_intdigest(f.tobytes(), 1) for f in found], dtype=np.uint64).view(np.int64)
+            prints = np.array([wide_fingerprint(f) for f in found], dtype="<u8").reshape(-1, WIDE)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), pa.array(nodes), pa.array([len(f) for f in found], pa.int64()), pa.array(prints[:, 0].view(np.int64)), pa.array([p.tobytes() for p in prints], pa.binary()),
+            ], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """Those of the pairs ``src, dst`` whose sets are similar enough; first by size and all bits, then shingle by shingle."""
+    from math import acos, pi, sqrt
+
+    differ = acos(2 * least / (1 + least)) / pi
+    most = BITS * WIDE * differ + 5 * sqrt(BITS * WIDE * differ * (1 - differ))
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint64).reshape(-1, WIDE) for k in (2, 3))
+                near = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= most
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["src", "dst"]).filter(pa.array(near))
+
+    def equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = ([np.unique(shingles(t, words)) for t in batch.column(k).to_pylist()] for k in (2, 3))
+            near = [similarity(a, b) >= least for a, b in zip(left, right, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["src", "dst"]).filter(pa.array(near, pa.bool_()))
+
+    both = "src long, dst long"
+    a, b = (sets.select(F.col("node").alias(k), F.col("wide").alias(f"{k}_wide"), F.col("n").alias(f"{k}_n")) for k in ("src", "dst"))
+    fits = F.least("src_n", "dst_n") >= least * F.greatest("src_n", "dst_n") - 1e-6  # no similarity is above the ratio of the sizes
+    pairs = pairs.join(a, "src").join(b, "dst").filter(fits).select("src", "dst", "src_wide", "dst_wide").mapInArrow(close, both)
+    a, b = (texts.select(F.col("node").alias(k), F.col("text").alias(f"{k}_text")) for k in ("src", "dst"))
+    return pairs.join(a, "src").join(b, "dst").select("src", "dst", "src_text", "dst_text").mapInArrow(equal, both)
+
+
+def similar(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, hash`` (of the text) and ``root``, the same for texts that links of this similarity join."""
+    shelf = Shelf(docs.sparkSession, "similar")
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    marked = shelf.put(_marked(rows, words), "marked")
+    sets = shelf.put(marked.groupBy("node").agg(*[F.min(c).alias(c) for c in ("hash", "n", "fp", "wide")]), "sets")
+    sure = WIDE * WIDE_BLOCKS - 1
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = shelf.put(pairs.distinct(), f"pairs-{name}")
+        needed = pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node"))).distinct()
+        wanted = sets.join(needed, "node").select("node", "hash")
+        texts = shelf.put(rows.select("hash", "text").join(wanted, "hash").groupBy("node").agg(F.min("text").alias("text")), f"texts-{name}")
+        return shelf.put(_linked(pairs, sets, texts, words, least), f"links-{name}")
+
+    edges = verified(links(sets.select("fp", "node", "wide"), shelf, sure, WIDE_BLOCKS, WIDE, CLOSE), "closest")
+    roots = components(edges, Shelf(docs.sparkSession, "similar-first"))
+    placed = shelf.put(sets.join(roots, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("root"), "wide"), "placed")
+    more = verified(links(placed, shelf, sure, WIDE_BLOCKS, WIDE, NEAR), "apart")
+    roots = components(edges.unionByName(more), Shelf(docs.sparkSession, "similar-all"))
+    return marked.select("doc_id", "hash", "node").join(roots, "node", "left").select("doc_id", "hash", F.coalesce("root", "node").alias("root"))
+
+
+def keep_one_similar(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of one row of each group of similar texts: the one with the smallest id (a null id last)."""
+    return one_of_each(docs, similar(docs, least, words, id_col, text_col), id_col, text_col)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillon.llm import byte_bpe, grid_join, katz, packing, piece_counts, pseudonyms, queries, repetition, secrets, sharding, simhash, similar
+from quillon.llm import byte_bpe, grid_join, katz, packing, piece_counts, pseudonyms, queries, repetition, secrets, sharding, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -146,6 +146,47 @@ def test_vector_links(spark):
     assert grid_join.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def brute_links(rows):
+    """Of (id, vector, label): links and the least reachable id, by comparing all."""
+    fine = {i: np.array(v, dtype=np.float64) for i, v, y in rows if v and y is not None and None not in v and np.isfinite(v).all() and any(v)}
+    by = collections.defaultdict(list)
+    for i, v, y in rows:
+        if i in fine:
+            by[y, len(v)].append(i)
+    links = {i: set() for i, *_ in rows}
+    for ids in by.values():
+        u = np.array([fine[i] for i in ids])
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        for a, b in zip(*np.nonzero(u @ u.T >= 0.98), strict=True):
+            if a != b:
+                links[ids[a]].add(ids[b])
+    root = {i: i for i in links}
+    while True:
+        new = {i: min([root[i], *(root[j] for j in links[i])]) for i in root}
+        if new == root:
+            return links, root
+        root = new
+
+
+@pytest.mark.parametrize("interval", [32, 4096])
+def test_vector_links_of_the_whole_table(spark, monkeypatch, interval):
+    monkeypatch.setattr(grid_join, "INTERVAL", interval)
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    near = F.transform("embedding", lambda x, i: (x * (1 + F.sin(i + F.col("vec_id")) * 0.25)).cast("float"))  # cosine about 0.985
+    table = table.unionByName(table.filter("vec_id % 2 = 0").select((F.col("vec_id") + 1000).alias("vec_id"), near.alias("embedding"), "label"))
+    got = {r["vec_id"]: r for r in grid_join.link_vectors(table.withColumns({c: F.lit("clash") for c in ("dim", "cell", "block", "k1", "fine", "root")})).collect()}
+    links, root = brute_links([(r["vec_id"], r["embedding"], r["label"]) for r in table.collect()])
+    assert {i: (r["n_links"], r["component_id"]) for i, r in got.items()} == {i: (len(links[i]), root[i]) for i in root} and any(links.values())
+
+
+def test_long_vectors_and_null_ids(spark):
+    rng = np.random.default_rng(15)
+    base = rng.normal(size=(5, 300))
+    rows = [(i or None, (base[i % 5] + 0.01 * rng.normal(size=300)).tolist(), 1) for i in range(40)]
+    got = grid_join.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r["component_id"], r["n_links"]) for r in got) == sorted((5 if i % 5 == 0 else i % 5, 7) for i in range(40))
+
+
 def brute_fingerprint(text):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or ([" ".join(words)] if words else [])
@@ -173,7 +214,8 @@ def test_fingerprints_and_groups(some):
     assert {i: r["component_id"] for i, r in got.items()} == brute_groups(prints)
 
 
-def test_crowded_anchors_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("blocks", [2, 3])
+def test_crowded_anchors_lose_no_link(spark, monkeypatch, blocks):
     monkeypatch.setattr(simhash, "CROWDED", 8)
     monkeypatch.setattr(simhash, "ROWS_AT_ONCE", 64)
     monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", 50)
@@ -184,7 +226,7 @@ def test_crowded_anchors_lose_no_link(spark, monkeypatch):
     prints = {centre ^ sum(1 << b for b in rnd.sample(range(63), rnd.randint(0, 7))) for _ in range(300)} | {rnd.getrandbits(63) for _ in range(200)}
     shelf = Shelf(spark, "t")
     table = shelf.put(spark.createDataFrame([(p,) for p in prints], "fp long"), "d")
-    roots = {r["node"]: r["root"] for r in components(simhash.links(table, shelf), shelf).collect()}
+    roots = {r["node"]: r["root"] for r in components(simhash.links(table, shelf, 4, blocks), shelf).collect()}
     assert {p: roots.get(p, p) for p in prints} == brute_groups({p: p for p in prints})
 
 
@@ -378,19 +420,73 @@ def test_longest_repeat():
     assert got["longest_repeat"][0] == 120 and not got["kept"][0] and not got["base_failed"][0]
 
 
+def brute_verdict(text, least=10, most_covered=30, most_long=100):
+    """Words in repeats of ``least`` words and more, the longest repeat, and the verdict, from sets of n-grams."""
+    words = WORD.findall(text or "")
+
+    def repeated(k):
+        seen = collections.Counter(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+        return {i for i in range(len(words) - k + 1) if seen[tuple(words[i : i + k])] > 1}
+
+    inside = {j for i in repeated(least) for j in range(i, i + least)}
+    longest = 0
+    if inside:
+        low, high = least, len(words)
+        while high - low > 1:
+            low, high = ((low + high) // 2, high) if repeated((low + high) // 2) else (low, (low + high) // 2)
+        longest = low
+    n, *_, twice = brute_rules(text)
+    return len(inside), longest, n >= 10 and 100 * twice <= 20 * n and 100 * len(inside) <= most_covered * n and longest <= most_long
+
+
+@pytest.mark.parametrize("least", [2, 3, 10, 25])
+def test_verdicts_by_brute_force(some, odd, least):
+    texts = [r["text"] for r in some.collect() if len(r["text"]) < 5000] + [t for _, t, *_ in ODD] + ["a b c d e a b c x y a b c d"]
+    got = repetition.Rules(min_repeat=least).judge(texts)
+    assert list(zip(got["n_covered"].tolist(), got["longest_repeat"].tolist(), got["kept"].tolist(), strict=True)) == [brute_verdict(t, least) for t in texts]
+
+
+def brute_redacted(docs):
+    """Texts by id: base spans, and tokens of at most two owners, replaced."""
+    owners, spans = collections.defaultdict(set), {}
+    for d in docs:
+        spans[d["doc_id"]] = [(*map(int, x.split(":")[1:]), None) for x in brute_base(d["text"]).split(",") if x]
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", d["text"]):
+            parts = re.findall(r"[A-Za-z0-9+=]{16,}", m[0])
+            if any(re.search("[0-9]", p) and re.search("[A-Za-z]", p) for p in parts) and not any(a < m.end() and m.start() < b for a, b, t in spans[d["doc_id"]] if t is None):
+                owners[m[0]].add(d["source"])
+                spans[d["doc_id"]].append((m.start(), m.end(), m[0]))
+    out = {}
+    for d in docs:
+        text, at = "", 0
+        for a, b, t in sorted(spans[d["doc_id"]], key=lambda x: x[:2]):
+            if t is None or len(owners[t]) <= 2:
+                text, at = (text + d["text"][at:a] + "[SECRET]" if a >= at else text), max(at, b)
+        out[d["doc_id"]] = text + d["text"][at:]
+    return out
+
+
 def test_pipeline_by_brute_force(spark, sf):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=_path("piece_bpe_32k.model"))
     docs = [r.asDict() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    verdict = repetition.Rules().judge([d["text"] for d in docs])["kept"]
-    docs = [d for d, k in zip(docs, verdict, strict=True) if k]
-    groups = brute_groups({d["doc_id"]: brute_fingerprint(d["text"]) for d in docs})
-    docs = {d["doc_id"]: d for d in docs if groups[d["doc_id"]] == d["doc_id"]}
+    docs = sorted((d for d in docs if brute_verdict(d["text"])[2]), key=lambda d: d["doc_id"])
+    docs = [d for i, (d, root) in enumerate(zip(docs, brute_near([x["text"] for x in docs]), strict=True)) if root == i]
+    texts = brute_redacted(docs)
     rows = corpus_pipeline.run(spark, sf).collect()
-    assert {r["doc_id"] for r in rows} == set(docs)
-    used, size = collections.Counter(), {}
+    lengths, used, size = collections.Counter(), collections.Counter(), {}
     for r in rows:
+        lengths[r["doc_id"]] += r["length"]
         used[r["bin_id"]] += r["length"]
         size[r["bin_id"]] = r["bin_size"]
-    assert all(used[b] <= size[b] for b in used)
+    assert lengths == {i: len(model.encode(t)) + 1 for i, t in texts.items()}
+    assert all(size[b] == min(c for c in packing.CAPACITIES if c >= used[b]) for b in used)
+
+
+def test_empty_pipeline(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def brute_near(texts):
@@ -430,6 +526,24 @@ def test_stages_keep_the_columns(spark, sf, k):
     assert corpus_pipeline.STAGES[k][1](spark, docs.limit(0), sf).count() == 0
 
 
+def test_meeting_is_as_likely_as_stated():
+    """Pairs of sets of similarity 0.8: how many share a home anchor and are near in the first word."""
+    rng, cover, met, n = np.random.default_rng(14), simhash.Cover(simhash.WIDE * simhash.WIDE_BLOCKS - 1, simhash.WIDE_BLOCKS, simhash.WIDE), 0, 400
+    for _ in range(n):
+        pool = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
+        a, b = simhash.wide_fingerprint(pool[:450]), simhash.wide_fingerprint(pool[50:])
+        homes = [cover.homes(x[None, :]) for x in (a, b)]
+        met += (homes[0] == homes[1]).any() and np.bitwise_count(a[0] ^ b[0]) <= simhash.NEAR
+    assert simhash.meeting(0.8) > 0.985 and simhash.meeting(0.85) > 0.998 and met / n > simhash.meeting(0.8) - 0.02
+
+
+def test_clashing_names_stay(odd):
+    docs = odd.withColumns({c: F.lit("clash") for c in ("id__", "of__", "rows__", "rows", "row", "id_a", "id_b", "of_b", "node")})
+    for keep in (simhash.keep_one, simhash.keep_one_similar):
+        rows = keep(docs).collect()
+        assert rows and set(rows[0].asDict()) == set(docs.columns) and all(r["rows"] == r["row"] == r["node"] == "clash" for r in rows)
+
+
 def test_registered():
     assert len(queries.QUERIES) == 10
 
