@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import packing, repetition, secrets, similar
+from quillon.llm import packing, repetition, secrets, simhash
 from quillon.llm.common import Shelf
 from quillon.llm.queries import piece_counter
 
@@ -17,7 +17,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similarity 0.8 and more over five-word shingles stays."""
-    return similar.keep_one(docs)
+    return simhash.keep_one_similar(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
