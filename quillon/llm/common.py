@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -35,8 +36,13 @@ class Shelf:
         atexit.register(self._clear)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        """Write a table and read it back; the plan behind it is cut."""
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
+        """Write a table and read it back; the plan behind it is cut, and what it shuffled is removed once the table is there."""
+        before = self.spark.conf.get(CLEANED, "false")
+        self.spark.conf.set(CLEANED, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
+        finally:
+            self.spark.conf.set(CLEANED, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:

@@ -10,9 +10,9 @@ anchor are dealt over several tiles, each of which sees all copies there: no lin
 ``near_duplicates`` links 64-bit fingerprints within a number of bits. ``similar`` links texts whose sets of word shingles have
 a Jaccard similarity of ``least`` or more. A similarity of 0.8 leaves two of 13 bits different, too many for 64 bits and a sure
 threshold; its fingerprints have ``WIDE`` words of 64 bits and many blocks, so that a pair meets at one of their anchors with a
-probability that ``meeting`` states: 0.990 at 0.8, 0.995 at 0.82, 0.9985 at 0.85. Pairs that meet and are near enough in their first
-word, then in all bits, are compared shingle by shingle, so that nothing else is ever linked. Links are first sought as a
-spanning forest of the closest; after that all pairs that meet and are still apart are compared, none left out.
+probability that ``meeting`` states: 0.990 at 0.8, 0.997 at 0.82, 0.9995 at 0.85. Pairs that meet and are near enough in all
+bits are compared shingle by shingle, so that nothing else is ever linked. Links that span
+what is near are compared first; after that all pairs that meet and are still apart, none left out.
 
 Defined results: a null text has no words; no words give fingerprint zero, which links like any other; texts without words are
 similar to each other; a text of fewer words than a shingle is one shingle; a null id never becomes a component's name unless
@@ -40,8 +40,11 @@ MOST_CROWDED = 200_000
 #: Pairs compared in one step, and rows held before the anchors that are complete are compared.
 PAIRS_AT_ONCE = 1 << 21
 ROWS_AT_ONCE = 1 << 18
-#: Words of a wide fingerprint, their blocks, and the bits of the first word in which similar texts differ at most, or surely do.
-WIDE, WIDE_BLOCKS, NEAR, CLOSE = 10, 4, 17, 8
+#: Pairs of homes and copies at an anchor beyond which it is compared home by home, and homes that are compared with all first.
+LARGE, PIVOTS = 1024, 64
+#: Words of a wide fingerprint and their blocks, the bits in which texts of similarity 0.8 differ at most (but for 5 in a thousand),
+#: and those in which pairs that are compared first do.
+WIDE, WIDE_BLOCKS, NEAR, CLOSE = 10, 4, 120, 83
 
 
 def shingles(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -83,7 +86,7 @@ def wide_fingerprint(found: np.ndarray, wide: int = WIDE) -> np.ndarray:
 
 
 def meeting(similarity: float, wide: int = WIDE, blocks: int = WIDE_BLOCKS) -> float:
-    """The probability that texts of this similarity meet at an anchor (homes only) and are near enough in the first word."""
+    """The probability that texts of this similarity have a home in common and are near enough in all bits."""
     from math import acos, comb, pi
 
     differ = acos(2 * similarity / (1 + similarity)) / pi
@@ -93,7 +96,8 @@ def meeting(similarity: float, wide: int = WIDE, blocks: int = WIDE_BLOCKS) -> f
         ball = coded + 1
         met = sum(comb(coded, d) * differ**d * (1 - differ) ** (coded - d) * w for d, w in ((0, 1.0), (1, 2 / ball), (2, 2 / ball)))
         none *= 1 - met * (1 - differ) ** (n - coded)
-    return (1 - none**wide) * sum(comb(64, d) * differ**d * (1 - differ) ** (64 - d) for d in range(NEAR + 1))
+    bits = BITS * wide
+    return (1 - none**wide) * sum(comb(bits, d) * differ**d * (1 - differ) ** (bits - d) for d in range(NEAR + 1))
 
 
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,15 +185,38 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def _pairs(keys: np.ndarray, home: np.ndarray, bits: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of pairs, a home and a copy at one anchor, within the threshold; rows are sorted by key, homes first."""
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of words."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+
+
+class Near:
+    """Rows of words, and of sizes if there are any: which two are within a number of bits, and of similar size."""
+
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray | None, threshold: int, ratio: float):
+        self.bits, self.sizes, self.threshold, self.ratio = bits, sizes, threshold, ratio
+
+    def __getitem__(self, rows) -> Near:
+        return Near(self.bits[rows], None if self.sizes is None else self.sizes[rows], self.threshold, self.ratio)
+
+    def to(self, other: Near) -> np.ndarray:
+        near = _apart(self.bits, other.bits) <= self.threshold
+        if self.sizes is not None:  # no similarity is above the ratio of the sizes
+            near &= np.minimum(self.sizes, other.sizes) >= self.ratio * np.maximum(self.sizes, other.sizes) - 1e-6
+        return near
+
+
+def _pairs(keys: np.ndarray, home: np.ndarray, rows: Near) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs within the threshold, a home and a copy at one anchor, or two homes where there are no copies; rows are sorted
+    by key, homes first."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     at_home = np.add.reduceat(home.astype(np.int64), starts)
-    copies = sizes - at_home
     homes = np.flatnonzero(home)
     group = np.repeat(np.arange(len(starts)), at_home)
-    counts, first = copies[group], (starts + at_home)[group]
+    alone = (sizes == at_home)[group]
+    counts = np.where(alone, (starts + sizes)[group] - homes - 1, (sizes - at_home)[group])
+    first = np.where(alone, homes + 1, (starts + at_home)[group])
     upto, done = np.cumsum(counts), 0
     while done < len(homes):
         end = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + PAIRS_AT_ONCE, side="right")))
@@ -197,52 +224,96 @@ def _pairs(keys: np.ndarray, home: np.ndarray, bits: np.ndarray, threshold: int)
             c = counts[done:end] if end > done + 1 else np.minimum(counts[done:end] - low, PAIRS_AT_ONCE)
             left = np.repeat(homes[done:end], c)
             right = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[done:end], c) + (low if end == done + 1 else 0)
-            hit = np.bitwise_count(bits[left] ^ bits[right]) <= threshold
+            hit = rows[left].to(rows[right])
             yield left[hit], right[hit]
         done = end
 
 
-def _match(keys: np.ndarray, home: np.ndarray, bits: np.ndarray, nodes: np.ndarray, threshold: int, roots: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows: a spanning forest as pairs of nodes; or, with ``roots``, all pairs whose roots differ."""
+def _crowd(h: np.ndarray, c: np.ndarray, rows_h: Near, rows_c: Near, label: np.ndarray, join: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """Links within a large group at one anchor, as a node and those it meets: between nodes of different labels only.
+
+    h, c: the nodes of homes and copies; label: by node. With ``join``, labels that are linked become one, and one link of each pair
+    of labels is enough: what comes out are real links that span the group. A few homes are compared with all copies; after that
+    most nodes have one label, and only what has another is compared with all.
+    """
+
+    def meet(node: int, row: Near, others: np.ndarray, other_rows: Near) -> Iterator[tuple[int, np.ndarray]]:
+        apart = label[others] != label[node]
+        hit = others[apart][other_rows[apart].to(row)]
+        if len(hit):
+            if join:
+                known, at = np.unique(label[hit], return_index=True)
+                hit = hit[at]
+                least = min(int(known[0]), int(label[node]))
+                label[np.isin(label, np.r_[known, label[node]])] = least
+            yield node, hit
+
+    pivots = min(len(h), PIVOTS)
+    for k in range(pivots):
+        yield from meet(int(h[k]), rows_h[k], c, rows_c)
+    _, first, counts = np.unique(label[c], return_index=True, return_counts=True)
+    member = c[first[counts.argmax()]]  # of the most frequent label, which may get another name
+    for k in np.flatnonzero(label[c] != label[member]):
+        yield from meet(int(c[k]), rows_c[k], h, rows_h)
+    for k in range(pivots, len(h)):
+        if label[h[k]] != label[member]:
+            yield from meet(int(h[k]), rows_h[k], c, rows_c)
+
+
+def _match(keys: np.ndarray, home: np.ndarray, rows: Near, nodes: np.ndarray, roots: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Links among rows, sorted by key with homes first, that span what is linked; or, with ``roots``, all whose roots differ."""
     distinct, node = np.unique(nodes, return_inverse=True)
-    label_a, label_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-    for left, right in _pairs(keys, home, bits, threshold):
-        a, b = node[left], node[right]
-        if roots is not None:
-            apart = roots[left] != roots[right]
-            low, high = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
-            pair = np.unique(low * len(distinct) + high)
-            label_a.append(pair // len(distinct))
-            label_b.append(pair % len(distinct))
-        elif (a != b).any():
-            label = forest(a, b, len(distinct))
-            moved = np.flatnonzero(label != np.arange(len(distinct)))
-            label_a.append(moved)
-            label_b.append(label[moved])
-    a, b = np.concatenate(label_a), np.concatenate(label_b)
-    if roots is None:
-        label = forest(a, b, len(distinct))
-        a = np.flatnonzero(label != np.arange(len(distinct)))
-        b = label[a]
-    return distinct[a], distinct[b]
-
-
-def links(distinct: DataFrame, shelf: Shelf, threshold: int = 4, blocks: int = 3, wide: int = 1, near: int | None = None) -> DataFrame:
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    ends = np.r_[starts[1:], len(keys)]
+    at_home = np.add.reduceat(home.astype(np.int64), starts)
+    alone = at_home == ends - starts  # no copies: the homes meet each other
+    large = at_home * np.where(alone, at_home, ends - starts - at_home) > LARGE
+    found_a, found_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for g in np.flatnonzero(large):
+        s, m, e = starts[g], starts[g] + at_home[g], ends[g]
+        local, at = np.unique(node[s:e], return_inverse=True)
+        if roots is None:
+            label = np.arange(len(local))
+        else:
+            label = np.empty(len(local), dtype=np.int64)
+            label[at] = np.unique(roots[s:e], return_inverse=True)[1]
+        order = np.argsort(at[: m - s], kind="stable")  # the same nodes come first at every anchor
+        homes = at[: m - s][order], rows[s:m][order]
+        copies = homes if alone[g] else (at[m - s :], rows[m:e])
+        for one, others in _crowd(homes[0], copies[0], homes[1], copies[1], label, roots is None):
+            found_a.append(np.full(len(others), local[one]))
+            found_b.append(local[others])
+    small = np.repeat(~large, ends - starts)
+    if small.any():
+        own, root = node[small], None if roots is None else roots[small]
+        for left, right in _pairs(keys[small], home[small], rows[small]):
+            a, b = own[left], own[right]
+            apart = a != b if root is None else root[left] != root[right]
+            pair = np.unique(np.minimum(a, b)[apart] * len(distinct) + np.maximum(a, b)[apart])
+            found_a.append(pair // len(distinct))
+            found_b.append(pair % len(distinct))
+    a, b = np.concatenate(found_a), np.concatenate(found_b)
+    pair = np.unique(np.minimum(a, b) * len(distinct) + np.maximum(a, b))
+    return distinct[pair // len(distinct)], distinct[pair % len(distinct)]
+
+
+def links(distinct: DataFrame, shelf: Shelf, threshold: int = 4, blocks: int = 3, wide: int = 1, near: int | None = None, ratio: float = 0.0) -> DataFrame:
     """Pairs ``src, dst`` of a written table with a row for each fingerprint.
 
-    With the column ``fp`` alone: a spanning forest of the fingerprints within the threshold. With ``node`` and ``wide`` (bytes
-    of ``wide`` words) the pairs are of nodes whose first words ``fp`` are within ``near`` bits; with ``root`` as well, all such
-    pairs of different roots.
+    With the column ``fp`` alone: links that span the fingerprints within the threshold. With ``node`` and ``wide`` (bytes of
+    ``wide`` words) the pairs are of nodes that meet at an anchor and whose words are within ``near`` bits and whose sizes ``n`` have ``ratio`` at least; with ``root`` as well, all such pairs of different roots.
     """
     n = distinct.count()
     near = threshold if near is None else near
     cover = Cover(threshold, blocks, wide)
-    width, columns = cover.key_bits, [c for c in ("fp", "node", "root", "wide") if c in distinct.columns]
-    rest = columns[: -1 if "wide" in columns else None]  # what goes with a copy
+    width, columns = cover.key_bits, [c for c in ("fp", "node", "n", "root", "wide") if c in distinct.columns]
+    rest = [c for c in columns if c != "wide"]
+    taken = [f"w{k}" for k in range(wide)] if "wide" in columns else ["fp"]
+    sent = [*taken, *(c for c in rest if c != "fp")]  # what goes along to an anchor
 
     def words_of(batch: pa.RecordBatch) -> np.ndarray:
         if "wide" not in columns:
-            return np.asarray(batch.column(0)).view(np.uint64)[:, None]
+            return np.asarray(batch.column(0)).view(np.uint64)[:, None].copy()
         return np.frombuffer(b"".join(batch.column(columns.index("wide")).to_pylist()), dtype="<u8").reshape(-1, wide)
 
     def home_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,20 +339,25 @@ def links(distinct: DataFrame, shelf: Shelf, threshold: int = 4, blocks: int = 3
         for batch in batches:
             for at in range(0, batch.num_rows, 4000):
                 part = batch.slice(at, 4000)
-                whole, own_columns = words_of(part), [np.asarray(part.column(k)) for k in range(len(rest))]
-                keys, row = cover.copies(whole)
-                many = parts(keys)
-                tile = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                keys, row = np.repeat(keys, many), np.repeat(row, many)
+                whole = words_of(part)
+                others = [np.asarray(part.column(columns.index(c))) for c in rest if c != "fp"]
+                own_columns = [*np.ascontiguousarray(whole[:, : len(taken)].T).view(np.int64), *others]
                 home = cover.homes(whole)
                 own = np.repeat(np.arange(len(whole)), home.shape[1])
                 home = home.ravel()
-                spread = own_columns[1 if "node" in rest else 0].view(np.uint64)[own]
+                if cover.near > 1:
+                    keys, row = cover.copies(whole)
+                else:  # equal blocks have equal homes: copies are only needed where the homes are dealt over tiles
+                    keys, row = home[parts(home) > 1], own[parts(home) > 1]
+                many = parts(keys)
+                tile = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                keys, row = np.repeat(keys, many), np.repeat(row, many)
+                spread = (others[0] if others else own_columns[0]).view(np.uint64)[own]
                 home_tile = (spread * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts(home)
                 both = np.r_[own, row]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.r_[home_tile << width | home, tile << width | keys]), pa.array(np.r_[np.zeros(len(home), np.int8), np.ones(len(keys), np.int8)]), *(pa.array(c[both]) for c in own_columns)],
-                    ["key", "copy", *rest],
+                    ["key", "copy", *sent],
                 )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,13 +366,14 @@ def links(distinct: DataFrame, shelf: Shelf, threshold: int = 4, blocks: int = 3
 
         def out(last: bool):
             nonlocal held, size
-            keys, copy, fps, *more = (np.concatenate(x) for x in zip(*held, strict=True))
-            a, b = _match(keys, copy == 0, fps.view(np.uint64), more[0] if more else fps, near, more[1] if len(more) > 1 else None)
+            keys, copy, *more = (np.concatenate(x) for x in zip(*held, strict=True))
+            bits, others = np.stack(more[: len(taken)], axis=1).view(np.uint64), more[len(taken) :]
+            a, b = _match(keys, copy == 0, Near(bits, others[1] if others else None, near, ratio), others[0] if others else more[0], others[2] if len(others) > 2 else None)
             if last:
                 held, size = [], 0
             else:  # of the key that may go on, its homes stay
                 stay = (keys == keys[-1]) & (copy == 0)
-                held, size = [tuple(c[stay] for c in (keys, copy, fps, *more))], int(stay.sum())
+                held, size = [tuple(c[stay] for c in (keys, copy, *more))], int(stay.sum())
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["src", "dst"])
 
         for batch in batches:
@@ -308,7 +385,7 @@ def links(distinct: DataFrame, shelf: Shelf, threshold: int = 4, blocks: int = 3
         if size:
             yield out(True)
 
-    dealt = fps.mapInArrow(deal, ", ".join(["key long", "copy byte", *(f"{c} long" for c in rest)]))
+    dealt = fps.mapInArrow(deal, ", ".join(["key long", "copy byte", *(f"{c} long" for c in sent)]))
     pieces = max(1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return dealt.repartition(pieces, "key").sortWithinPartitions("key", "copy").mapInArrow(compare, "src long, dst long")
 
@@ -381,32 +458,16 @@ def _marked(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """Those of the pairs ``src, dst`` whose sets are similar enough; first by size and all bits, then shingle by shingle."""
-    from math import acos, pi, sqrt
-
-    differ = acos(2 * least / (1 + least)) / pi
-    most = BITS * WIDE * differ + 5 * sqrt(BITS * WIDE * differ * (1 - differ))
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint64).reshape(-1, WIDE) for k in (2, 3))
-                near = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= most
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["src", "dst"]).filter(pa.array(near))
-
+def _linked(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """Those of the pairs ``src, dst`` whose sets are similar enough, shingle by shingle."""
     def equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = ([np.unique(shingles(t, words)) for t in batch.column(k).to_pylist()] for k in (2, 3))
             near = [similarity(a, b) >= least for a, b in zip(left, right, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["src", "dst"]).filter(pa.array(near, pa.bool_()))
 
-    both = "src long, dst long"
-    a, b = (sets.select(F.col("node").alias(k), F.col("wide").alias(f"{k}_wide"), F.col("n").alias(f"{k}_n")) for k in ("src", "dst"))
-    fits = F.least("src_n", "dst_n") >= least * F.greatest("src_n", "dst_n") - 1e-6  # no similarity is above the ratio of the sizes
-    pairs = pairs.join(a, "src").join(b, "dst").filter(fits).select("src", "dst", "src_wide", "dst_wide").mapInArrow(close, both)
     a, b = (texts.select(F.col("node").alias(k), F.col("text").alias(f"{k}_text")) for k in ("src", "dst"))
-    return pairs.join(a, "src").join(b, "dst").select("src", "dst", "src_text", "dst_text").mapInArrow(equal, both)
+    return pairs.join(a, "src").join(b, "dst").select("src", "dst", "src_text", "dst_text").mapInArrow(equal, "src long, dst long")
 
 
 def similar(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -423,12 +484,12 @@ def similar(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "
         needed = pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node"))).distinct()
         wanted = sets.join(needed, "node").select("node", "hash")
         texts = shelf.put(rows.select("hash", "text").join(wanted, "hash").groupBy("node").agg(F.min("text").alias("text")), f"texts-{name}")
-        return shelf.put(_linked(pairs, sets, texts, words, least), f"links-{name}")
+        return shelf.put(_linked(pairs, texts, words, least), f"links-{name}")
 
-    edges = verified(links(sets.select("fp", "node", "wide"), shelf, sure, WIDE_BLOCKS, WIDE, CLOSE), "closest")
+    edges = verified(links(sets.select("fp", "node", "n", "wide"), shelf, sure, WIDE_BLOCKS, WIDE, CLOSE, least), "closest")
     roots = components(edges, Shelf(docs.sparkSession, "similar-first"))
-    placed = shelf.put(sets.join(roots, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("root"), "wide"), "placed")
-    more = verified(links(placed, shelf, sure, WIDE_BLOCKS, WIDE, NEAR), "apart")
+    placed = shelf.put(sets.join(roots, "node", "left").select("fp", "node", "n", F.coalesce("root", "node").alias("root"), "wide"), "placed")
+    more = verified(links(placed, shelf, sure, WIDE_BLOCKS, WIDE, NEAR, least), "apart")
     roots = components(edges.unionByName(more), Shelf(docs.sparkSession, "similar-all"))
     return marked.select("doc_id", "hash", "node").join(roots, "node", "left").select("doc_id", "hash", F.coalesce("root", "node").alias("root"))
 
