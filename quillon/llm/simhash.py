@@ -41,10 +41,11 @@ MOST_CROWDED = 200_000
 PAIRS_AT_ONCE = 1 << 21
 ROWS_AT_ONCE = 1 << 18
 #: Pairs of homes and copies at an anchor beyond which it is compared home by home, and homes that are compared with all first.
-LARGE, PIVOTS = 1024, 64
+LARGE, PIVOTS = 1 << 18, 64
 #: Words of a wide fingerprint and their blocks, the bits in which texts of similarity 0.8 differ at most (but for 5 in a thousand),
 #: and those in which pairs that are compared first do.
 WIDE, WIDE_BLOCKS, NEAR, CLOSE = 10, 4, 120, 83
+FIRST = 48
 
 
 def shingles(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -185,30 +186,43 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Differing bits of rows of words."""
-    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Which of the links a[i]-b[i] among n nodes are enough to join what all join (few more than a forest): each part's first link
+    to another, again and again."""
+    label, open_, chosen = np.arange(n), np.flatnonzero(a != b), [np.zeros(0, dtype=np.int64)]
+    while len(open_):
+        _, first = np.unique(np.r_[label[a[open_]], label[b[open_]]], return_index=True)
+        chosen.append(np.unique(np.r_[open_, open_][first]))
+        label = forest(label[a[chosen[-1]]], label[b[chosen[-1]]], n)[label]
+        open_ = open_[label[a[open_]] != label[b[open_]]]
+    return np.concatenate(chosen)
 
 
-class Near:
+class Rows:
     """Rows of words, and of sizes if there are any: which two are within a number of bits, and of similar size."""
 
     def __init__(self, bits: np.ndarray, sizes: np.ndarray | None, threshold: int, ratio: float):
         self.bits, self.sizes, self.threshold, self.ratio = bits, sizes, threshold, ratio
-
-    def __getitem__(self, rows) -> Near:
-        return Near(self.bits[rows], None if self.sizes is None else self.sizes[rows], self.threshold, self.ratio)
-
-    def to(self, other: Near) -> np.ndarray:
-        near = _apart(self.bits, other.bits) <= self.threshold
-        if self.sizes is not None:  # no similarity is above the ratio of the sizes
-            near &= np.minimum(self.sizes, other.sizes) >= self.ratio * np.maximum(self.sizes, other.sizes) - 1e-6
-        return near
+        # of many words, two are looked at first: FIRST bits are five deviations more than the threshold leaves there
+        self.head = np.ascontiguousarray(bits[:, :2]) if bits.shape[1] > 2 else None
+
+    def near(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Places at which rows ``left`` and ``right`` are near."""
+        left, right = np.broadcast_arrays(left, right)
+        if self.head is None:
+            at = np.flatnonzero(np.bitwise_count(self.bits[left] ^ self.bits[right]).sum(axis=1, dtype=np.int64) <= self.threshold)
+        else:
+            at = np.flatnonzero(np.bitwise_count(self.head[left] ^ self.head[right]).sum(axis=1, dtype=np.int64) <= FIRST)
+            at = at[np.bitwise_count(self.bits[left[at]] ^ self.bits[right[at]]).sum(axis=1, dtype=np.int64) <= self.threshold]
+        if self.sizes is not None and len(at):  # no similarity is above the ratio of the sizes
+            a, b = self.sizes[left[at]], self.sizes[right[at]]
+            at = at[np.minimum(a, b) >= self.ratio * np.maximum(a, b) - 1e-6]
+        return at
 
 
-def _pairs(keys: np.ndarray, home: np.ndarray, rows: Near) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of pairs within the threshold, a home and a copy at one anchor, or two homes where there are no copies; rows are sorted
-    by key, homes first."""
+def _pairs(keys: np.ndarray, home: np.ndarray, at: np.ndarray, rows: Rows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that are near, a home and a copy at one anchor, or two homes where there are no copies; ``at``: the rows with these keys,
+    sorted by key, homes first."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     at_home = np.add.reduceat(home.astype(np.int64), starts)
@@ -224,43 +238,44 @@ def _pairs(keys: np.ndarray, home: np.ndarray, rows: Near) -> Iterator[tuple[np.
             c = counts[done:end] if end > done + 1 else np.minimum(counts[done:end] - low, PAIRS_AT_ONCE)
             left = np.repeat(homes[done:end], c)
             right = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[done:end], c) + (low if end == done + 1 else 0)
-            hit = rows[left].to(rows[right])
+            left, right = at[left], at[right]
+            hit = rows.near(left, right)
             yield left[hit], right[hit]
         done = end
 
 
-def _crowd(h: np.ndarray, c: np.ndarray, rows_h: Near, rows_c: Near, label: np.ndarray, join: bool) -> Iterator[tuple[int, np.ndarray]]:
-    """Links within a large group at one anchor, as a node and those it meets: between nodes of different labels only.
+def _crowd(h: np.ndarray, c: np.ndarray, rows: Rows, node: np.ndarray, label: np.ndarray, join: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """Links within a large group at one anchor, as a row and those it meets: between nodes of different labels only.
 
-    h, c: the nodes of homes and copies; label: by node. With ``join``, labels that are linked become one, and one link of each pair
-    of labels is enough: what comes out are real links that span the group. A few homes are compared with all copies; after that
-    most nodes have one label, and only what has another is compared with all.
+    h, c: rows of homes and copies; node: by row; label: by node. With ``join``, labels that are linked become one, and one link of
+    each pair of labels is enough: what comes out are real links that span the group. A few homes are compared with all copies;
+    after that most nodes have one label, and only what has another is compared with all.
     """
 
-    def meet(node: int, row: Near, others: np.ndarray, other_rows: Near) -> Iterator[tuple[int, np.ndarray]]:
-        apart = label[others] != label[node]
-        hit = others[apart][other_rows[apart].to(row)]
+    def meet(row: int, others: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        others = others[label[node[others]] != label[node[row]]]
+        hit = others[rows.near(np.array([row]), others)] if len(others) else others
         if len(hit):
             if join:
-                known, at = np.unique(label[hit], return_index=True)
+                known, at = np.unique(label[node[hit]], return_index=True)
                 hit = hit[at]
-                least = min(int(known[0]), int(label[node]))
-                label[np.isin(label, np.r_[known, label[node]])] = least
-            yield node, hit
+                known = np.r_[known, label[node[row]]]
+                label[np.isin(label, known)] = known.min()
+            yield row, hit
 
     pivots = min(len(h), PIVOTS)
-    for k in range(pivots):
-        yield from meet(int(h[k]), rows_h[k], c, rows_c)
-    _, first, counts = np.unique(label[c], return_index=True, return_counts=True)
-    member = c[first[counts.argmax()]]  # of the most frequent label, which may get another name
-    for k in np.flatnonzero(label[c] != label[member]):
-        yield from meet(int(c[k]), rows_c[k], h, rows_h)
-    for k in range(pivots, len(h)):
-        if label[h[k]] != label[member]:
-            yield from meet(int(h[k]), rows_h[k], c, rows_c)
-
-
-def _match(keys: np.ndarray, home: np.ndarray, rows: Near, nodes: np.ndarray, roots: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    for k in h[:pivots]:
+        yield from meet(k, c)
+    _, first, counts = np.unique(label[node[c]], return_index=True, return_counts=True)
+    member = node[c[first[counts.argmax()]]]  # of the most frequent label, which may get another name
+    for k in c[label[node[c]] != label[member]]:
+        yield from meet(k, h)
+    for k in h[pivots:]:
+        if label[node[k]] != label[member]:
+            yield from meet(k, c)
+
+
+def _match(keys: np.ndarray, home: np.ndarray, rows: Rows, nodes: np.ndarray, roots: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Links among rows, sorted by key with homes first, that span what is linked; or, with ``roots``, all whose roots differ."""
     distinct, node = np.unique(nodes, return_inverse=True)
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -269,27 +284,28 @@ def _match(keys: np.ndarray, home: np.ndarray, rows: Near, nodes: np.ndarray, ro
     alone = at_home == ends - starts  # no copies: the homes meet each other
     large = at_home * np.where(alone, at_home, ends - starts - at_home) > LARGE
     found_a, found_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    place = np.empty(len(keys), dtype=np.int64)
     for g in np.flatnonzero(large):
         s, m, e = starts[g], starts[g] + at_home[g], ends[g]
-        local, at = np.unique(node[s:e], return_inverse=True)
+        local, place[s:e] = np.unique(node[s:e], return_inverse=True)
         if roots is None:
             label = np.arange(len(local))
         else:
             label = np.empty(len(local), dtype=np.int64)
-            label[at] = np.unique(roots[s:e], return_inverse=True)[1]
-        order = np.argsort(at[: m - s], kind="stable")  # the same nodes come first at every anchor
-        homes = at[: m - s][order], rows[s:m][order]
-        copies = homes if alone[g] else (at[m - s :], rows[m:e])
-        for one, others in _crowd(homes[0], copies[0], homes[1], copies[1], label, roots is None):
-            found_a.append(np.full(len(others), local[one]))
-            found_b.append(local[others])
-    small = np.repeat(~large, ends - starts)
-    if small.any():
-        own, root = node[small], None if roots is None else roots[small]
-        for left, right in _pairs(keys[small], home[small], rows[small]):
-            a, b = own[left], own[right]
-            apart = a != b if root is None else root[left] != root[right]
+            label[place[s:e]] = np.unique(roots[s:e], return_inverse=True)[1]
+        homes = s + np.argsort(place[s:m], kind="stable")  # the same nodes come first at every anchor
+        for one, others in _crowd(homes, homes if alone[g] else np.arange(m, e), rows, place, label, roots is None):
+            found_a.append(np.full(len(others), node[one]))
+            found_b.append(node[others])
+    small = np.flatnonzero(np.repeat(~large, ends - starts))
+    if len(small):
+        for left, right in _pairs(keys[small], home[small], small, rows):
+            a, b = node[left], node[right]
+            apart = a != b if roots is None else roots[left] != roots[right]
             pair = np.unique(np.minimum(a, b)[apart] * len(distinct) + np.maximum(a, b)[apart])
+            if roots is None and len(pair):
+                names, at = np.unique(np.r_[pair // len(distinct), pair % len(distinct)], return_inverse=True)
+                pair = pair[spanning(at[: len(pair)], at[len(pair) :], len(names))]
             found_a.append(pair // len(distinct))
             found_b.append(pair % len(distinct))
     a, b = np.concatenate(found_a), np.concatenate(found_b)
@@ -368,7 +384,7 @@ def links(distinct: DataFrame, shelf: Shelf, threshold: int = 4, blocks: int = 3
             nonlocal held, size
             keys, copy, *more = (np.concatenate(x) for x in zip(*held, strict=True))
             bits, others = np.stack(more[: len(taken)], axis=1).view(np.uint64), more[len(taken) :]
-            a, b = _match(keys, copy == 0, Near(bits, others[1] if others else None, near, ratio), others[0] if others else more[0], others[2] if len(others) > 2 else None)
+            a, b = _match(keys, copy == 0, Rows(bits, others[1] if others else None, near, ratio), others[0] if others else more[0], others[2] if len(others) > 2 else None)
             if last:
                 held, size = [], 0
             else:  # of the key that may go on, its homes stay
