@@ -1,16 +1,19 @@
-"""Katz backoff language model: counts, discounts, weights and scores.
-
-P(w | h) = d(c(h,w)) c(h,w) / c(h) if the pair was seen in training, else alpha(h) P(w); P(w) = d(c(w)) c(w) / N for a known
-word, and what these leave goes to the one unknown word. d is the Good-Turing discount for counts up to 5. Above that Katz
-takes none; here a thousandth of one occurrence is taken, so that every context keeps some mass. alpha(h) is what the seen
-pairs leave, over what P leaves without their words, so that P(. | h) sums to one exactly.
-
-Data flow: each task numbers the words of bounded chunks of text and writes the chunks as one row each. Words and pairs go to
-hash buckets as packed arrays with their counts in the chunk (pre-aggregated, so a hot pair is one entry a chunk); a bucket
-holds its part of the count table and answers each chunk with the corpus counts of just what the chunk asked for. Chunks then
-score their texts and send sums for alpha by context to buckets again, with the contexts they back off from; a bucket works
-out alpha and answers by document. The number of buckets follows the number of tokens; nothing but a few sums of counts
-reaches the driver. Words and pairs are known by 64-bit hashes.
+"""Katz backoff language model of any order: counts, discounts, weights and scores.
+
+P(w | h) = d(c(hw)) c(hw) / c(h) if the sequence hw was seen in training; else alpha(h) P(w | h') if h was, with h' without its
+first word; else P(w | h'). P(w) = d(c(w)) c(w) / N for a known word, and what these leave goes to the one unknown word. d is the
+Good-Turing discount of the level for counts up to 5. Above that Katz takes none; here a thousandth of one occurrence is taken,
+so that every context keeps some mass. alpha(h) is what the seen sequences leave, over what P(. | h') leaves without their words,
+so that P(. | h) sums to one exactly. A text begins with a mark, so its first word has one context only.
+
+Data flow: each task numbers the words of bounded chunks of text and writes the chunks as one row each. At each level, words and
+sequences go to hash buckets as packed arrays with their counts in the chunk (pre-aggregated, so a hot one is one entry a chunk);
+a bucket holds its part of the count table and answers each chunk with the corpus counts of just what the chunk asked for. The
+tables are partitioned by level and bucket, and stay at ``tables`` if a place is given. Chunks then score their texts level by
+level and send sums for alpha by context to buckets again, with the contexts they back off from; a bucket works out alpha and
+answers by document. Sums are sent only for contexts that a held-out text has, which their buckets have told: a text of the
+training part has seen all its sequences and never backs off. The number of buckets follows the number of tokens; nothing but a
+few sums of counts reaches the driver. Words and sequences are known by 64-bit hashes, which are not checked for collisions.
 
 Defined results: a null text is an empty one (only the end token); a null id counts as empty text in the training split and
 is passed through; repeated rows are separate documents; with nothing to train on the base score is log10(0.1 / 0.1) a token
@@ -32,7 +35,7 @@ from pyspark.sql import types as T
 
 from .common import Shelf, text_or_empty
 
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 10_000_000
 KEYS_A_BUCKET = 1_500_000
 DISCOUNTED = 5
 KEPT_BACK = 0.001
@@ -175,40 +178,48 @@ def chunked(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-ASKED = "bucket int, chunk long, keys binary, counts binary"
-ANSWERED = "kind string, bucket int, chunk long, counts binary, own binary, stats array<double>"
+ASKED = "bucket int, chunk long, keys binary, counts binary, wanted binary"
+ANSWERED = "kind int, bucket int, chunk long, counts binary, own binary, wanted binary, stats array<double>, keys binary, totals binary"
 
 
-def _asks(chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pd.DataFrame:
-    """Sorted keys as differences, with counts, by bucket."""
+def _asks(chunk: int, keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray, buckets: int) -> pd.DataFrame:
+    """Sorted keys as differences, with counts and whether a held-out text has them as contexts, by bucket."""
     order, present, starts = dealt(keys, buckets)
-    keys, counts = keys[order], counts[order]
+    keys, counts, wanted = keys[order], counts[order], wanted[order]
     rows = []
     for b, s, e in zip(present.tolist(), starts, starts[1:], strict=False):
-        rows.append((b, chunk, packed(np.diff(keys[s:e], prepend=np.uint64(0))), packed(counts[s:e])))
-    return pd.DataFrame(rows, columns=["bucket", "chunk", "keys", "counts"])
+        rows.append((b, chunk, packed(np.diff(keys[s:e], prepend=np.uint64(0))), packed(counts[s:e]), np.packbits(wanted[s:e]).tobytes()))
+    return pd.DataFrame(rows, columns=["bucket", "chunk", "keys", "counts", "wanted"])
+
+
+def _bits(data: list[bytes], sizes: list[int]) -> np.ndarray:
+    return np.concatenate([np.unpackbits(np.frombuffer(d, dtype=np.uint8), count=n) for d, n in zip(data, sizes, strict=True)]).astype(bool)
 
 
-def _table(kind: str):
-    """A bucket: adds up its part of the count table and answers each chunk in the order it asked."""
+def _table(kind: int, kept: bool):
+    """A bucket of a level: adds up its part of the count table and answers each chunk in the order it asked."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         keys = [np.cumsum(unpacked(k), dtype=np.uint64) for k in part["keys"]]
         sizes = [len(k) for k in keys]
-        _, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        counts = np.concatenate([unpacked(c) for c in part["counts"]]).astype(np.float64)
-        totals = np.bincount(inverse, weights=counts).astype(np.int64)
+        names, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        del keys
+        totals = np.bincount(inverse, weights=np.concatenate([unpacked(c) for c in part["counts"]]).astype(np.float64)).astype(np.int64)
+        asked = np.bincount(inverse, weights=_bits(part["wanted"].tolist(), sizes)) > 0
         own = np.zeros(len(inverse), dtype=bool)
         own[first] = True
-        answer = totals[inverse].astype(np.uint64)
+        answer, wanted = totals[inverse].astype(np.uint64), asked[inverse]
         ends = np.cumsum(sizes)
         seen = totals[totals > 0]
         stats = [float(seen.sum()), float(len(seen)), *np.bincount(np.minimum(seen, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2].astype(float).tolist()]
+        rest = [None] * (len(sizes) - 1)
+        table = [packed(np.diff(names[totals > 0], prepend=np.uint64(0))), packed(seen.astype(np.uint64))] if kept else [None, None]
         return pd.DataFrame({
             "kind": kind, "bucket": part["bucket"].to_numpy(), "chunk": part["chunk"].to_numpy(),
             "counts": [packed(answer[e - s : e]) for s, e in zip(sizes, ends, strict=True)],
             "own": [np.packbits(own[e - s : e]).tobytes() for s, e in zip(sizes, ends, strict=True)],
-            "stats": [stats if i == 0 else None for i in range(len(sizes))],
+            "wanted": [np.packbits(wanted[e - s : e]).tobytes() for s, e in zip(sizes, ends, strict=True)],
+            "stats": [stats, *rest], "keys": [table[0], *rest], "totals": [table[1], *rest],
         })
 
     return run
@@ -221,141 +232,191 @@ def _totals(answers: DataFrame) -> list[float]:
 
 
 class Chunk:
-    """One chunk taken apart again."""
+    """One chunk taken apart again: its words, and level by level its sequences."""
 
     def __init__(self, tokens: bytes, words: bytes, lengths, held):
         self.words = np.frombuffer(words, dtype=np.uint64)
         self.tokens = unpacked(tokens).astype(np.int64)
         self.lengths = np.asarray(lengths, dtype=np.int64)
         self.held = np.asarray(held, dtype=bool)
-        starts = np.cumsum(self.lengths) - self.lengths
-        begin = len(self.words)  # the context of a text's first token
-        self.before = np.r_[0, self.tokens[:-1]]
-        self.before[starts] = begin
-        self.contexts = np.r_[self.words, np.uint64(_special(b"\t"))]
-        self.ends = np.r_[self.words, np.uint64(0)]
-        pairs = self.before * (begin + 1) + self.tokens
-        self.pairs, self.pair_of = np.unique(pairs, return_inverse=True)
-        self.left, self.right = self.pairs // (begin + 1), self.pairs % (begin + 1)
-
-    def keys(self) -> np.ndarray:
-        return pair_keys(self.contexts[self.left], self.ends[self.right])
+        self.out = np.repeat(self.held, self.lengths)  # by token
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        # level 1: each word is its own sequence; what a text begins with comes after all words
+        self.keys, self.at = np.r_[self.words, np.uint64(_special(b"\t"))], self.tokens
+        self.level, self.left, self.right, self.lower = 1, None, None, None
+
+    def deeper(self) -> Chunk:
+        """The next level: ``at`` the sequence that ends at each token (-1: none), ``left`` and ``lower`` the sequences of the level
+        before without the last and the first word, ``right`` the last word, ``keys``."""
+        before = np.r_[0, self.at[:-1]]
+        before[self.starts] = len(self.words) if self.level == 1 else -1
+        shorter, keys = self.at, self.keys
+        there = np.flatnonzero(before >= 0)
+        base = len(self.words) + 1
+        named, first, inverse = np.unique(before[there] * base + self.tokens[there], return_index=True, return_inverse=True)
+        self.level += 1
+        self.left, self.right, self.lower = named // base, named % base, shorter[there[first]]
+        self.at = np.full(len(before), -1, dtype=np.int64)
+        self.at[there] = inverse
+        self.keys = pair_keys(keys[self.left], self.words[self.right] + np.uint64(self.level))
+        return self
 
     def trained(self) -> np.ndarray:
-        return np.bincount(self.pair_of, weights=np.repeat(~self.held, self.lengths), minlength=len(self.pairs)).astype(np.int64)
+        there = self.at >= 0
+        return np.bincount(self.at[there], weights=~self.out[there], minlength=len(self.keys)).astype(np.int64)
 
+    def wanted(self) -> np.ndarray:
+        """Which sequences are the context of a token in a held-out text."""
+        found = np.zeros(len(self.keys), dtype=bool)
+        last = np.zeros(len(self.at), dtype=bool)
+        last[self.starts + self.lengths - 1] = True
+        found[self.at[self.out & ~last & (self.at >= 0)]] = True
+        return found
 
-def _in_order(keys: np.ndarray, answers: pd.DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts and ownership back in the order of the chunk."""
+
+def _in_order(keys: np.ndarray, answers: pd.DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, ownership and wantedness back in the order of the chunk."""
     order, _, starts = dealt(keys, buckets)
     answers = answers.sort_values("bucket")
-    counts, own = np.empty(len(keys), dtype=np.int64), np.empty(len(keys), dtype=bool)
-    sizes = np.diff(starts)
+    counts, own, wanted = np.empty(len(keys), dtype=np.int64), np.empty(len(keys), dtype=bool), np.empty(len(keys), dtype=bool)
+    if not len(keys):
+        return counts, own, wanted
+    sizes = np.diff(starts).tolist()
     counts[order] = np.concatenate([unpacked(c) for c in answers["counts"]]).astype(np.int64)
-    own[order] = np.concatenate([np.unpackbits(np.frombuffer(o, dtype=np.uint8), count=n) for o, n in zip(answers["own"], sizes, strict=True)]).astype(bool)
-    return counts, own
+    own[order], wanted[order] = (_bits(answers[c].tolist(), sizes) for c in ("own", "wanted"))
+    return counts, own, wanted
+
 
+def score(docs: DataFrame, held_one_in: int = 10, order: int = 3, id_col: str = "doc_id", text_col: str = "text", tables: str | None = None) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every document.
 
-def score(docs: DataFrame, held_one_in: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every document."""
+    ``tables``: where the count tables stay as ``level=k/bucket=b`` (packed keys as differences, and counts).
+    """
+    if order < 2:
+        raise ValueError("a model that backs off has order 2 at least")
     spark = docs.sparkSession
     shelf = Shelf(spark, "katz")
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), (F.crc32(name.cast("binary")) % held_one_in == 0).alias("held"), text_or_empty(text_col).alias("text"))
+    name = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), (F.crc32(name.cast("binary")) % held_one_in == 0).alias("held"), text_or_empty(text_col).alias("text"))
     chunks = shelf.put(chunked(rows), "chunks")
     id_type = rows.schema["doc_id"].dataType.simpleString()
     tokens = chunks.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // KEYS_A_BUCKET))
 
-    def ask_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                yield _asks(r.chunk, np.frombuffer(r.words, dtype=np.uint64), unpacked(r.counts), buckets)
-
-    def ask_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                c = Chunk(r.tokens, r.words, r.lengths, r.held)
-                yield _asks(r.chunk, c.keys(), c.trained(), buckets)
-
-    words = shelf.put(chunks.select("chunk", "words", "counts").mapInPandas(ask_words, ASKED).groupBy("bucket").applyInPandas(_table("words"), ANSWERED), "words")
-    pairs = shelf.put(
-        chunks.select("chunk", "tokens", "words", "lengths", "held").mapInPandas(ask_pairs, ASKED).groupBy("bucket").applyInPandas(_table("pairs"), ANSWERED), "pairs"
-    )
-    n, v, *by_count = _totals(words)
+    def asking(level: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for r in batch.itertuples(index=False):
+                    c = Chunk(r.tokens, r.words, r.lengths, r.held)
+                    if level == 1:
+                        yield _asks(r.chunk, c.words, unpacked(r.counts), np.zeros(len(c.words), dtype=bool), buckets)
+                    else:
+                        for _ in range(level - 1):
+                            c.deeper()
+                        yield _asks(r.chunk, c.keys, c.trained(), c.wanted(), buckets)
+
+        return run
+
+    answers, known_stats = [], []
+    for level in range(1, order + 1):
+        asked = chunks.select("chunk", "tokens", "words", "lengths", "held", "counts").mapInPandas(asking(level), ASKED)
+        found = shelf.put(asked.groupBy("bucket").applyInPandas(_table(level, tables is not None), ANSWERED), f"level-{level}")
+        if tables is not None:
+            found.filter("keys is not null").select(F.lit(level).alias("level"), "bucket", "keys", "totals").write.mode("append").partitionBy("level", "bucket").parquet(tables)
+        known_stats.append(_totals(found))
+        answers.append(found.select("kind", "bucket", "chunk", "counts", "own", "wanted"))
+    n, v, *by_count = known_stats[0]
     unigrams = Unigrams(int(n), int(v), by_count)
-    discounts = Discounts(_totals(pairs)[2:])
+    discounts = [None, *(Discounts(t[2:]) for t in known_stats[1:])]
     document = f"ids array<{id_type}>, held array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>, score array<double>"
-    scored_schema = f"chunk long, bucket int, keys binary, total array<double>, mass array<double>, seen array<double>, doc array<long>, times array<long>, {document}"
+    scored_schema = f"chunk long, bucket int, keys binary, total binary, mass binary, seen binary, doc binary, times binary, {document}"
     columns = [c.split()[0] for c in scored_schema.split(", ")]
 
-    def score_chunk(key, chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    def score_chunk(key, chunk: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         r = chunk.iloc[0]
         c = Chunk(r["tokens"], r["words"], r["lengths"], r["held"])
-        known, _ = _in_order(c.words, answers[answers["kind"] == "words"], buckets)
-        count, own = _in_order(c.keys(), answers[answers["kind"] == "pairs"], buckets)
         texts = len(c.lengths)
         text_of = np.repeat(np.arange(texts), c.lengths)
+        known, _, _ = _in_order(c.words, found[found["kind"] == 1], buckets)
         end = int(np.flatnonzero(c.words == np.uint64(_special(b"\n")))[0])
-        context = np.r_[known, known[end]]  # as many texts begin as end
         p = unigrams.katz(known)
-        logs = np.log10(p)
-        mass = discounts.mass(count)
-        seen = count > 0
-        pair_score = np.where(seen, np.log10(np.where(seen, mass, 1) / np.maximum(context[c.left], 1)), logs[c.right])
+        count, wanted = np.r_[known, known[end]], np.ones(len(known) + 1, dtype=bool)  # as many texts begin as end
+        lower_p, lower_keys = np.r_[p, 1.0], c.keys
+        logs = np.log10(p)[c.tokens]  # by token: the score from the levels so far
+        sums, asks = [], []
+        for level in range(2, order + 1):
+            context_count, context_wanted = count, wanted
+            c.deeper()
+            count, own, wanted = _in_order(c.keys, found[found["kind"] == level], buckets)
+            mass, seen = discounts[level - 1].mass(count), count > 0
+            own_p = np.where(seen, mass, 0.0) / np.maximum(context_count[c.left], 1)
+            # sums for alpha of each context that is wanted, of the sequences that this chunk speaks for
+            mine = np.flatnonzero(own & seen & context_wanted[c.left])
+            at, inverse = np.unique(c.left[mine], return_inverse=True)
+            total = [np.bincount(inverse, weights=x[mine], minlength=len(at)) for x in (mass, lower_p[c.lower])]
+            sums.append((lower_keys[at], context_count[at].astype(np.float64), *total))
+            # by token: seen here, or left to the level before, at the price of alpha where the context is known
+            there = c.at >= 0
+            fits = np.zeros(len(c.at), dtype=bool)
+            fits[there] = seen[c.at[there]]
+            logs[fits] = np.log10(own_p[c.at[fits]])
+            off = np.flatnonzero(there & ~fits)
+            off = off[context_count[c.left[c.at[off]]] > 0]
+            asks = [(k[~fits[x]], x[~fits[x]]) for k, x in asks]  # what is seen at a higher level backs off no more
+            asks.append((lower_keys[c.left[c.at[off]]], off))
+            lower_p, lower_keys = own_p, c.keys
+        out = []
+
+        def deal(keys: np.ndarray, values: dict[str, np.ndarray]) -> None:
+            order_, present, starts = dealt(keys, buckets)
+            for b, s, e in zip(present.tolist(), starts, starts[1:], strict=False):
+                part = order_[s:e]
+                out.append({"bucket": b, "keys": keys[part].tobytes(), **{k: x[part].tobytes() for k, x in values.items()}})
+
+        deal(np.concatenate([x[0] for x in sums]), dict(zip(("total", "mass", "seen"), (np.concatenate([x[k] for x in sums]) for k in (1, 2, 3)), strict=True)))
+        wanted_keys, where = np.concatenate([k for k, _ in asks]), np.concatenate([x for _, x in asks])
+        # one ask for each text and context
+        names, inverse = np.unique(wanted_keys, return_inverse=True)
+        pairs, times = np.unique(text_of[where] * max(1, len(names)) + inverse, return_counts=True)
+        deal(names[pairs % max(1, len(names))] if len(names) else names, {"doc": pairs // max(1, len(names)), "times": times.astype(np.int64)})
 
         def by_text(values: np.ndarray) -> list:
             return np.bincount(text_of, weights=values, minlength=texts).tolist()
 
-        out = []
-        # sums for alpha of each context, of the pairs that this chunk speaks for
-        mine = own & seen
-        at = np.unique(c.left[mine])
-        total = [np.bincount(c.left[mine], weights=x, minlength=len(context))[at] for x in (mass[mine], p[c.right[mine]])]
-        order, present, starts = dealt(c.contexts[at], buckets)
-        for b, s, e in zip(present.tolist(), starts, starts[1:], strict=False):
-            part = order[s:e]
-            out.append({"bucket": b, "keys": c.contexts[at[part]].tobytes(), "total": context[at[part]].astype(float), "mass": total[0][part], "seen": total[1][part]})
-        # contexts that texts back off from
-        off = np.flatnonzero(~seen[c.pair_of])
-        asked, times = np.unique(text_of[off] * len(context) + c.before[off], return_counts=True)
-        text, left = asked // len(context), asked % len(context)
-        order, present, starts = dealt(c.contexts[left], buckets)
-        for b, s, e in zip(present.tolist(), starts, starts[1:], strict=False):
-            part = order[s:e]
-            out.append({"bucket": b, "keys": c.contexts[left[part]].tobytes(), "doc": text[part], "times": times[part]})
         out.append({
             "ids": list(r["ids"]), "held": c.held, "n_tokens": c.lengths, "n_known": np.bincount(text_of, weights=known[c.tokens] > 0, minlength=texts).astype(np.int64),
-            "base": by_text(unigrams.base(known)[c.tokens]), "score": by_text(pair_score[c.pair_of]),
+            "base": by_text(unigrams.base(known)[c.tokens]), "score": by_text(logs),
         })
-        found = pd.DataFrame(out).reindex(columns=columns)
-        found["chunk"] = key[0]
-        found["bucket"] = found["bucket"].fillna(-1).astype(int)
-        return found.astype(object).where(found.notna(), None)
-
-    answers = words.select("kind", "bucket", "chunk", "counts", "own").unionByName(pairs.select("kind", "bucket", "chunk", "counts", "own"))
+        result = pd.DataFrame(out).reindex(columns=columns)
+        result["chunk"] = key[0]
+        result["bucket"] = result["bucket"].fillna(-1).astype(int)
+        return result.astype(object).where(result.notna(), None)
+
+    every = answers[0]
+    for more in answers[1:]:
+        every = every.unionByName(more)
     scored = shelf.put(
-        chunks.select("chunk", "tokens", "words", "lengths", "held", "ids").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score_chunk, scored_schema), "scored"
+        chunks.select("chunk", "tokens", "words", "lengths", "held", "ids").groupBy("chunk").cogroup(every.groupBy("chunk")).applyInPandas(score_chunk, scored_schema), "scored"
     )
+    shelf.drop("chunks", *(f"level-{k}" for k in range(1, order + 1)))
 
     def weigh(part: pd.DataFrame) -> pd.DataFrame:
-        sums, asks = part[part["total"].notna()], part[part["doc"].notna()]
-        empty = pd.DataFrame({"chunk": pd.Series(dtype="int64"), "doc": pd.Series(dtype="object"), "extra": pd.Series(dtype="object")})
-        if not len(asks):
-            return empty
-        joined = lambda rows, name: np.concatenate([np.asarray(x) for x in rows[name]]) if len(rows) else np.zeros(0)
-        keys = np.concatenate([np.frombuffer(k, dtype=np.uint64) for k in sums["keys"]]) if len(sums) else np.zeros(0, dtype=np.uint64)
-        contexts, inverse = np.unique(keys, return_inverse=True)
+        sums, asked = part[part["total"].notna()], part[part["doc"].notna()]
+        if not len(asked):
+            return pd.DataFrame({"chunk": pd.Series(dtype="int64"), "doc": pd.Series(dtype="object"), "extra": pd.Series(dtype="object")})
+        joined = lambda rows, name, kind: np.concatenate([np.frombuffer(x, dtype=kind) for x in rows[name]]) if len(rows) else np.zeros(0, dtype=kind)
+        contexts, inverse = np.unique(joined(sums, "keys", np.uint64), return_inverse=True)
         total = np.zeros(len(contexts))
-        total[inverse] = joined(sums, "total")
-        mass, seen = (np.bincount(inverse, weights=joined(sums, x), minlength=len(contexts)) for x in ("mass", "seen"))
+        total[inverse] = joined(sums, "total", np.float64)
+        mass, seen = (np.bincount(inverse, weights=joined(sums, x, np.float64), minlength=len(contexts)) for x in ("mass", "seen"))
         alpha = np.r_[(1 - mass / np.maximum(total, 1)) / np.maximum(1 - seen, 1e-15), 1.0]
-        wanted = np.concatenate([np.frombuffer(k, dtype=np.uint64) for k in asks["keys"]])
+        wanted = joined(asked, "keys", np.uint64)
         at = np.minimum(np.searchsorted(contexts, wanted), max(0, len(contexts) - 1))
         at = np.where(contexts[at] == wanted, at, len(contexts)) if len(contexts) else np.zeros(len(wanted), dtype=np.int64)
-        extra = np.log10(alpha[at]) * joined(asks, "times")
-        ends = np.cumsum([len(x) for x in asks["doc"]])
-        return pd.DataFrame({"chunk": asks["chunk"], "doc": list(asks["doc"]), "extra": np.split(extra, ends[:-1])})
+        extra = np.log10(alpha[at]) * joined(asked, "times", np.int64)
+        doc = [np.frombuffer(x, dtype=np.int64) for x in asked["doc"]]
+        ends = np.cumsum([len(x) for x in doc])
+        return pd.DataFrame({"chunk": asked["chunk"].to_numpy(), "doc": doc, "extra": np.split(extra, ends[:-1])})
 
     def gather(part: pd.DataFrame) -> pd.DataFrame:
         sums = np.bincount(np.concatenate(part["doc"].to_list()).astype(np.int64), weights=np.concatenate(part["extra"].to_list()))

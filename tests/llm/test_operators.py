@@ -363,37 +363,49 @@ def test_training_rows_hold_the_tokens(odd):
     assert got == collections.Counter(x for _, t, *_ in ODD for x in [*map(len, re.findall("[a-z]+", t or "")), -1])
 
 
-@pytest.mark.parametrize("chunk", [2_000, 10**9])
-def test_katz_scores(some, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "order"), [(2_000, 3), (10**9, 3), (20_000, 2), (20_000, 4)])
+def test_katz_scores(some, monkeypatch, tmp_path, chunk, order):
     monkeypatch.setattr(katz, "CHUNK_BYTES", chunk)
     docs = some.limit(120)
-    got = {r["doc_id"]: r for r in katz.score(docs).collect()}
+    got = {r["doc_id"]: r for r in katz.score(docs, order=order, tables=str(tmp_path / "tables")).collect()}
     texts = {r["doc_id"]: [*WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or "")), "\n"] for r in docs.collect()}
     train = [i for i in texts if zlib.crc32(str(i).encode()) % 10]
-    words = collections.Counter(w for i in train for w in texts[i])
-    pairs = collections.Counter(p for i in train for p in zip(["\t", *texts[i]], texts[i], strict=False))
-    by_count = lambda c: [float(sum(v == k for v in c.values())) for k in range(1, 7)]
-    dw, dp = katz.Discounts(by_count(words)), katz.Discounts(by_count(pairs))
-    total, kinds = sum(words.values()), len(words)
-    mass = lambda d, c: float(d.mass(np.array([c]))[0])
-    one = {w: mass(dw, c) / total for w, c in words.items()}
-    unknown = 1 - sum(one.values())
-    after = collections.defaultdict(dict)
-    for (h, w), c in pairs.items():
-        after[h][w] = c
-    alpha = {h: (1 - sum(mass(dp, c) for c in s.values()) / sum(s.values())) / (1 - sum(one[w] for w in s)) for h, s in after.items()}
+    grams = lambda ws, k: [tuple((["\t"] + ws)[t + 2 - k : t + 2]) for t in range(max(0, k - 2), len(ws))] if k > 1 else [(w,) for w in ws]
+    counts = {k: collections.Counter(g for i in train for g in grams(texts[i], k)) for k in range(1, order + 1)}
+    context = {k: collections.Counter(g[:-1] for g in counts[k].elements()) for k in range(2, order + 1)}
+    discounts = {k: katz.Discounts([float(sum(v == n for v in counts[k].values())) for n in range(1, 7)]) for k in counts}
+    mass = {k: {g: float(discounts[k].mass(np.array([c]))[0]) for g, c in counts[k].items()} for k in counts}
+    total, kinds = sum(counts[1].values()), len(counts[1])
+    unknown = 1 - sum(mass[1].values()) / total
+    after = {k: collections.defaultdict(list) for k in range(2, order + 1)}
+    for k in after:
+        for g in counts[k]:
+            after[k][g[:-1]].append(g[-1])
+    weights = {}
 
     def p(h, w):
-        s = after.get(h, {})
-        return mass(dp, s[w]) / sum(s.values()) if w in s else alpha.get(h, 1.0) * one.get(w, unknown)
-
-    h = max(after, key=lambda x: len(after[x]))
-    assert sum(p(h, w) for w in words) + p(h, "never seen") == pytest.approx(1)
+        k = len(h) + 1
+        if k == 1:
+            return mass[1][w,] / total if (w,) in mass[1] else unknown
+        if (*h, w) in mass[k]:
+            return mass[k][*h, w] / context[k][h]
+        if h not in context[k]:
+            return p(h[1:], w)
+        if h not in weights:
+            weights[h] = (1 - sum(mass[k][*h, x] for x in after[k][h]) / context[k][h]) / (1 - sum(p(h[1:], x) for x in after[k][h]))
+        return weights[h] * p(h[1:], w)
+
+    for k in after:
+        h = max(after[k], key=lambda x: len(after[k][x]))
+        assert sum(p(h, w) for (w,) in counts[1]) + p(h, "never seen") == pytest.approx(1)
     for i, ws in texts.items():
-        r = got[i]
-        assert r["score"] == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["\t", *ws], ws, strict=False)))
-        assert r["base_score"] == pytest.approx(sum(math.log10((words[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in ws))
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(ws), sum(w in words for w in ws), total, i not in train)
+        r, line = got[i], ["\t", *ws]
+        own = sum(math.log10(p(tuple(line[max(0, t + 2 - order) : t + 1]), w)) for t, w in enumerate(ws))
+        assert r["score"] == pytest.approx(own) and r["held_out"] == (i not in train)
+        assert r["base_score"] == pytest.approx(sum(math.log10((counts[1][w,] + 0.1) / (total + 0.1 * (kinds + 1))) for w in ws))
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum((w,) in counts[1] for w in ws), total)
+    stored = some.sparkSession.read.parquet(str(tmp_path / "tables")).collect()
+    assert {k: sum(len(katz.unpacked(r["keys"])) for r in stored if r["level"] == k) for k in counts} == {k: len(c) for k, c in counts.items()}
 
 
 def brute_rules(text):
