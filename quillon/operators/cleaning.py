@@ -65,45 +65,74 @@ def apply_steps(df: DataFrame, steps: Sequence[Callable[[DataFrame], DataFrame]]
 
 @dataclass(frozen=True)
 class CleanPlan:
-    """In this order: trim, numbers, dates, duplicates."""
+    """In this order: trim, empty columns, numbers, dates, duplicates. Nothing is published if more than ``max_reject_share`` is rejected."""
 
     trim: tuple[str, ...] = ()
+    drop_empty: tuple[str, ...] = ()
     numbers: dict[str, tuple[str, str]] = field(default_factory=dict)
     dates: dict[str, str] = field(default_factory=dict)
     duplicates: tuple[str, ...] = ()
     row_id: str = "row_id"
+    max_reject_share: float = 1.0
+
+
+class TooManyRejects(ValueError):
+    """More rows were rejected than the plan allows; a format is probably wrong."""
 
 
 def clean(df: DataFrame, plan: CleanPlan) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Cleaned rows, rejects (``row_id, column, original_value, reason``; the first failing column) and duplicates.
+    """Cleaned rows, rejects (``row_id, operation, column, original_value, reason``; the first failing column) and duplicates.
 
-    Every row is in one of the three.
+    Every row is in one of the three. One pass beforehand finds empty columns, the share of rejects, and number columns whose
+    values are all integers, which become integers.
     """
+    both = [c for c in plan.numbers if c in plan.dates]
+    if both:
+        raise ValueError(f"a column can be parsed once: {', '.join(both)}")
     out = trim_text(df, plan.trim)
     parsed: list[Column] = []
     checks: list[Column] = []
     values: dict[str, Column] = {}
+
+    def failed(test: Column, operation: str, c: str, reason: Column) -> Column:
+        return F.when(test, F.struct(F.lit(operation).alias("operation"), F.lit(c).alias("column"), F.col(c).alias("original_value"), reason.alias("reason")))
+
     for k, (c, (thousands, decimal)) in enumerate(plan.numbers.items()):
         parsed.append(parsed_number(F.col(c), thousands, decimal).alias(f"n{k}"))
         p = F.col(f"parsed_.n{k}")
-        checks.append(F.when(p["reason"].isNotNull(), F.struct(F.lit(c).alias("column"), F.col(c).alias("original_value"), p["reason"].alias("reason"))))
+        checks.append(failed(p["reason"].isNotNull(), "parse_number", c, p["reason"]))
         values[c] = p["value"]
     for k, (c, fmt) in enumerate(plan.dates.items()):
         parsed.append(parsed_date(F.col(c), fmt).alias(f"d{k}"))
         d = F.col(f"parsed_.d{k}")
-        checks.append(F.when(F.col(c).isNotNull() & d.isNull(), F.struct(F.lit(c).alias("column"), F.col(c).alias("original_value"), F.lit("NOT_A_DATE").alias("reason"))))
+        checks.append(failed(F.col(c).isNotNull() & d.isNull(), "parse_date", c, F.lit("NOT_A_DATE")))
         values[c] = d
     if parsed:  # one row each: no filter is moved below a generator, so each value is trimmed and parsed once
         out = out.select("*", F.explode(F.array(F.struct(*parsed))).alias("parsed_"))
-    out = out.withColumn("reject_", F.coalesce(*checks) if checks else F.lit(None).cast("struct<column:string,original_value:string,reason:string>"))
-    rejects = out.filter(F.col("reject_").isNotNull()).select(plan.row_id, "reject_.*")
-    good = out.filter(F.col("reject_").isNull()).withColumns(values).drop("reject_", "parsed_")
+    out = out.withColumn("reject_", F.coalesce(*checks) if checks else F.lit(None).cast("struct<operation:string,column:string,original_value:string,reason:string>"))
+    fine = F.col("reject_").isNull()
+    integral = [F.bool_and(F.when(fine & F.col(f"parsed_.n{k}.value").isNotNull(), F.col(f"parsed_.n{k}.is_integer"))).alias(f"i{k}") for k in range(len(plan.numbers))]
+    empty = [(F.count(c) == 0).alias(f"e{k}") for k, c in enumerate(plan.drop_empty)]
+    if integral or empty or plan.max_reject_share < 1:
+        found = out.agg(F.count("*").alias("rows"), F.count_if(~fine).alias("rejected"), *integral, *empty).first()
+        if found["rejected"] > plan.max_reject_share * found["rows"]:
+            raise TooManyRejects(f"{found['rejected']} of {found['rows']} rows were rejected")
+        for k, c in enumerate(plan.numbers):
+            if found[f"i{k}"]:
+                values[c] = F.btrim(_without(F.col(c), plan.numbers[c][0])).cast("bigint")
+        out = out.drop(*[c for k, c in enumerate(plan.drop_empty) if found[f"e{k}"]])
+    rejects = out.filter(~fine).select(plan.row_id, "reject_.*")
+    good = out.filter(fine).withColumns({c: v for c, v in values.items() if c in out.columns}).drop("reject_", "parsed_")
     if not plan.duplicates:
         return good, rejects, good.limit(0).select(plan.row_id, F.col(plan.row_id).alias("duplicate_of"))
     marked = mark_duplicates(good, plan.duplicates, plan.row_id)
     return marked.filter(F.col("duplicate_of").isNull()).drop("duplicate_of"), rejects, marked.filter(F.col("duplicate_of").isNotNull()).select(plan.row_id, "duplicate_of")
 
 
+def _without(col: Column, mark: str) -> Column:
+    return F.replace(col, F.lit(mark)) if mark else col
+
+
 def fitting_formats(df: DataFrame, column: str, formats: Sequence[str]) -> DataFrame:
     """Which stated formats every date-like value fits: ``format, fits``; one pass."""
     text = squeezed(F.col(column))

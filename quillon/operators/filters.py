@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.scalars import ISO_DATE, NUMBER, without_marker
+from quillon.functions.scalars import NUMBER, without_marker
 
 
 class EmptyResult(ValueError):
@@ -42,13 +42,34 @@ def not_empty(df: DataFrame) -> DataFrame:
     return df
 
 
+def column_kinds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """How values of each column compare, from one pass: ``column_name, kind`` (date, number, or text; a leading zero makes it text)."""
+    parts = []
+    for c in columns:
+        text = F.btrim(F.col(c).cast("string"))
+        day = F.bool_and(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.try_to_date(text, "yyyy-MM-dd").isNotNull())
+        number = F.bool_and(text.rlike(NUMBER) & ~text.rlike(r"^[+-]?0[0-9]"))
+        parts.append(F.struct(F.lit(c).alias("column_name"), F.when(day, "date").when(number, "number").otherwise("text").alias("kind")))
+    return df.agg(F.array(*parts).alias("all")).select(F.inline("all"))
+
+
 def column_kind(df: DataFrame, column: str) -> str:
-    """How values compare: date, number or text (a leading zero makes it text)."""
-    c = F.btrim(F.col(column).cast("string"))
-    found = df.filter(F.col(column).isNotNull()).agg(
-        F.bool_and(c.rlike(ISO_DATE)).alias("date"), F.bool_and(c.rlike(NUMBER) & ~c.rlike(r"^[+-]?0\d")).alias("number")
-    ).first()
-    return "date" if found["date"] else "number" if found["number"] else "text"
+    """The same for one column."""
+    return column_kinds(df, [column]).first()["kind"]
+
+
+def renamed(df: DataFrame, names: dict[str, str], values: dict[str, dict[str, str]] | None = None) -> DataFrame:
+    """Only these columns under their new names; ``values``: by new name, what each value is called. A value that is not listed is an error."""
+    require_columns(df, list(names))
+    out = []
+    for old, new in names.items():
+        c = F.col(old)
+        if table := (values or {}).get(new):
+            known = F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), c)
+            unknown = F.raise_error(F.concat(F.lit(f"{old} has no name for "), c.cast("string"))).cast("string")
+            c = F.when(c.isNull(), None).when(known.isNotNull(), known).otherwise(unknown)
+        out.append(c.alias(new))
+    return df.select(*out)
 
 
 def drop_missing(df: DataFrame, columns: Sequence[str], markers: Sequence[str] = ()) -> DataFrame:

@@ -25,6 +25,15 @@ def star(lineitem: DataFrame, orders: DataFrame, customer: DataFrame, nation: Da
     )
 
 
+def fact_view(fact: DataFrame, dimensions: Sequence[tuple[DataFrame, str, str]], optional: Sequence[tuple[DataFrame, str, str]] = (), current: Column | None = None) -> DataFrame:
+    """A fact table with its dimensions (table, key there, key here), inner; optional ones keep facts without a match; current rows only."""
+    out = fact if current is None else fact.filter(current)
+    for tables, how in ((dimensions, "inner"), (optional, "left")):
+        for table, theirs, ours in tables:
+            out = out.join(table, F.col(theirs) == F.col(ours), how)
+    return out
+
+
 def compare_counts(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Both sides' values by key with zero for an absent one, and their difference; only keys that differ."""
     left, right = a.select(*keys, F.col(value).alias("ours")), b.select(*keys, F.col(value).alias("theirs"))

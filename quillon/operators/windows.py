@@ -50,22 +50,32 @@ def average_rank(column: str, by: Sequence[str] = ()) -> Column:
 
 
 def fill_slots(df: DataFrame, by: Sequence[str], slot: str, order: Sequence[Column]) -> DataFrame:
-    """Stated slots stay; rows without one take the free numbers of their group in order."""
+    """Stated slots stay; rows without one take the free numbers of their group in order.
+
+    The k-th free number is k and one for each taken number below it; of the taken ones in order, the j-th, t, is below if t - j < k.
+    """
+    kind = dict(df.dtypes)[slot]
     fixed = df.filter(F.col(slot).isNotNull())
-    open_ = df.filter(F.col(slot).isNull()).withColumn("turn", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    taken = fixed.groupBy(*by).agg(F.collect_set(slot).alias("taken"))
-    sized = open_.groupBy(*by).agg(F.count("*").alias("n")).join(taken, list(by), "left")
-    none = F.array().cast(f"array<{dict(df.dtypes)[slot]}>")
-    sized = sized.withColumn("taken", F.coalesce("taken", none))
-    free = sized.withColumn("free", F.expr("filter(sequence(1, n + size(taken)), s -> not array_contains(taken, s))")).select(*by, "free")
-    filled = open_.join(free, list(by)).withColumn(slot, F.expr(f"element_at(free, turn)").cast(dict(df.dtypes)[slot]))
-    return fixed.unionByName(filled.select(*df.columns))
+    taken = fixed.select(*by, F.col(slot).alias("t_")).filter("t_ >= 1").distinct()
+    at = F.col("t_") - F.row_number().over(Window.partitionBy(*by).orderBy("t_")) + 1
+    marks = taken.select(*by, at.cast("long").alias("at_"), F.lit(1).alias("taken_"), F.lit(None).cast(df.schema).alias("row_"))
+    open_ = df.filter(F.col(slot).isNull()).withColumn("k_", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    rows = open_.select(*by, F.col("k_").cast("long").alias("at_"), F.lit(0).alias("taken_"), F.struct(*df.columns).alias("row_"))
+    before = F.sum("taken_").over(Window.partitionBy(*by).orderBy("at_", F.desc("taken_")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    filled = marks.unionByName(rows).withColumn("free_", F.col("at_") + before).filter("taken_ = 0")
+    return fixed.unionByName(filled.select(*[F.col("free_").cast(kind).alias(c) if c == slot else F.col(f"row_.{c}").alias(c) for c in df.columns]))
 
 
 def mark_duplicates(df: DataFrame, keys: Sequence[str], row_id: str) -> DataFrame:
-    """``duplicate_of``: the lowest row id with the same keys, null for that row itself."""
-    first = F.min(row_id).over(Window.partitionBy(*keys))
-    return df.withColumn("first_", first).withColumn("duplicate_of", F.when(F.col(row_id) > F.col("first_"), F.col("first_"))).drop("first_")
+    """``duplicate_of``: the lowest row id with the same keys (nulls are equal), null for that row itself.
+
+    Lowest ids are aggregated before they are shuffled and joined back, so that a hot key can be split.
+    """
+    own = [F.col(k).alias(f"key_{i}_") for i, k in enumerate(keys)]
+    first = df.groupBy(*own).agg(F.min(row_id).alias("first_"), F.count("*").alias("n_")).filter("n_ > 1").drop("n_")
+    on = [F.col(k).eqNullSafe(F.col(f"key_{i}_")) for i, k in enumerate(keys)]
+    out = df.join(first, on, "left")
+    return out.select(*df.columns, F.when(F.col(row_id) > F.col("first_"), F.col("first_")).alias("duplicate_of"))
 
 
 def failures_since_success(df: DataFrame, by: str, order: str, failed: Column, passed: Column) -> DataFrame:

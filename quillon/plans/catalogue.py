@@ -66,6 +66,13 @@ def facts(t) -> DataFrame:
     return J.star(t("lineitem"), t("orders"), t("customer"), t("nation"), t("part"))
 
 
+def done(t) -> DataFrame:
+    """Orders with parts of each brand, and how many are completed."""
+    lines = t("lineitem").select("l_orderkey", "l_partkey").join(t("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    events = lines.select("p_brand", "l_orderkey").distinct().join(t("orders").select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return A.completion(events, "p_brand", "o_orderstatus", ["F"])
+
+
 def r(c: str, n: int = 6) -> Column:
     return F.round(c, n).alias(c)
 
@@ -73,9 +80,43 @@ def r(c: str, n: int = 6) -> Column:
 # ---- sources and sinks ----
 
 
-@query("src01", "SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'part', count(*) FROM part")
+@query("src01", "SELECT k AS kind, (SELECT count(*) FROM nation) AS n, 4 AS columns, true AS same_digest FROM (VALUES ('csv'), ('json'), ('xlsx')) AS v(k)")
+def _(t):
+    import hashlib
+    import json
+
+    from quillon.sources import writers as O
+    from quillon.sources.store import Store
+
+    nation = t("nation").orderBy("n_nationkey")  # 25 rows
+    spark = nation.sparkSession
+    files = {"csv": O.csv_bytes(nation), "json": json.dumps([r.asDict() for r in nation.collect()]).encode(), "xlsx": O.xlsx_bytes(nation)}
+    store, out = Store(spark), []
+    for kind, data in files.items():
+        store.put(f"nation.{kind}", data)
+        opened = R.open_table(spark, store.path(f"nation.{kind}"))
+        out.append((kind, opened.table.count(), len(opened.table.columns), opened.sha256 == hashlib.sha256(data).hexdigest()))
+    return spark.createDataFrame(out, "kind string, n long, columns int, same_digest boolean")
+
+
+#: Records of a CSV with quotes, line ends in cells, blank lines and ragged rows, made of the nations.
+TRICKY = "SELECT n_nationkey + 1 + n_nationkey // 5 + 1 + (n_nationkey + 6) // 7 AS row_id, CAST(n_nationkey AS VARCHAR) AS k, n_name || ', \"the ' || n_nationkey || '\"' || chr(10) || 'next' AS name, CASE WHEN n_nationkey % 3 <> 0 THEN CAST(n_regionkey AS VARCHAR) END AS region, NULL::VARCHAR AS reason FROM nation UNION ALL SELECT n_nationkey + 2 + n_nationkey // 5 + 1 + (n_nationkey + 6) // 7, NULL, NULL, NULL, 'RAGGED_ROW' FROM nation WHERE n_nationkey % 7 = 0 UNION ALL SELECT -1, CAST(count(*) AS VARCHAR), NULL, NULL, 'BLANK' FROM nation WHERE n_nationkey % 5 = 0"
+
+
+@query("src02", TRICKY)
 def _(t):
-    return t("orders").agg(F.count("*").alias("n")).select(F.lit("orders").alias("name"), "n").unionByName(t("part").agg(F.count("*").alias("n")).select(F.lit("part").alias("name"), "n"))
+    from quillon.sources.store import Store
+
+    spark, lines = t("nation").sparkSession, ["k,name,region"]
+    for r in t("nation").orderBy("n_nationkey").collect():  # 25 rows
+        k = r["n_nationkey"]
+        lines += [""] * (k % 5 == 0) + [f'{k},"{r["n_name"]}, ""the {k}""\nnext",{r["n_regionkey"] if k % 3 else ""}'] + [f"{k},short"] * (k % 7 == 0)
+    store = Store(spark)
+    store.put("tricky.csv", ("\n".join(lines) + "\n").encode())
+    found = R.read_csv(spark, store.path("tricky.csv"), ragged="reject")
+    none = [F.lit(None).cast("string").alias(c) for c in ("k", "name", "region")]
+    blank = spark.createDataFrame([(-1, str(found.blank_lines), None, None, "BLANK")], "row_id long, k string, name string, region string, reason string")
+    return found.table.withColumn("reason", F.lit(None).cast("string")).unionByName(found.rejects.select("row_id", *none, "reason")).unionByName(blank)
 
 
 @query("src08", "SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS row_id FROM supplier")
@@ -83,20 +124,26 @@ def _(t):
     return R.number_rows(t("supplier").select("s_suppkey").orderBy("s_suppkey"))
 
 
-@query("src09")
+@query("src09", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5(o_orderkey || ':7'), o_orderkey LIMIT 1000")
 def _(t):
     return R.uniform_sample(t("orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 1000, 7)
 
 
-@query("src11", "SELECT CAST(page_id AS BIGINT) AS page, CAST(0 AS INTEGER) AS table_index, CAST(0 AS INTEGER) AS n_rows FROM pages WHERE html LIKE '%<table%'")
+@query("src11", "SELECT CAST(page_id AS BIGINT) AS page, CAST(0 AS INTEGER) AS table_index, CAST(CASE WHEN page_id % 4 = 3 THEN 1 ELSE 2 END AS INTEGER) AS n_rows, CASE page_id % 4 WHEN 1 THEN 'NO_HEADER' WHEN 2 THEN 'MERGED' WHEN 3 THEN 'NO_ROWS' END AS reason, CASE WHEN page_id % 4 = 0 THEN CAST(page_id AS VARCHAR) END AS first_cell FROM pages WHERE html IS NOT NULL AND html NOT LIKE '%<table%'")
 def _(t):
-    return R.html_tables(t("pages"), "page_id", "html").select("page", "table_index", "n_rows")
+    # pages have no tables of their own: each gets one, of four kinds
+    head = F.concat(F.lit("<table><tr><"), F.when(F.col("page_id") % 4 == 1, "td").otherwise("th"), F.lit(">id</td><th"), F.when(F.col("page_id") % 4 == 2, " colspan=2").otherwise(""), F.lit(">url</th></tr>"))
+    body = F.when(F.col("page_id") % 4 == 3, "").otherwise(F.concat(F.lit("<tr><td>"), F.col("page_id").cast("string"), F.lit("</td><td>x</td></tr>")))
+    pages = t("pages").filter("html is not null and html not like '%<table%'").withColumn("html", F.concat(head, body, F.lit("</table>"), "html"))
+    first = F.when(F.col("reason").isNull(), F.get(F.get("cells", F.lit(1)), F.lit(0)))
+    return R.html_tables(pages, "page_id", "html").select("page", "table_index", "n_rows", "reason", first.alias("first_cell"))
 
 
-@query("src16", "SELECT event_id, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS code, CAST(props ->> '$.k' AS INTEGER) AS k FROM events")
+@query("src16", "SELECT event_id, user_id, list_position(list_sort((SELECT list(DISTINCT event_type) FROM events)), event_type) AS code, CAST(props ->> '$.k' AS INTEGER) AS k FROM events")
 def _(t):
-    code = F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", 2).otherwise(3)
-    return t("events").select("event_id", code.alias("code"), F.from_json("props", "k int")["k"].alias("k"))
+    kinds = sorted(r[0] for r in t("events").select("event_type").distinct().limit(100).collect())  # a handful
+    rows = t("events").select("event_id", "user_id", "event_type", F.from_json("props", "k int")["k"].alias("k"))
+    return R.coded(rows, "event_type", {kind: i for i, kind in enumerate(kinds, 1)}, "code", ["event_id"]).select("event_id", "user_id", "code", "k")
 
 
 @query("src17", "SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey, l_returnflag) > 1 AS is_tie, max(CAST(l_linestatus = 'O' AS INTEGER)) OVER (PARTITION BY l_orderkey) = 1 AS is_open FROM lineitem")
@@ -113,13 +160,22 @@ def _(t):
 
 @query("src20", "SELECT r_regionkey, lower(trim(r_name)) AS alias, n_name FROM region JOIN nation ON n_regionkey = r_regionkey")
 def _(t):
-    return t("region").join(t("nation"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_regionkey", S.matching_key(F.col("r_name")).alias("alias"), "n_name")
+    return t("region").join(t("nation"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_regionkey", S.plain_key(F.col("r_name")).alias("alias"), "n_name")
 
 
-@query("snk01", "SELECT c_custkey, CASE WHEN regexp_matches(CAST(c_acctbal AS VARCHAR), '^[=+\\-@]') THEN '''' ELSE '' END || c_mktsegment AS cell FROM customer")
+@query("snk01", "SELECT 'nation.csv' AS name, sha256('n_nationkey,n_name,n_regionkey' || chr(10) || (SELECT string_agg(n_nationkey || ',' || n_name || ',' || n_regionkey || chr(10), '' ORDER BY n_nationkey) FROM nation)) AS digest UNION ALL SELECT 'cells.csv', sha256('k,formula,price,day' || chr(10) || (SELECT string_agg(n_nationkey || ',\"''=1+' || n_nationkey || ',x\",' || CASE WHEN n_nationkey % 2 = 0 THEN CAST(-n_nationkey - 1 AS VARCHAR) || '.5' ELSE '' END || ',2024-02-29' || chr(10), '' ORDER BY n_nationkey) FROM nation))")
 def _(t):
-    head = F.when(F.col("c_acctbal").cast("string").rlike(r"^[=+\-@]"), "'").otherwise("")
-    return t("customer").select("c_custkey", F.concat(head, S.safe_cell(F.col("c_mktsegment"))).alias("cell"))
+    import hashlib
+
+    from quillon.sources import writers as O
+
+    nation = t("nation").orderBy("n_nationkey")
+    cells = nation.select(
+        F.col("n_nationkey").alias("k"), F.concat(F.lit("=1+"), F.col("n_nationkey").cast("string"), F.lit(",x")).alias("formula"),
+        F.when(F.col("n_nationkey") % 2 == 0, -F.col("n_nationkey") - 1.5).alias("price"), F.lit("2024-02-29").cast("date").alias("day"),
+    )
+    found = [(name, hashlib.sha256(O.csv_bytes(df)).hexdigest()) for name, df in (("nation.csv", nation), ("cells.csv", cells))]
+    return nation.sparkSession.createDataFrame(found, "name string, digest string")
 
 
 @query("snk13", "SELECT n_regionkey, count(*) AS n, string_agg(n_name, ',' ORDER BY n_name) AS payload FROM nation GROUP BY n_regionkey")
@@ -163,9 +219,11 @@ def _(t):
     return P.keep_between(t("lineitem"), "l_quantity", 10, 12).select("l_orderkey", "l_linenumber")
 
 
-@query("flt06", "SELECT 'c_phone' AS column_name, bool_and(regexp_matches(CAST(c_acctbal AS VARCHAR), '^[+-]?[0-9.]+(e[+-]?[0-9]+)?$')) AS is_number FROM customer")
+@query("flt06", "SELECT 'c_phone' AS column_name, 'text' AS kind UNION ALL SELECT 'c_acctbal', 'number' UNION ALL SELECT 'o_orderdate', 'date' UNION ALL SELECT 'c_code', 'text'")
 def _(t):
-    return t("customer").agg(F.bool_and(F.col("c_acctbal").cast("string").rlike(r"^[+-]?[0-9.]+([eE][+-]?[0-9]+)?$")).alias("is_number")).select(F.lit("c_phone").alias("column_name"), "is_number")
+    customer = t("customer").select(F.format_string("+%d-phone", F.col("c_custkey")).alias("c_phone"), "c_acctbal", F.format_string("%07d", F.col("c_custkey")).alias("c_code"))
+    found = P.column_kinds(customer, ["c_phone", "c_acctbal", "c_code"])
+    return found.unionByName(P.column_kinds(t("orders").select(F.to_date("o_orderdate").alias("o_orderdate")), ["o_orderdate"]))
 
 
 @query("flt08", f"SELECT o_orderkey FROM {NULLED} WHERE priority IS NOT NULL AND o_orderdate IS NOT NULL")
@@ -210,8 +268,7 @@ def _(t):
 
 @query("flt16", "SELECT o_orderkey AS event, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'part' END AS status FROM orders")
 def _(t):
-    names = F.create_map(*[F.lit(x) for x in ("F", "done", "O", "open", "P", "part")])
-    return t("orders").select(F.col("o_orderkey").alias("event"), F.try_element_at(names, F.col("o_orderstatus")).alias("status"))
+    return P.renamed(t("orders"), {"o_orderkey": "event", "o_orderstatus": "status"}, {"status": {"F": "done", "O": "open", "P": "part"}})
 
 
 @query("flt17", "SELECT CASE WHEN l_returnflag = 'N' THEN 'R' ELSE l_returnflag END AS flag, count(*) AS n FROM lineitem GROUP BY 1")
@@ -240,9 +297,11 @@ def _(t):
 # ---- joins ----
 
 
-@query("jn01", f"WITH {FACTS} SELECT entity, unit, tier, count(*) AS n FROM facts GROUP BY ALL")
+@query("jn01", "SELECT l_orderkey, l_linenumber, n_name AS entity, p_brand AS unit, o_orderpriority AS category, l_returnflag AS tier, s_name AS entrant FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) ON l_suppkey = s_suppkey WHERE l_linestatus = 'F'")
 def _(t):
-    return facts(t).groupBy("entity", "unit", "tier").agg(F.count("*").alias("n"))
+    dims = [(t("orders"), "o_orderkey", "l_orderkey"), (t("customer"), "c_custkey", "o_custkey"), (t("nation"), "n_nationkey", "c_nationkey"), (t("part"), "p_partkey", "l_partkey")]
+    view = J.fact_view(t("lineitem"), dims, [(t("supplier").filter("s_acctbal > 0"), "s_suppkey", "l_suppkey")], F.col("l_linestatus") == "F")
+    return view.select("l_orderkey", "l_linenumber", F.col("n_name").alias("entity"), F.col("p_brand").alias("unit"), F.col("o_orderpriority").alias("category"), F.col("l_returnflag").alias("tier"), F.col("s_name").alias("entrant"))
 
 
 @query("jn02", "SELECT l_partkey, count(*) AS lines, sum(l_quantity) AS quantity, count(DISTINCT l_orderkey) AS orders FROM lineitem GROUP BY l_partkey")
@@ -415,17 +474,17 @@ def _(t):
 
 @query("agg08", "WITH c AS (SELECT p_type AS v, count(*) AS n FROM part GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY n DESC, v NULLS LAST) AS p, sum(n) OVER () AS a FROM c) SELECT CASE WHEN p > 10 THEN '(other)' ELSE v END AS value, CAST(least(p, 11) AS INTEGER) AS place, CAST(sum(n) AS BIGINT) AS rows, round(sum(n) / max(a), 6) AS share FROM k GROUP BY 1, 2")
 def _(t):
-    return A.value_counts(t("part"), "p_type", 10).select("value", "place", "rows", r("share"))
+    return A.value_counts(t("part"), "p_type", 10, normalize=True).select("value", "place", "rows", r("share"))
 
 
-@query("agg09", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS \"distinct\", CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(quantile_cont({c}, 0.25), 4) AS p25, round(quantile_cont({c}, 0.5), 4) AS p50, round(quantile_cont({c}, 0.75), 4) AS p75 FROM part" for c in ("p_size", "p_retailprice")))
+@query("agg09", "SELECT 'p_partkey' AS \"column\", 'integer' AS type, count(p_partkey) AS count, count(*) - count(p_partkey) AS nulls, count(DISTINCT p_partkey) AS \"distinct\", CAST(min(p_partkey) AS VARCHAR) AS min, CAST(max(p_partkey) AS VARCHAR) AS max, round(avg(p_partkey), 4) AS mean, round(median(p_partkey), 4) AS median, round(stddev_samp(p_partkey), 4) AS std, round(quantile_cont(p_partkey, 0.25), 4) AS p25, round(quantile_cont(p_partkey, 0.75), 4) AS p75, NULL::INTEGER AS min_length, NULL::INTEGER AS max_length, NULL::DOUBLE AS mean_length FROM part UNION ALL SELECT 'p_name' AS \"column\", 'text' AS type, count(p_name) AS count, count(*) - count(p_name) AS nulls, count(DISTINCT p_name) AS \"distinct\", CAST(min(p_name) AS VARCHAR) AS min, CAST(max(p_name) AS VARCHAR) AS max, NULL::DOUBLE AS mean, NULL::DOUBLE AS median, NULL::DOUBLE AS std, NULL::DOUBLE AS p25, NULL::DOUBLE AS p75, min(len(p_name))::INTEGER AS min_length, max(len(p_name))::INTEGER AS max_length, round(avg(len(p_name)), 4) AS mean_length FROM part UNION ALL SELECT 'p_size' AS \"column\", 'integer' AS type, count(p_size) AS count, count(*) - count(p_size) AS nulls, count(DISTINCT p_size) AS \"distinct\", CAST(min(p_size) AS VARCHAR) AS min, CAST(max(p_size) AS VARCHAR) AS max, round(avg(p_size), 4) AS mean, round(median(p_size), 4) AS median, round(stddev_samp(p_size), 4) AS std, round(quantile_cont(p_size, 0.25), 4) AS p25, round(quantile_cont(p_size, 0.75), 4) AS p75, NULL::INTEGER AS min_length, NULL::INTEGER AS max_length, NULL::DOUBLE AS mean_length FROM part UNION ALL SELECT 'p_retailprice' AS \"column\", 'decimal' AS type, count(p_retailprice) AS count, count(*) - count(p_retailprice) AS nulls, count(DISTINCT p_retailprice) AS \"distinct\", CAST(min(p_retailprice) AS VARCHAR) AS min, CAST(max(p_retailprice) AS VARCHAR) AS max, round(avg(p_retailprice), 4) AS mean, round(median(p_retailprice), 4) AS median, round(stddev_samp(p_retailprice), 4) AS std, round(quantile_cont(p_retailprice, 0.25), 4) AS p25, round(quantile_cont(p_retailprice, 0.75), 4) AS p75, NULL::INTEGER AS min_length, NULL::INTEGER AS max_length, NULL::DOUBLE AS mean_length FROM part")
 def _(t):
-    return A.describe(t("part"), ["p_size", "p_retailprice"]).select("column", "n", "nulls", "distinct", "min", "max", *[r(c, 4) for c in ("mean", "std", "p25", "p50", "p75")])
+    return A.describe(t("part"), ["p_retailprice", "p_size", "p_name", "p_partkey"]).withColumns({c: F.round(c, 4) for c in ("mean", "median", "std", "p25", "p75", "mean_length")})
 
 
-@query("agg10", "WITH g AS (SELECT date_trunc('month', o_orderdate)::DATE AS d, count(*) AS n, sum(o_totalprice) AS v FROM orders GROUP BY 1), c AS (SELECT unnest(generate_series((SELECT min(d) FROM g), (SELECT max(d) FROM g), INTERVAL 1 MONTH))::DATE AS d) SELECT strftime(c.d, '%Y-%m') AS period, coalesce(n, 0) AS rows, round(v, 2) AS value FROM c LEFT JOIN g USING (d)")
+@query("agg10", "WITH g AS (SELECT date_trunc('month', o_orderdate)::DATE AS d, count(*) AS n, sum(o_totalprice) AS v FROM orders WHERE o_orderdate::DATE BETWEEN DATE '1991-10-15' AND DATE '1995-03-10' GROUP BY 1), c AS (SELECT unnest(generate_series(DATE '1991-10-01', DATE '1995-03-01', INTERVAL 1 MONTH))::DATE AS d) SELECT strftime(c.d, '%Y-%m') AS period, coalesce(n, 0) AS rows, round(v, 2) AS value FROM c LEFT JOIN g USING (d)")
 def _(t):
-    return A.time_trend(t("orders"), "o_orderdate", "o_totalprice").select("period", "rows", r("value", 2))
+    return A.time_trend(t("orders"), "o_orderdate", "o_totalprice", "sum", start="1991-10-15", end="1995-03-10").select("period", "rows", r("value", 2))
 
 
 @query("agg11", f"{BY_CELL} SELECT * FROM t")
@@ -448,9 +507,10 @@ def _(t):
     return A.tier_counts(facts(t), ["entity", "unit", "category"])
 
 
-@query("agg15", f"{BY_CELL}, s AS (SELECT *, total / sum(total) OVER (PARTITION BY unit) AS share FROM t) SELECT unit, CAST(sum(total) AS BIGINT) AS total, count(*) AS entities, arg_min(entity, struct_pack(a := -total, b := entity)) AS leader, round(max(share), 6) AS leader_share, round(sum(share * share), 6) AS hhi, any_value(events) AS events FROM s JOIN (SELECT unit, count(DISTINCT event) AS events FROM facts GROUP BY 1) USING (unit) GROUP BY unit")
+@query("agg15", f"{BY_CELL}, s AS (SELECT *, total / sum(total) OVER (PARTITION BY unit) AS share FROM t), o AS (SELECT p_brand AS unit, count(*) AS events_total, count(*) FILTER (o_orderstatus = 'F') AS completed FROM (SELECT DISTINCT p_brand, o_orderkey, o_orderstatus FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey) GROUP BY 1) SELECT unit, CAST(sum(n1) AS BIGINT) AS n1, CAST(sum(n2) AS BIGINT) AS n2, CAST(sum(n3) AS BIGINT) AS n3, CAST(sum(total) AS BIGINT) AS total, CAST(sum(points) AS BIGINT) AS points, any_value(c1) AS c1, any_value(c2) AS c2, any_value(c3) AS c3, any_value(c4) AS c4, any_value(c5) AS c5, count(*) AS entities, arg_min(entity, struct_pack(a := -total, b := entity)) AS leader, round(max(share), 6) AS leader_share, round(sum(share * share), 6) AS hhi, any_value(events) AS events, round(any_value(c2) / sum(total), 6) AS focus_share, any_value(events_total) AS events_total, any_value(completed) AS completed, round(any_value(completed) / any_value(events_total), 6) AS share, any_value(completed) < any_value(events_total) AS partial FROM s JOIN (SELECT unit, count(*) FILTER (category = '1-URGENT') AS c1, count(*) FILTER (category = '2-HIGH') AS c2, count(*) FILTER (category = '3-MEDIUM') AS c3, count(*) FILTER (category = '4-NOT SPECIFIED') AS c4, count(*) FILTER (category = '5-LOW') AS c5, count(DISTINCT event) AS events FROM facts GROUP BY 1) USING (unit) JOIN o USING (unit) GROUP BY unit")
 def _(t):
-    return A.unit_summary(facts(t)).withColumns({c: F.round(c, 6) for c in ("leader_share", "hhi")})
+    out = A.unit_summary(facts(t), PRIORITIES, "2-HIGH", done(t))
+    return out.withColumns({c: F.round(c, 6) for c in ("leader_share", "hhi", "focus_share", "share")})
 
 
 @query("agg16", "SELECT o_orderpriority AS unit, count(*) AS events, count(*) FILTER (o_orderstatus = 'F') AS completed, round(count(*) FILTER (o_orderstatus = 'F') / count(*), 6) AS share, count(*) FILTER (o_orderstatus = 'F') < count(*) AS partial FROM orders GROUP BY 1")
@@ -458,24 +518,30 @@ def _(t):
     return A.completion(t("orders"), "o_orderpriority", "o_orderstatus", ["F"]).withColumn("share", F.round("share", 6))
 
 
-@query("agg17", f"WITH {FACTS}, c AS (SELECT entity, count(*) FILTER (category = '1-URGENT') AS c1, count(*) FILTER (category = '2-HIGH') AS c2, count(*) AS total FROM facts GROUP BY 1) SELECT *, round(c1 / total, 6) AS first_share, CASE WHEN c1 >= 3 AND c2 >= 3 THEN c1 - c2 END AS gap FROM c")
+@query("agg17", f"WITH {FACTS}, c AS (SELECT entity, count(*) FILTER (category = '1-URGENT') AS c1, 3 * count(*) FILTER (category = '1-URGENT' AND tier = 'A') + 2 * count(*) FILTER (category = '1-URGENT' AND tier = 'N') + count(*) FILTER (category = '1-URGENT' AND tier = 'R') AS p1, count(*) FILTER (category = '2-HIGH') AS c2, 3 * count(*) FILTER (category = '2-HIGH' AND tier = 'A') + 2 * count(*) FILTER (category = '2-HIGH' AND tier = 'N') + count(*) FILTER (category = '2-HIGH' AND tier = 'R') AS p2, count(*) FILTER (category = '3-MEDIUM') AS c3, 3 * count(*) FILTER (category = '3-MEDIUM' AND tier = 'A') + 2 * count(*) FILTER (category = '3-MEDIUM' AND tier = 'N') + count(*) FILTER (category = '3-MEDIUM' AND tier = 'R') AS p3, count(*) FILTER (category = '4-NOT SPECIFIED') AS c4, 3 * count(*) FILTER (category = '4-NOT SPECIFIED' AND tier = 'A') + 2 * count(*) FILTER (category = '4-NOT SPECIFIED' AND tier = 'N') + count(*) FILTER (category = '4-NOT SPECIFIED' AND tier = 'R') AS p4, count(*) FILTER (category = '5-LOW') AS c5, 3 * count(*) FILTER (category = '5-LOW' AND tier = 'A') + 2 * count(*) FILTER (category = '5-LOW' AND tier = 'N') + count(*) FILTER (category = '5-LOW' AND tier = 'R') AS p5, count(*) AS total FROM facts GROUP BY 1) SELECT *, round(c2 / total, 6) AS share, round(c2 / (c1 + c2), 6) AS share_of_two, CASE WHEN c1 + c2 >= 3 THEN round(p2 / (p1 + p2), 6) END AS gap FROM c")
 def _(t):
-    return A.category_summary(facts(t), ["1-URGENT", "2-HIGH"]).withColumn("first_share", F.round("first_share", 6))
+    return A.category_summary(facts(t), PRIORITIES, "2-HIGH", "1-URGENT").withColumns({c: F.round(c, 6) for c in ("share", "share_of_two", "gap")})
 
 
-@query("agg18", f"{BY_CELL}, s AS (SELECT *, total / sum(total) OVER (PARTITION BY entity) AS share, row_number() OVER (PARTITION BY entity ORDER BY total DESC, unit) AS p FROM t), c AS (SELECT entity, sum(share * share) AS hhi, max(share) AS top1, sum(share) FILTER (p <= 3) AS top3, sum(-share * ln(share)) AS entropy, count(*) AS units FROM s GROUP BY 1) SELECT entity, round(hhi, 6) AS hhi, round(top1, 6) AS top1, round(top3, 6) AS top3, round(entropy, 6) AS entropy, units, round(1 / hhi, 6) AS effective, round(units / (SELECT count(DISTINCT unit) FROM facts), 6) AS coverage, CASE WHEN hhi >= 0.25 THEN 'concentrated' WHEN hhi >= 0.15 THEN 'moderate' ELSE 'diversified' END AS label FROM c")
+@query("agg18", f"{BY_CELL}, s AS (SELECT *, total / sum(total) OVER (PARTITION BY entity) AS share, row_number() OVER (PARTITION BY entity ORDER BY total DESC, unit) AS p FROM t), c AS (SELECT entity, CAST(sum(total) AS BIGINT) AS total, count(*) FILTER (n1 >= 1) AS units_with_first, sum(share * share) AS hhi, max(share) AS top1, sum(share) FILTER (p <= 3) AS top3, sum(-share * ln(share)) AS entropy, count(*) AS units FROM s GROUP BY 1) SELECT entity, total, units_with_first, round(hhi, 6) AS hhi, round(top1, 6) AS top1, round(top3, 6) AS top3, round(entropy, 6) AS entropy, units, round(1 / hhi, 6) AS effective, round(units / (SELECT count(DISTINCT unit) FROM facts), 6) AS coverage, CASE WHEN hhi > 0.25 THEN 'concentrated' WHEN hhi >= 0.10 THEN 'moderate' ELSE 'diversified' END AS label, total < 3 AS small_sample FROM c")
 def _(t):
     return A.concentration(facts(t)).withColumns({c: F.round(c, 6) for c in ("hhi", "top1", "top3", "entropy", "effective", "coverage")})
 
 
-@query("agg19", f"{BY_CELL} SELECT entity, unit, total, CASE WHEN total >= 2 THEN round((total / sum(total) OVER (PARTITION BY entity)) / (sum(total) OVER (PARTITION BY unit) / sum(total) OVER ()), 6) END AS rca FROM t")
+@query("agg19", f"{BY_CELL} SELECT entity, unit, n1, total, round(total / sum(total) OVER (PARTITION BY entity), 6) AS share_of_entity, round(sum(total) OVER (PARTITION BY unit) / sum(total) OVER (), 6) AS unit_share, CASE WHEN total >= 2 THEN round((total / sum(total) OVER (PARTITION BY entity)) / (sum(total) OVER (PARTITION BY unit) / sum(total) OVER ()), 6) END AS rca, total < 3 AS small_sample FROM t")
+def _(t):
+    return A.specialisation(facts(t)).withColumns({c: F.round(c, 6) for c in ("share_of_entity", "unit_share", "rca")})
+
+
+@query("agg20", f"WITH {FACTS}, e AS (SELECT entity, unit, event, count(*) AS n, count(*) FILTER (tier = 'A') AS n1 FROM facts GROUP BY ALL), c AS (SELECT unit, count(DISTINCT event) AS completed FROM facts GROUP BY 1) SELECT entity, unit, CAST(sum(n1) AS BIGINT) AS n1, CAST(sum(n) AS BIGINT) AS total, count(*) FILTER (n >= 2) AS sweeps, any_value(completed) AS completed, round(sum(n) / any_value(completed), 6) AS event_conversion, round(sum(n1) / any_value(completed), 6) AS first_conversion FROM e JOIN c USING (unit) GROUP BY 1, 2")
 def _(t):
-    return A.specialisation(facts(t)).withColumn("rca", F.round("rca", 6))
+    return A.conversion(facts(t)).withColumns({c: F.round(c, 6) for c in ("event_conversion", "first_conversion")})
 
 
-@query("agg20", f"WITH {FACTS}, e AS (SELECT entity, unit, event, count(*) AS n FROM facts GROUP BY ALL) SELECT entity, unit, CAST(sum(n) AS BIGINT) AS results, count(*) AS events, count(*) FILTER (n >= 2) AS sweeps, round(sum(n) / count(*), 6) AS per_event FROM e GROUP BY 1, 2")
+@query("agg20_completed", f"WITH {FACTS}, o AS (SELECT p_brand AS unit, count(*) AS events_total, count(*) FILTER (o_orderstatus = 'F') AS completed FROM (SELECT DISTINCT p_brand, o_orderkey, o_orderstatus FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey) GROUP BY 1), e AS (SELECT entity, unit, count(*) AS total, count(*) FILTER (tier = 'A') AS n1 FROM facts GROUP BY ALL) SELECT entity, unit, n1, total, completed, events_total, round(completed / events_total, 6) AS completed_share, completed < events_total AS partial, round(total / completed, 6) AS event_conversion, round(n1 / completed, 6) AS first_conversion FROM e JOIN o USING (unit)")
 def _(t):
-    return A.conversion(facts(t)).withColumn("per_event", F.round("per_event", 6))
+    out = A.conversion(facts(t), done(t)).withColumns({c: F.round(c, 6) for c in ("completed_share", "event_conversion", "first_conversion")})
+    return out.drop("sweeps")
 
 
 @query("agg21", f"{BY_CELL}, s AS (SELECT unit, total / sum(total) OVER (PARTITION BY unit) AS share FROM t) SELECT unit, round(10000 * sum(share * share), 3) AS hhi, round(max(share), 6) AS leader_share FROM s GROUP BY 1")
@@ -501,16 +567,14 @@ def _(t):
     return wide.unpivot("name", ["F", "O"], "status", "n")
 
 
-@query("agg26", f"{BY_ENTITY} SELECT entity, round(100 * n1 / total, 2) AS p1, round(100 * n2 / total, 2) AS p2, round(100 * n3 / total, 2) AS p3, points, row_number() OVER (ORDER BY points DESC, entity) AS position FROM t")
+@query("agg26", f"{BY_ENTITY}, c AS (SELECT entity, count(*) FILTER (category = '1-URGENT') AS c1, count(*) FILTER (category = '2-HIGH') AS c2, count(*) FILTER (category = '3-MEDIUM') AS c3, count(*) FILTER (category = '4-NOT SPECIFIED') AS c4, count(*) FILTER (category = '5-LOW') AS c5 FROM facts GROUP BY 1) SELECT row_number() OVER (ORDER BY n1 DESC, n2 DESC, n3 DESC, entity) AS position, entity, n1, n2, n3, total, c1, c2, c3, round(100 * total / sum(total) OVER (), 2) AS share, round(100 * n1 / sum(n1) OVER (), 2) AS first_share, round(100 * c1 / total, 1) AS c1_share, round(100 * c2 / total, 1) AS c2_share, round(100 * c3 / total, 1) AS c3_share, round(100 * n1 / total, 1) AS first_rate, points FROM t JOIN c USING (entity)")
 def _(t):
-    s = A.tier_counts(facts(t), ["entity"])
-    parts = [F.round(100 * F.col(f"n{k}") / F.col("total"), 2).alias(f"p{k}") for k in (1, 2, 3)]
-    return s.select("entity", *parts, "points", F.row_number().over(Window.orderBy(F.desc("points"), "entity")).alias("position"))
+    return A.standings(facts(t), PRIORITIES[:3])
 
 
-@query("agg27", f"{BY_ENTITY}, s AS (SELECT total / sum(total) OVER () AS share, row_number() OVER (ORDER BY total DESC, entity) AS p FROM t) SELECT round(sum(share * share), 6) AS hhi, round(sum(share) FILTER (p <= 1), 6) AS top1, round(sum(share) FILTER (p <= 3), 6) AS top3, round(sum(share) FILTER (p <= 5), 6) AS top5, round(sum(share) FILTER (p <= 10), 6) AS top10 FROM s")
+@query("agg27", f"{BY_ENTITY}, s AS (SELECT total, total / sum(total) OVER () AS share, n1 / sum(n1) OVER () AS f, row_number() OVER (ORDER BY total DESC, entity) AS p FROM t) SELECT count(*) AS entities, CAST(sum(total) AS BIGINT) AS total, round(10000 * sum(share * share), 1) AS hhi, round(10000 * sum(f * f), 1) AS hhi_first, round(100 * sum(share) FILTER (p <= 1), 1) AS top1, round(100 * sum(share) FILTER (p <= 3), 1) AS top3, round(100 * sum(share) FILTER (p <= 5), 1) AS top5, round(100 * sum(share) FILTER (p <= 10), 1) AS top10 FROM s")
 def _(t):
-    return A.overall_concentration(facts(t)).select(*[r(c) for c in ("hhi", "top1", "top3", "top5", "top10")])
+    return A.overall_concentration(facts(t))
 
 
 @query("agg28", f"WITH {FACTS}, t AS (SELECT category, entity, count(*) AS n FROM facts GROUP BY 1, 2) SELECT category, entity, n, row_number() OVER (PARTITION BY category ORDER BY n DESC, entity) AS place FROM t QUALIFY place <= 5")
@@ -542,15 +606,22 @@ def _(t):
     return A.duplicate_rows(t("lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("agg33", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, count(DISTINCT {c}) AS \"distinct\", min(CAST({c} AS VARCHAR)) AS least, max(CAST({c} AS VARCHAR)) AS most FROM part" for c in ("p_brand", "p_type")))
+@query("agg33", "SELECT 'p_brand' AS \"column\", 'text' AS type, count(*) AS rows, count(*) - count(p_brand) AS nulls, round((count(*) - count(p_brand)) / count(*), 6) AS null_share, count(DISTINCT p_brand) AS \"distinct\", min(CAST(p_brand AS VARCHAR)) AS least, max(CAST(p_brand AS VARCHAR)) AS most, (SELECT string_agg(p || '=' || v, ',' ORDER BY p) FROM (SELECT min(p_partkey) AS p, CAST(p_brand AS VARCHAR) AS v FROM part GROUP BY 2 ORDER BY 1 LIMIT 5)) AS examples FROM part UNION ALL SELECT 'p_size' AS \"column\", 'integer' AS type, count(*) AS rows, count(*) - count(p_size) AS nulls, round((count(*) - count(p_size)) / count(*), 6) AS null_share, count(DISTINCT p_size) AS \"distinct\", min(CAST(p_size AS VARCHAR)) AS least, max(CAST(p_size AS VARCHAR)) AS most, (SELECT string_agg(p || '=' || v, ',' ORDER BY p) FROM (SELECT min(p_partkey) AS p, CAST(p_size AS VARCHAR) AS v FROM part GROUP BY 2 ORDER BY 1 LIMIT 5)) AS examples FROM part")
 def _(t):
-    parts = [F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.count_distinct(c).alias("distinct"), F.min(c).alias("least"), F.max(c).alias("most")) for c in ("p_brand", "p_type")]
-    return t("part").agg(F.array(*parts).alias("all")).select(F.inline("all"))
+    found = A.profile(t("part"), ["p_brand", "p_size"], row_id="p_partkey")
+    shown = F.array_join(F.transform("examples", lambda e: F.concat_ws("=", e["row"].cast("string"), e["value"])), ",")
+    return found.select("column", "type", "rows", "nulls", "null_share", "distinct", "least", "most", shown.alias("examples"))
 
 
-@query("agg34", "SELECT 's_name' AS \"column\", count(*) AS n_text, 0 AS n_integer FROM supplier UNION ALL SELECT 's_suppkey', 0, count(*) FROM supplier")
+#: Values of every class, dealt over the customers.
+CLASSED = ('1', '-0', '007', '1.', '.5', '007.5', '1.50', '2e5', '1,5', 'true', '2024-02-29', '2023-02-29', '2024-01-05T10:20', '2024-01-05 25:00', 'n/a', '99999999999999999999')
+
+
+@query("agg34", "SELECT 'v' AS \"column\", count(*) FILTER (k IN (9)) AS n_boolean, count(*) FILTER (k IN (0,1)) AS n_integer, count(*) FILTER (k IN (6,7)) AS n_decimal, count(*) FILTER (k IN (10)) AS n_date, count(*) FILTER (k IN (12)) AS n_datetime, count(*) FILTER (k IN (2,3,4,5,8,11,13,14,15)) AS n_text, 'mixed' AS type, 'DECIMAL_COMMA,LEADING_ZERO,NO_SUCH_DAY,NULL_WORD,TOO_LARGE' AS hints FROM (SELECT c_custkey % 16 AS k FROM customer)")
 def _(t):
-    return A.profile(t("supplier"), ["s_name", "s_suppkey"]).select("column", "n_text", "n_integer")
+    value = F.element_at(F.array(*map(F.lit, CLASSED)), (F.col("c_custkey") % 16 + 1).cast("int"))
+    found = A.profile(t("customer").select(value.alias("v")), ["v"])
+    return found.select("column", *[f"n_{k}" for k in A.CLASSES[:-1]], "type", F.array_join("hints", ",").alias("hints"))
 
 
 @query("agg35", "SELECT source, lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1, 2")
@@ -558,10 +629,31 @@ def _(t):
     return t("documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query("agg36", "SELECT 'orders' AS name, count(*) > 0 AS passed FROM orders UNION ALL SELECT 'no_null_keys', count(*) = count(o_orderkey) FROM orders UNION ALL SELECT 'unique_keys', count(*) = count(DISTINCT o_orderkey) FROM orders")
+#: Figures of the orders and what they must be.
+ACCEPTED = {
+        "rows": ("count(*)", "count(*)"),
+        "distinct_keys": ("count(DISTINCT o_orderkey)", "count(*)"),
+        "null_keys": ("count(*) - count(o_orderkey)", "0"),
+        "null_customers": ("count(*) - count(o_custkey)", "0"),
+        "statuses": ("count(DISTINCT o_orderstatus)", "3"),
+        "priorities": ("count(DISTINCT o_orderpriority)", "5"),
+        "parts_of_statuses": ("count_if(o_orderstatus = 'F') + count_if(o_orderstatus = 'O') + count_if(o_orderstatus = 'P')", "count(*)"),
+        "negative_prices": ("count_if(o_totalprice < 0)", "0"),
+        "null_prices": ("count(*) - count(o_totalprice)", "0"),
+        "null_dates": ("count(*) - count(o_orderdate)", "0"),
+        "urgent": ("count_if(o_orderpriority = '1-URGENT')", "count(*) - count_if(o_orderpriority <> '1-URGENT')"),
+        "finished": ("count_if(o_orderstatus = 'F')", "count_if(o_orderstatus IN ('F'))"),
+        "before_1990": ("count_if(year(o_orderdate) < 1990)", "0"),
+        "after_2000": ("count_if(year(o_orderdate) > 2000)", "0"),
+        "mean_price": ("avg(o_totalprice)", "sum(o_totalprice) / count(*)"),
+        "wrong_on_purpose": ("count(*)", "count(*) + 1"),
+}
+
+
+@query("agg36", "SELECT name, round(CAST(found AS DOUBLE), 4) AS found, round(CAST(expected AS DOUBLE), 4) AS expected, abs(found - expected) <= 1e-9 * greatest(1, abs(expected)) AS passed FROM (SELECT 'rows' AS name, count(*) AS found, count(*) AS expected FROM orders UNION ALL SELECT 'distinct_keys' AS name, count(DISTINCT o_orderkey) AS found, count(*) AS expected FROM orders UNION ALL SELECT 'null_keys' AS name, count(*) - count(o_orderkey) AS found, 0 AS expected FROM orders UNION ALL SELECT 'null_customers' AS name, count(*) - count(o_custkey) AS found, 0 AS expected FROM orders UNION ALL SELECT 'statuses' AS name, count(DISTINCT o_orderstatus) AS found, 3 AS expected FROM orders UNION ALL SELECT 'priorities' AS name, count(DISTINCT o_orderpriority) AS found, 5 AS expected FROM orders UNION ALL SELECT 'parts_of_statuses' AS name, count(*) FILTER (o_orderstatus = 'F') + count(*) FILTER (o_orderstatus = 'O') + count(*) FILTER (o_orderstatus = 'P') AS found, count(*) AS expected FROM orders UNION ALL SELECT 'negative_prices' AS name, count(*) FILTER (o_totalprice < 0) AS found, 0 AS expected FROM orders UNION ALL SELECT 'null_prices' AS name, count(*) - count(o_totalprice) AS found, 0 AS expected FROM orders UNION ALL SELECT 'null_dates' AS name, count(*) - count(o_orderdate) AS found, 0 AS expected FROM orders UNION ALL SELECT 'urgent' AS name, count(*) FILTER (o_orderpriority = '1-URGENT') AS found, count(*) - count(*) FILTER (o_orderpriority <> '1-URGENT') AS expected FROM orders UNION ALL SELECT 'finished' AS name, count(*) FILTER (o_orderstatus = 'F') AS found, count(*) FILTER (o_orderstatus IN ('F')) AS expected FROM orders UNION ALL SELECT 'before_1990' AS name, count(*) FILTER (year(o_orderdate) < 1990) AS found, 0 AS expected FROM orders UNION ALL SELECT 'after_2000' AS name, count(*) FILTER (year(o_orderdate) > 2000) AS found, 0 AS expected FROM orders UNION ALL SELECT 'mean_price' AS name, avg(o_totalprice) AS found, sum(o_totalprice) / count(*) AS expected FROM orders UNION ALL SELECT 'wrong_on_purpose' AS name, count(*) AS found, count(*) + 1 AS expected FROM orders)")
 def _(t):
-    checks = t("orders").agg((F.count("*") > 0).alias("orders"), (F.count("*") == F.count("o_orderkey")).alias("no_null_keys"), (F.count("*") == F.count_distinct("o_orderkey")).alias("unique_keys"))
-    return checks.withColumn("i", F.lit(1)).unpivot("i", ["orders", "no_null_keys", "unique_keys"], "name", "passed").drop("i")
+    checks = {name: (F.expr(found), F.expr(expected)) for name, (found, expected) in ACCEPTED.items()}
+    return A.checked(t("orders"), checks).withColumns({c: F.round(c, 4) for c in ("found", "expected")})
 
 
 @query("agg37", "SELECT 'priority' AS name, count(priority) AS filled, count(*) AS rows FROM " + NULLED)
@@ -626,9 +718,9 @@ def _(t):
     return W.dense_timeline(m, "g", "day", "n")
 
 
-@query("win07", f"{BY_CELL}, b AS (SELECT entity, unit, points, coalesce(CAST(sum(points) OVER (PARTITION BY entity ORDER BY points DESC, unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before, sum(points) OVER (PARTITION BY entity) AS a FROM t) SELECT entity, unit, points, before, CASE WHEN before * 100 < 60 * a THEN 'Core' WHEN before * 100 < 90 * a THEN 'Secondary' ELSE 'Tail' END AS tier_name FROM b")
+@query("win07", f"{BY_CELL}, b AS (SELECT *, coalesce(CAST(sum(points) OVER (PARTITION BY entity ORDER BY points DESC, unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before, sum(points) OVER (PARTITION BY entity) AS a, (total / sum(total) OVER (PARTITION BY entity)) / (sum(total) OVER (PARTITION BY unit) / sum(total) OVER ()) AS rca FROM t), u AS (SELECT unit, count(DISTINCT event) AS unit_events FROM facts GROUP BY 1) SELECT entity, unit, coalesce(n1, 0) AS n1, coalesce(n2, 0) AS n2, coalesce(n3, 0) AS n3, coalesce(total, 0) AS total, coalesce(points, 0) AS points, round(coalesce(points / a, 0), 6) AS points_share, round((before + points) / a, 6) AS cumulative_share, CASE WHEN total IS NULL THEN 'No results' WHEN before * 100 < 60 * a THEN 'Core' WHEN before * 100 < 90 * a THEN 'Secondary' ELSE 'Tail' END AS tier_name, coalesce(total >= 3 AND rca >= 1.5, false) AS specialised, coalesce(total >= 3 AND n1 / total >= 0.5, false) AS first_heavy, unit_events FROM (SELECT DISTINCT entity FROM facts) CROSS JOIN u LEFT JOIN b USING (entity, unit)")
 def _(t):
-    return W.pareto_tiers(A.tier_counts(facts(t), ["entity", "unit"]).select("entity", "unit", "points"), ["entity"], "unit", "points")
+    return A.strength_tiers(facts(t)).withColumns({c: F.round(c, 6) for c in ("points_share", "cumulative_share")})
 
 
 @query("win08", "SELECT c_nationkey, c_custkey, c_acctbal, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer QUALIFY place <= 2")
@@ -730,9 +822,10 @@ def _(t):
     return t("part").select("p_partkey", F.array_sort(S.terms(F.col("p_type"))).alias("words"))
 
 
-@query("str05", "SELECT conv_id, turn, len(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*')) AS n FROM conversations")
+@query("str05", "SELECT conv_id, turn, len(regexp_extract_all(text || ' Twenty-one, ½ and 3.5', '[0-9]+(?:[.,][0-9]+)*')) + 3 + len(regexp_extract_all(lower(text), '\\\\b(one|two|three|first|second|half)\\\\b')) AS n FROM conversations WHERE NOT regexp_matches(lower(text), '\\\\b(zero|four|five|six|seven|eight|nine|ten|third|double|million|hundred|thousand|dozen|twice)')")
 def _(t):
-    return t("conversations").select("conv_id", "turn", F.size(S.number_tokens(F.col("text"))).cast("long").alias("n"))
+    rows = t("conversations").filter(r"not lower(text) rlike '\\b(zero|four|five|six|seven|eight|nine|ten|third|double|million|hundred|thousand|dozen|twice)'")
+    return rows.select("conv_id", "turn", F.size(S.number_tokens(F.concat("text", F.lit(" Twenty-one, ½ and 3.5")))).cast("long").alias("n"))
 
 
 @query("str06", "SELECT p_partkey, CASE WHEN length(p_name) > 10 THEN substr(p_name, 1, 9) || '…' ELSE p_name END AS name FROM part")
@@ -760,9 +853,14 @@ def _(t):
     return t("orders").select("o_orderkey", S.code_prefix(F.col("o_orderpriority")).alias("code"))
 
 
-@query("str11", f"SELECT page_id, {HOST} AS host FROM pages")
+@query("str11", f"SELECT page_id, {HOST} AS host, CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'BAD_SCHEME' WHEN 2 THEN 'CREDENTIALS' ELSE 'BAD_PORT' END AS reason, CASE WHEN page_id % 4 = 0 THEN regexp_extract(lower(url), '^[a-z]+://([^/:?#]+)', 1) END AS checked_host, page_id % 4 <> 1 AS related FROM pages WHERE url IS NOT NULL")
 def _(t):
-    return t("pages").select("page_id", S.host(F.col("url")).alias("host"))
+    name, path = F.regexp_extract("url", "^[A-Za-z]+://([^/:?#]+)", 1), F.regexp_replace("url", "^[A-Za-z]+://[^/?#]+", "")
+    k = F.col("page_id") % 4
+    url = F.concat(F.when(k == 1, "http://").otherwise("HTTPS://"), F.when(k == 2, "me:pass@").otherwise(""), name, F.when(k == 3, ":8443").otherwise(""), path, F.lit("#part"))
+    found, plain = S.checked_url(url), S.host(F.col("url"))
+    other = F.when(k == 1, F.concat(F.lit("not"), plain)).when(k == 2, F.concat(F.lit("www."), plain)).otherwise(F.concat(F.lit("a."), plain))
+    return t("pages").filter("url is not null").select("page_id", plain.alias("host"), found["reason"].alias("reason"), found["host"].alias("checked_host"), S.related_host(plain, other).alias("related"))
 
 
 @query("num01", "SELECT c_custkey, CAST(c_acctbal AS VARCHAR) IS NOT NULL AS ok, c_acctbal AS value FROM customer")
@@ -796,11 +894,14 @@ def _(t):
     return t("events").agg(F.count_if(S.is_midnight(F.col("ts"))).alias("midnight"), F.count("*").alias("n"))
 
 
-@query("dat07", "WITH m AS (SELECT max(o_orderdate) AS now FROM orders) SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'pruned' WHEN date_diff('day', o_orderdate::DATE, now::DATE) > 30 THEN 'stale' ELSE 'current' END AS age FROM orders, m")
+@query("dat07", "WITH m AS (SELECT max(o_orderdate) AS now FROM orders) SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'pruned' WHEN o_orderkey % 7 = 0 THEN 'upload' WHEN o_orderkey % 3 <> 0 AND o_orderdate + INTERVAL 400 DAY <= now THEN 'expired' WHEN now - o_orderdate > INTERVAL 30 DAY THEN 'stale' ELSE 'current' END AS state, CASE WHEN o_orderkey % 5 = 0 THEN 'never_succeeded' WHEN o_orderstatus = 'P' THEN 'failing' WHEN now - o_orderdate > INTERVAL 600 DAY THEN 'stale' ELSE 'fresh' END AS freshness FROM orders, m")
 def _(t):
     o = t("orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
-    age = F.datediff("now", "o_orderdate")
-    return o.crossJoin(o.agg(F.max("o_orderdate").alias("now"))).select("o_orderkey", V.freshness(age, F.lit(1), F.col("o_orderstatus") == "P").alias("age"))  # one row
+    k, at, now = F.col("o_orderkey"), F.col("o_orderdate"), F.col("now")
+    until, pruned = F.when(k % 3 != 0, at + F.expr("interval 400 days")), F.when(k % 11 == 0, at)
+    state = V.source_state(F.when(k % 7 == 0, "upload").otherwise("web"), at, until, pruned, now)
+    fresh = V.freshness(F.when(k % 5 != 0, at), F.when(F.col("o_orderstatus") == "P", "failed").otherwise("success"), now, 600 * 24 * 60)
+    return o.crossJoin(o.agg(F.max("o_orderdate").alias("now"))).select("o_orderkey", state.alias("state"), fresh.alias("freshness"))  # one row
 
 
 @query("jsn01", "SELECT event_id, props ->> '$.k' AS k FROM events")
@@ -855,13 +956,17 @@ def _(t):
 # ---- cleaning ----
 
 
-@query("cln01", "SELECT o_orderkey AS row_id, o_totalprice AS price, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderstatus <> 'P'")
+@query("cln01", "SELECT o_orderkey AS row_id, o_totalprice AS price, o_custkey AS buyer, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderstatus <> 'P'")
 def _(t):
-    raw = t("orders").select(F.col("o_orderkey").alias("row_id"), F.when(F.col("o_orderstatus") == "P", "n/a").otherwise(F.col("o_totalprice").cast("string")).alias("price"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("day"))
-    return C.clean(raw, C.CleanPlan(trim=("price", "day"), numbers={"price": ("", ".")}, dates={"day": "%d/%m/%Y"}))[0]
+    raw = t("orders").select(
+        F.col("o_orderkey").alias("row_id"), F.when(F.col("o_orderstatus") == "P", "n/a").otherwise(F.col("o_totalprice").cast("string")).alias("price"), F.format_string(" %d ", F.col("o_custkey").cast("long")).alias("buyer"),
+        F.date_format("o_orderdate", "dd/MM/yyyy").alias("day"), F.lit(" ").alias("nothing"),
+    )
+    plan = C.CleanPlan(trim=("price", "buyer", "day", "nothing"), drop_empty=("nothing",), numbers={"price": ("", "."), "buyer": ("", ".")}, dates={"day": "%d/%m/%Y"}, max_reject_share=0.5)
+    return C.clean(raw, plan)[0]
 
 
-@query("cln02", "SELECT o_orderkey AS row_id, 'price' AS \"column\", 'n/a' AS original_value, 'NOT_A_NUMBER' AS reason FROM orders WHERE o_orderstatus = 'P'")
+@query("cln02", "SELECT o_orderkey AS row_id, 'parse_number' AS operation, 'price' AS \"column\", 'n/a' AS original_value, 'NOT_A_NUMBER' AS reason FROM orders WHERE o_orderstatus = 'P'")
 def _(t):
     raw = t("orders").select(F.col("o_orderkey").alias("row_id"), F.when(F.col("o_orderstatus") == "P", "n/a").otherwise(F.col("o_totalprice").cast("string")).alias("price"))
     return C.clean(raw, C.CleanPlan(numbers={"price": ("", ".")}))[1]
@@ -890,9 +995,11 @@ def _(t):
 # ---- versioned state ----
 
 
-@query("sta01", "WITH c AS (SELECT *, lag(event_type) OVER w AS b, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), v AS (SELECT * FROM c WHERE n = 1 OR event_type IS DISTINCT FROM b) SELECT user_id, event_type, ts AS valid_from, lead(ts) OVER w AS valid_to, lead(ts) OVER w IS NULL AS is_current, CASE WHEN n = 1 THEN 'created' ELSE 'reallocated' END AS action FROM v WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+@query("sta01", "WITH c AS (SELECT user_id, event_type, event_id % 3 = 0 AS detail, CASE WHEN event_id % 4 <> 0 THEN CAST(ts AS DATE) END AS day, ts, event_id FROM events), l AS (SELECT *, row_number() OVER w AS n, lag(event_type) OVER w AS b, lag(detail) OVER w AS bd FROM c WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), i AS (SELECT *, sum(CASE WHEN n = 1 OR event_type IS DISTINCT FROM b OR detail IS DISTINCT FROM bd THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS stay FROM l), d AS (SELECT *, row_number() OVER w = 1 AS opens, last_value(day IGNORE NULLS) OVER (PARTITION BY user_id, stay ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known, first_value(day IGNORE NULLS) OVER (PARTITION BY user_id, stay ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ever FROM i WINDOW w AS (PARTITION BY user_id, stay ORDER BY ts, event_id)), v AS (SELECT * FROM d WHERE opens OR day <> known) SELECT user_id, event_type, detail, CASE WHEN opens THEN ever ELSE day END AS day, ts AS valid_from, lead(ts) OVER w AS valid_to, lead(ts) OVER w IS NULL AS is_current, CASE WHEN n = 1 THEN 'created' WHEN opens AND event_type IS DISTINCT FROM b THEN 'reallocated' ELSE 'corrected' END AS action FROM v WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def _(t):
-    return V.validity(t("events"), ["user_id"], ["ts", "event_id"], "event_type", "ts")
+    day = F.when(F.col("event_id") % 4 != 0, F.to_date("ts"))
+    claims = t("events").select("user_id", "event_type", (F.col("event_id") % 3 == 0).alias("detail"), day.alias("day"), "ts", "event_id")
+    return V.validity(claims, ["user_id"], ["ts", "event_id"], "event_type", "ts", "detail", "day")
 
 
 @query("sta02", "WITH n AS (SELECT event_id, user_id, event_type, row_number() OVER w AS n, lag(event_type) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), f AS (SELECT *, min(n) OVER (PARTITION BY user_id, event_type) AS m FROM n) SELECT event_id, CASE WHEN event_type = b THEN 'unchanged' WHEN n = m THEN 'new_version' ELSE 'reverted' END AS outcome, CAST(sum(CASE WHEN n = m THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS versions FROM f")
@@ -900,16 +1007,17 @@ def _(t):
     return V.raw_versions(t("events"), "user_id", ["event_id"], "event_type").select("event_id", "outcome", F.col("versions").cast("long"))
 
 
-@query("sta03", "SELECT coalesce(s_suppkey, c_custkey) AS k, coalesce(c_name, s_name) AS name FROM supplier FULL JOIN (SELECT * FROM customer WHERE c_custkey <= 50) ON s_suppkey = c_custkey")
+@query("sta03", "SELECT coalesce(s_suppkey, c_custkey) AS k, coalesce(c_name, s_name) AS name FROM supplier FULL JOIN customer ON s_suppkey = c_custkey")
 def _(t):
     state = t("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
-    return V.upsert(state, t("customer").filter("c_custkey <= 50").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name")), ["k"])
+    return V.upsert_named(state, t("customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name")), "k", "name")
 
 
-@query("sta04", "SELECT l_orderkey, l_linenumber, CASE WHEN l_tax < 0.02 THEN 'agreement' WHEN l_returnflag = 'A' AND l_quantity > 25 THEN 'accepted' WHEN l_returnflag = 'A' THEN 'stale' WHEN l_linestatus = 'O' THEN 'still_disagrees' ELSE 'conflict' END AS decision FROM lineitem")
+@query("sta04", "SELECT l_orderkey, l_linenumber, CASE WHEN NOT dis AND op AND oth THEN true WHEN NOT dis OR NOT acc THEN true WHEN off THEN true ELSE false END AS applies, CASE WHEN NOT dis AND op AND oth THEN 'AGREEMENT' WHEN NOT dis OR NOT acc THEN NULL WHEN off AND op THEN 'OFFICIAL_STILL_DISAGREES' WHEN off THEN 'OFFICIAL_FRESH' WHEN od AND fr THEN 'OFFICIAL_FRESH' WHEN od THEN 'OFFICIAL_STALE' ELSE 'NON_OFFICIAL' END AS rule, CASE WHEN NOT dis AND op AND oth THEN 'resolved' WHEN NOT dis OR NOT acc THEN NULL WHEN off AND op THEN 'needs_review' WHEN off OR (od AND fr) THEN 'auto_resolved' ELSE 'needs_review' END AS status, coalesce(dis AND acc AND NOT off AND od AND NOT fr, false) AS refetch FROM (SELECT l_orderkey, l_linenumber, l_returnflag = 'A' AS off, l_quantity > 10 AS dis, l_discount > 0.01 AS acc, l_linestatus = 'O' AS op, l_tax > 0.01 AS oth, l_quantity > 25 AS od, l_discount > 0.05 AS fr FROM lineitem)")
 def _(t):
-    d = V.decide(F.col("l_returnflag") == "A", F.col("l_tax") < 0.02, F.col("l_quantity") > 25, F.col("l_linestatus") == "O")
-    return t("lineitem").select("l_orderkey", "l_linenumber", d.alias("decision"))
+    c = F.col
+    answer = V.decide(c("l_returnflag") == "A", c("l_quantity") > 10, c("l_discount") > 0.01, c("l_linestatus") == "O", c("l_tax") > 0.01, c("l_quantity") > 25, c("l_discount") > 0.05)
+    return t("lineitem").select("l_orderkey", "l_linenumber", answer.alias("a")).select("l_orderkey", "l_linenumber", "a.*")
 
 
 @query("sta05", "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'O' THEN 'closed' WHEN o_orderpriority = '1-URGENT' THEN 'accepted' ELSE 'open' END AS status FROM orders")
@@ -928,16 +1036,17 @@ def _(t):
     return new.withColumn("part", F.lit("new")).unionByName(resolved.withColumn("part", F.lit("resolved")))
 
 
-@query("sta08", "SELECT y, n FROM (SELECT year(o_orderdate) AS y, count(*) AS n, lag(count(*)) OVER (ORDER BY year(o_orderdate)) AS b FROM orders GROUP BY 1) WHERE n IS DISTINCT FROM b")
+@query("sta08", "WITH h AS (SELECT event_type, date_trunc('hour', ts) AS taken, count(*) % 3 AS n FROM events GROUP BY 1, 2), p AS (SELECT *, CAST(taken + INTERVAL 5 HOUR AS DATE) AS day FROM h), m AS (SELECT *, n IS DISTINCT FROM lag(n) OVER (PARTITION BY event_type ORDER BY taken) AS moved, row_number() OVER (PARTITION BY event_type, day ORDER BY taken) = 1 AS f FROM p) SELECT event_type, taken, day, 'change' AS kind FROM m WHERE moved UNION ALL SELECT event_type, taken, day, 'daily' FROM m WHERE f")
 def _(t):
-    y = t("orders").groupBy(F.year("o_orderdate").cast("long").alias("y")).agg(F.count("*").alias("n"))
-    return V.changed_snapshots(y.withColumn("fingerprint", F.sha2(F.col("n").cast("string"), 256)), "y").select("y", "n")
+    hours = t("events").groupBy("event_type", F.date_trunc("hour", "ts").alias("taken")).agg((F.count("*") % 3).alias("n"))
+    prints = hours.select("event_type", F.col("taken").cast("timestamp_ntz").alias("taken"), F.sha2(F.col("n").cast("string"), 256).alias("fingerprint"))
+    return V.taken_snapshots(prints, ["event_type"], "taken", "+05:00").select("event_type", "taken", "day", "kind")
 
 
-@query("sta11", "SELECT c_custkey, 'new' AS notice FROM customer WHERE c_acctbal < 0 AND c_custkey > 200 UNION ALL SELECT c_custkey, 'resolved' FROM customer WHERE c_acctbal >= 0 AND c_custkey <= 200")
+@query("sta11", "SELECT c_custkey, 'new' AS notice FROM customer WHERE c_acctbal < 0 AND c_mktsegment <> 'BUILDING' UNION ALL SELECT c_custkey, 'resolved' FROM customer WHERE c_acctbal >= 0 AND c_mktsegment = 'BUILDING'")
 def _(t):
     c = t("customer")
-    return V.alerts(c.filter("c_acctbal < 0").select("c_custkey"), c.filter("c_custkey <= 200").select("c_custkey"), ["c_custkey"])
+    return V.alerts(c.filter("c_acctbal < 0").select("c_custkey"), c.filter("c_mktsegment = 'BUILDING'").select("c_custkey"), ["c_custkey"])
 
 
 @query("sta13", "SELECT o_orderkey, o_orderdate < TIMESTAMP '1995-06-01' AS tombstone FROM orders")
@@ -951,9 +1060,12 @@ def _(t):
     return t("events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.count("*").alias("n"))
 
 
-@query("sta15", "SELECT event_id, CAST(props ->> '$.k' AS INTEGER) >= 0 AS verified FROM events")
+@query("sta15", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'not_found' WHEN 1 THEN 'verified' ELSE 'differs' END AS status FROM events WHERE props ->> '$.k' IS NOT NULL")
 def _(t):
-    return t("events").select("event_id", (S.json_at(F.col("props"), "/k").try_cast("int") >= 0).alias("verified"))
+    k = S.json_at(F.col("props"), "/k").try_cast("int")
+    pointer = F.when(F.col("event_id") % 3 == 0, "/absent").otherwise("/k")
+    claimed = F.when(F.col("event_id") % 3 == 1, F.concat(k.cast("string"), F.lit(".0"))).otherwise((k + 1).cast("string"))
+    return t("events").filter(k.isNotNull()).select("event_id", V.verified(F.col("props"), pointer, claimed).alias("status"))
 
 
 # ---- planner ----

@@ -25,16 +25,22 @@ def _(t):
     return t("supplier").select("s_suppkey", "s_name", "s_name", "s_acctbal").toDF(*R.headers([" s_suppkey ", "name", "name", ""], rename=True))
 
 
-@query("src06", "SELECT doc_id, length(text) AS n, CAST(NULL AS VARCHAR) AS reason FROM documents")
+@query("src06", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR text IS NULL THEN length(text) END AS n, CASE doc_id % 3 WHEN 1 THEN 'NOT_UTF8' WHEN 2 THEN 'NUL' END AS reason, CAST(CASE doc_id % 3 WHEN 1 THEN strlen(text) + 3 WHEN 2 THEN length(text) END AS BIGINT) AS \"offset\" FROM documents WHERE text IS NOT NULL")
 def _(t):
-    found = S.decoded(F.col("text").cast("binary"))
-    return t("documents").select("doc_id", F.length(found["text"]).cast("long").alias("n"), found["reason"].alias("reason"))
+    kinds = F.when(F.col("doc_id") % 3 == 0, F.lit(b"")).when(F.col("doc_id") % 3 == 1, F.lit("\ufffd".encode() + b"\xff")).otherwise(F.lit(b"\x00"))
+    found = S.decoded(F.concat(F.col("text").cast("binary"), kinds))
+    return t("documents").filter("text is not null").select("doc_id", F.length(found["text"]).cast("long").alias("n"), found["reason"].alias("reason"), found["offset"].cast("long").alias("offset"))
 
 
-@query("src14", "SELECT s_suppkey AS k, s_name AS name, s_acctbal AS amount FROM supplier")
+@query("src14", "SELECT n_nationkey + 1 AS row_id, CAST(n_nationkey AS VARCHAR) AS k, n_name AS name, CAST(n_regionkey AS VARCHAR) AS region, NULL::VARCHAR AS note FROM nation")
 def _(t):
-    lines = t("supplier").select(F.concat_ws(",", "s_suppkey", "s_name", "s_acctbal").alias("line"))
-    return lines.select(F.from_csv("line", "k bigint, name string, amount double", {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    from quillon.sources import writers as O
+    from quillon.sources.store import Store
+
+    nation = t("nation").orderBy("n_nationkey").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    store = Store(nation.sparkSession)
+    store.put("manual.csv", O.csv_bytes(nation))
+    return R.read_columns(nation.sparkSession, store.path("manual.csv"), ["k", "name"], ["region", "note"])
 
 
 @query("src19", "SELECT left(p_name, 6) AS alias, count(DISTINCT p_brand) AS targets FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1")
@@ -48,10 +54,12 @@ def _(t):
     return V.rehashed(stored, "text", "recorded").select("doc_id", "status")
 
 
-@query("src26", "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'expired' ELSE 'ok' END AS status FROM pages")
+@query("src26", "SELECT page_id, CASE WHEN DATE '2025-01-01' + CAST(page_id % 400 AS INTEGER) + 90 < DATE '2025-12-31' THEN 'expired' WHEN page_id % 11 = 0 THEN 'changed' ELSE 'ok' END AS status FROM pages")
 def _(t):
-    stored = V.rehashed(t("pages").withColumn("recorded", F.sha2("html", 256)), "html", "recorded")
-    return stored.select("page_id", F.when(F.col("page_id") % 5 == 0, "expired").otherwise(F.col("status")).alias("status"))
+    html = F.when(F.col("page_id") % 11 == 0, F.concat("html", F.lit("+"))).otherwise(F.col("html"))
+    fetched = F.date_add(F.lit("2025-01-01").cast("date"), (F.col("page_id") % 400).cast("int"))
+    stored = t("pages").select("page_id", "html", F.sha2(html, 256).alias("recorded"), F.date_add(fetched, 90).alias("retain_until"))
+    return V.scanned(stored, "html", "recorded", "retain_until", "2025-12-31").select("page_id", "status")
 
 
 @query("src30", "SELECT event_id, 'k' AS name, CAST(props ->> '$.k' AS INTEGER) AS value FROM events")
@@ -172,13 +180,17 @@ def _(t):
 
 @query("str02", "SELECT o_orderkey, trim(regexp_replace(lower(o_orderpriority), '[-_/.,;:| ]+', ' ', 'g')) AS key FROM orders")
 def _(t):
-    return t("orders").select("o_orderkey", S.matching_key(F.col("o_orderpriority")).alias("key"))
+    return t("orders").select("o_orderkey", S.plain_key(F.col("o_orderpriority")).alias("key"))
 
 
-@query("str04", "SELECT o_orderkey, [CAST(year(o_orderdate) AS VARCHAR)] AS years FROM orders WHERE year(o_orderdate) BETWEEN 1900 AND 2099")
+@query("str04", "SELECT o_orderkey, [CAST(year(o_orderdate) AS VARCHAR)] AS years, CASE o_orderkey % 3 WHEN 0 THEN ['united kingdom', 'france'] WHEN 1 THEN ['united states'] ELSE [] END AS places, CASE o_orderkey % 3 WHEN 0 THEN [] WHEN 1 THEN ['PLACE'] ELSE ['YEAR'] END AS mismatches FROM orders WHERE year(o_orderdate) BETWEEN 1950 AND 2099")
 def _(t):
-    note = F.concat(F.lit("placed in "), F.date_format("o_orderdate", "yyyy"), F.lit(", item 20199"))
-    return t("orders").select("o_orderkey", S.years(note).alias("years"))
+    place = F.when(F.col("o_orderkey") % 3 == 0, "the U.K. and a French port").when(F.col("o_orderkey") % 3 == 1, "American").otherwise("nowhere, thus")
+    note = F.concat(F.lit("placed in "), F.date_format("o_orderdate", "yyyy"), F.lit(", item 20199, "), place)
+    year = F.when(F.col("o_orderkey") % 3 == 2, "1951").otherwise(F.date_format("o_orderdate", "yyyy"))
+    asked = F.concat(F.lit("imports of Scotland in "), year)
+    none = F.array().cast("array<string>")
+    return t("orders").select("o_orderkey", S.years(note).alias("years"), F.coalesce(S.places(note), none).alias("places"), F.coalesce(S.mismatches(asked, note), none).alias("mismatches"))
 
 
 @query("str12", "SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '%URGENT' OR o_orderpriority LIKE '%HIGH' THEN 'fast' WHEN o_orderpriority LIKE '%LOW' THEN 'slow' WHEN o_orderpriority LIKE '%MEDIUM' THEN 'open' END AS kind FROM orders")
@@ -281,15 +293,35 @@ def _(t):
 # ---- versioned state and decisions ----
 
 
-@query("sta06", "WITH n AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey) AS k, min(l_partkey) OVER s AS a, max(l_partkey) OVER s AS b FROM lineitem WINDOW s AS (PARTITION BY l_orderkey, l_linenumber)) SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN k > 1 THEN 'DUPLICATE' WHEN a <> b THEN 'SLOT_CONFLICT' END AS reason FROM n")
+@query("sta06", """WITH b AS (SELECT l_orderkey AS event, l_returnflag AS tier, CASE WHEN l_linenumber % 3 <> 0 THEN l_linenumber % 3 END AS slot, l_partkey % 5 AS entity, CASE WHEN l_orderkey % 2 = 0 OR l_linenumber > 5 THEN 'Team' ELSE 'Single' END AS kind, l_quantity > 25 AS tie, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 100 + CAST(l_quantity AS BIGINT) AS "row" FROM lineitem),
+ d AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY event, tier, slot, entity ORDER BY "row") > 1 THEN 'DUPLICATE' END AS r1 FROM b),
+ k AS (SELECT *, coalesce(r1, CASE WHEN kind <> first_value(kind) OVER (PARTITION BY event, r1 IS NULL ORDER BY "row") THEN 'KIND_CONFLICT' END) AS r2 FROM d),
+ s AS (SELECT *, coalesce(r2, CASE WHEN slot IS NOT NULL AND row_number() OVER (PARTITION BY event, tier, slot, r2 IS NULL ORDER BY "row") > 1 THEN 'SLOT_CONFLICT' END) AS r3 FROM k),
+ o AS (SELECT *, row_number() OVER (PARTITION BY event, tier, slot IS NULL, r3 IS NULL ORDER BY "row") AS turn, list(slot) FILTER (slot IS NOT NULL AND r3 IS NULL) OVER (PARTITION BY event, tier) AS taken FROM s),
+ f AS (SELECT * REPLACE (CASE WHEN slot IS NULL AND r3 IS NULL THEN list_filter(range(1, 30), lambda x: NOT list_contains(coalesce(taken, []), x))[turn] ELSE slot END AS slot) FROM o),
+ m AS (SELECT *, coalesce(r3, CASE WHEN slot <> 1 AND NOT (slot = 2 AND coalesce(tie AND max(CASE WHEN slot = 1 THEN CAST(tie AS INTEGER) END) OVER (PARTITION BY event, tier, r3 IS NULL) = 1, false)) THEN 'TOO_MANY' END) AS r4 FROM f)
+ SELECT event, tier, CAST(slot AS BIGINT) AS slot, entity, "row", coalesce(r4, CASE WHEN kind = 'Team' AND row_number() OVER (PARTITION BY event, entity, r4 IS NULL ORDER BY list_position(['A', 'N', 'R'], tier), slot) > 1 THEN 'TEAM_TWICE' END) AS reason FROM m""")
 def _(t):
-    return V.validated(t("lineitem"), ["l_orderkey"], "l_linenumber", "l_partkey")
+    slot = F.when(F.col("l_linenumber") % 3 != 0, F.col("l_linenumber") % 3).cast("long")
+    kind = F.when((F.col("l_orderkey") % 2 == 0) | (F.col("l_linenumber") > 5), "Team").otherwise("Single")
+    rows = t("lineitem").select(F.col("l_orderkey").alias("event"), F.col("l_returnflag").alias("tier"), slot.alias("slot"), (F.col("l_partkey") % 5).alias("entity"), kind.alias("kind"), (F.col("l_quantity") > 25).alias("tie"), (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey") * 100 + F.col("l_quantity").cast("long")).alias("row"))
+    return V.validated(rows, "event", "tier", "slot", "entity", "kind", "tie", "row", A.TIERS, "Team").drop("kind", "tie")
+
+
+SNAPSHOTS = """c AS (SELECT n_name AS entity, c_mktsegment AS unit, c_nationkey % 2 AS part, count(*) FILTER (c_acctbal < 5000) AS low_a, count(*) FILTER (c_acctbal >= 5000) AS high_a FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 <> 0 OR c_acctbal > 9000 GROUP BY ALL),
+ d AS (SELECT n_name AS entity, c_mktsegment AS unit, c_nationkey % 2 AS part, count(*) FILTER (c_acctbal < 5000) AS low_b, count(*) FILTER (c_acctbal >= 5000) AS high_b FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 4 <> 0 GROUP BY ALL)"""
 
 
-@query("sta09", "WITH a AS (SELECT c_nationkey AS k, rank() OVER (ORDER BY count(*) DESC) AS was FROM customer WHERE c_acctbal < 5000 GROUP BY 1), b AS (SELECT c_nationkey AS k, rank() OVER (ORDER BY count(*) DESC) AS now FROM customer GROUP BY 1) SELECT k, was, now FROM a JOIN b USING (k) WHERE was <> now")
+@query("sta09", f"""WITH {SNAPSHOTS}, j AS (SELECT entity, unit, part, coalesce(low_b, 0) - coalesce(low_a, 0) AS low, coalesce(high_b, 0) - coalesce(high_a, 0) AS high FROM c FULL JOIN d USING (entity, unit, part)),
+ g AS (SELECT 'gained' AS change, entity, unit, part, concat_ws(', ', CASE WHEN low > 0 THEN 'low +' || low END, CASE WHEN high > 0 THEN 'high +' || high END) AS detail FROM j UNION ALL SELECT 'lost', entity, unit, part, concat_ws(', ', CASE WHEN low < 0 THEN 'low ' || low END, CASE WHEN high < 0 THEN 'high ' || high END) FROM j),
+ ra AS (SELECT entity, rank() OVER (ORDER BY sum(low_a) DESC, sum(high_a) DESC) AS r FROM c GROUP BY 1), rb AS (SELECT entity, rank() OVER (ORDER BY sum(low_b) DESC, sum(high_b) DESC) AS r FROM d GROUP BY 1)
+ SELECT * FROM g WHERE detail <> '' UNION ALL SELECT 'new_unit', entity, unit, NULL, 'first results in this unit' FROM (SELECT entity, unit FROM d WHERE low_b + high_b > 0 EXCEPT SELECT entity, unit FROM c WHERE low_a + high_a > 0)
+ UNION ALL SELECT 'rank_change', entity, NULL, NULL, 'rank ' || ra.r || ' -> ' || rb.r FROM ra JOIN rb USING (entity) WHERE ra.r <> rb.r""")
 def _(t):
-    count = lambda d: d.groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n"))
-    return V.rank_changes(count(t("customer").filter("c_acctbal < 5000")), count(t("customer")), "k", "n")
+    c = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    counts = [F.count_if(F.col("c_acctbal") < 5000).alias("low"), F.count_if(F.col("c_acctbal") >= 5000).alias("high")]
+    taken = lambda d: d.groupBy(F.col("n_name").alias("entity"), F.col("c_mktsegment").alias("unit"), (F.col("c_nationkey") % 2).alias("part")).agg(*counts)
+    return V.snapshot_changes(taken(c.filter("c_custkey % 3 <> 0 or c_acctbal > 9000")), taken(c.filter("c_custkey % 4 <> 0")), "entity", "unit", ["part"], ["low", "high"])
 
 
 @query("sta10", "WITH m AS (SELECT max(o_orderdate) AS now FROM orders) SELECT o_orderkey, CASE WHEN o_orderstatus <> 'O' THEN 'done' WHEN date_diff('day', o_orderdate::DATE, now::DATE) > 400 THEN 'failed' ELSE 'running' END AS outcome, CASE WHEN o_orderstatus = 'O' AND date_diff('day', o_orderdate::DATE, now::DATE) > 400 THEN 'STUCK' END AS reason FROM orders, m")

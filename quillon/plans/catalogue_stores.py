@@ -195,7 +195,7 @@ def _(t):
     store.publish("bundle", {"priorities.csv": O.csv_bytes(counts)})
     if not all(store.verified("bundle").values()):
         raise R.Refused("the bundle is not what was written")
-    return R.open_table(counts.sparkSession, store.path("bundle/priorities.csv"))
+    return R.open_table(counts.sparkSession, store.path("bundle/priorities.csv")).table
 
 
 @query("snk09", "SELECT c_mktsegment AS namespace, count(*) AS n FROM customer WHERE c_mktsegment <> 'AUTOMOBILE' GROUP BY 1")

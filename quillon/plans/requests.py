@@ -176,7 +176,7 @@ def parse_cleaning(text: str, columns: list[str], row_id: str) -> CleanPlan:
             dates[listed(name)[0]] = form or "yyyy-MM-dd"
         else:
             raise NotUnderstood(f"no step {verb}")
-    return CleanPlan(trim, numbers, dates, duplicates, row_id)
+    return CleanPlan(trim=trim, numbers=numbers, dates=dates, duplicates=duplicates, row_id=row_id)
 
 
 def cards(df: DataFrame, numbers: list[str]) -> DataFrame:

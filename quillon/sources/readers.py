@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import json
 import zipfile
 import zlib
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,30 +40,103 @@ def headers(names: Sequence[str | None], rename: bool = False) -> list[str]:
     return out
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", strict: bool = True, rename: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Good rows as text, and ragged rows (the parsed rows are kept, as both are asked of them). With ``strict`` any ragged row refuses the file."""
-    first = spark.read.option("sep", sep).option("encoding", encoding).option("header", False).option("multiLine", True).csv(path).limit(1).collect()
-    if not first:
-        raise Refused("no header row")
-    names = headers(list(first[0]), rename)
-    schema = T.StructType([*(T.StructField(n, T.StringType()) for n in names), T.StructField("_broken", T.StringType())])
-    rows = (
-        spark.read.schema(schema).option("sep", sep).option("encoding", encoding).option("header", True).option("enforceSchema", True).option("multiLine", True)
-        .option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").csv(path).persist()
-    )
-    broken = rows.filter(F.col("_broken").isNotNull())
-    if strict and not broken.isEmpty():
-        raise Refused("a row has more or fewer cells than the header")
-    return rows.filter(F.col("_broken").isNull()).drop("_broken"), broken.select("_broken")
+def _written(df: DataFrame) -> DataFrame:
+    """The table, written to the shared folder and read back: later uses see the same rows whatever is computed again."""
+    from quillon.sources.store import shared_root
+
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/rows"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _running(df: DataFrame, value: Column, chunk: str = "chunk_", at: str = "at_") -> DataFrame:
+    """A column ``sum_`` with the sum of ``value`` over the rows before; rows are in order of chunk and place in it, and written.
+
+    Only one sum a chunk comes together in one task.
+    """
+    marked = df.withColumn("value_", value)
+    before = Window.orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    sums = marked.groupBy(chunk).agg(F.sum("value_").alias("in_")).select(chunk, F.coalesce(F.sum("in_").over(before), F.lit(0)).alias("skip_"))
+    own = F.coalesce(F.sum("value_").over(Window.partitionBy(chunk).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return marked.withColumn("own_", own).join(sums, chunk).withColumn("sum_", F.col("own_") + F.col("skip_")).drop("value_", "own_", "skip_")
 
 
 def number_rows(df: DataFrame) -> DataFrame:
-    """Dense row ids from 1 in file order: each task numbers its rows and adds the counts of the tasks before it."""
-    marked = df.withColumn("m_", F.monotonically_increasing_id()).withColumn("task_", F.shiftright("m_", 33)).withColumn("in_task_", F.col("m_").bitwiseAND((1 << 33) - 1))
-    from pyspark.sql import Window
+    """Dense row ids from 1 in the table's order. The rows are written with their task and place in it first, so all later steps see the same."""
+    mark = F.monotonically_increasing_id()
+    rows = _written(df.withColumn("chunk_", F.shiftright(mark, 33)).withColumn("at_", mark))
+    return _running(rows, F.lit(1)).withColumn("row_id", F.col("sum_") + 1).drop("chunk_", "at_", "sum_")
+
+
+@dataclass(frozen=True)
+class Csv:
+    """Good rows (``row_id`` and text columns), rejects (``row_id, original, reason``) and counts of what was skipped."""
+
+    table: DataFrame
+    rejects: DataFrame
+    blank_lines: int
+    ragged_rows: int
 
-    counts = marked.groupBy("task_").agg(F.count("*").alias("n_")).withColumn("skip_", F.coalesce(F.sum("n_").over(Window.orderBy("task_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return marked.join(F.broadcast(counts.select("task_", "skip_")), "task_").withColumn("row_id", F.col("in_task_") + F.col("skip_") + 1).drop("m_", "task_", "in_task_", "skip_")  # a row a task
+
+def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", ragged: str = "refuse", rename: bool = False) -> Csv:
+    """Strict CSV in parallel: the separator is stated, never sniffed, and quotes may hold separators and line ends.
+
+    Physical lines are read in splits and numbered. A line begins a record if an even number of quotes stands before it, which is
+    a running sum; records are then parsed one by one. Blank records are skipped and counted, an empty cell is null, and a record
+    with more or fewer cells than the header refuses the file, or is set aside with ``ragged="reject"``. Numbers count all records.
+    """
+    if ragged not in ("refuse", "reject"):
+        raise ValueError("ragged is refuse or reject")
+    lines = spark.read.option("encoding", encoding).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at_"))
+    lines = _written(lines.select("value", F.struct("file", "start").alias("chunk_"), "at_"))
+    quotes = F.length("value") - F.length(F.regexp_replace("value", '"', ""))
+    wrong = lines.agg(F.count_if(~F.is_valid_utf8(F.col("value").cast("binary"))).alias("bytes"), F.count_if(F.contains("value", F.lit("\x00"))).alias("nul"), F.sum(quotes).alias("quotes")).first()
+    if wrong["bytes"] or wrong["nul"]:
+        raise Refused("the file is not text in the stated encoding")
+    if (wrong["quotes"] or 0) % 2:
+        raise Refused("a quote is not closed")
+    parts = _written(_running(lines, quotes % 2).withColumn("begins", (F.col("sum_") % 2 == 0).cast("int")).drop("sum_"))
+    numbered = _running(parts, F.col("begins")).withColumn("record", F.col("sum_") + F.col("begins"))
+    if parts.filter("begins = 0").isEmpty():
+        records = numbered.select("record", F.col("value").alias("text"))
+    else:
+        records = numbered.groupBy("record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_", "at_", "value"))), lambda p: p["value"]), "\n").alias("text"))
+    records = _written(records)
+    first = records.filter("text <> ''").orderBy("record").first()
+    if first is None:
+        raise Refused("no header row")
+    cells = next(csv.reader([first["text"]], delimiter=sep, strict=True)) if "\n" not in first["text"] else next(csv.reader(io.StringIO(first["text"], newline=""), delimiter=sep, strict=True))
+    if len(cells) == 1 and sep == "," and any(c in cells[0] for c in ";\t"):
+        raise Refused("the header is one cell with another separator in it; state the separator")
+    names = headers(cells, rename)
+    body = records.filter(F.col("record") > first["record"]).select((F.col("record") - first["record"]).alias("row_id"), "text")
+    schema = ", ".join([*(f"`c{k}` string" for k in range(len(names))), "broken_ string"])
+    options = {"sep": sep, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken_"}
+    parsed = body.filter("text <> ''").withColumn("r", F.from_csv("text", schema, options))
+    blank = body.filter("text = ''").count()
+    bad = parsed.filter("r.broken_ is not null").select("row_id", F.col("text").alias("original"), F.lit("RAGGED_ROW").alias("reason"))
+    n_bad = bad.count()
+    if n_bad and ragged == "refuse":
+        raise Refused("a row has more or fewer cells than the header")
+    good = parsed.filter("r.broken_ is null").select("row_id", *[F.col(f"r.c{k}").alias(n) for k, n in enumerate(names)])
+    return Csv(good, bad, blank, n_bad)
+
+
+def read_columns(spark: SparkSession, path: str, required: Sequence[str], optional: Sequence[str] = (), most_rows: int = 1_000_000, most_chars: int = 10_000) -> DataFrame:
+    """A CSV with all of the required columns and no others than the optional ones (null where absent); any other shape refuses the file."""
+    table = read_csv(spark, path).table
+    have = [c for c in table.columns if c != "row_id"]
+    if absent := [c for c in required if c not in have]:
+        raise Refused(f"no column {', '.join(absent)}")
+    if other := [c for c in have if c not in (*required, *optional)]:
+        raise Refused(f"unknown column {', '.join(other)}")
+    found = table.agg(F.count("*").alias("n"), F.max(F.greatest(F.lit(0), *[F.length(F.coalesce(f"`{c}`", F.lit(""))) for c in have])).alias("longest"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"no_{k}") for k, c in enumerate(required)]).first()
+    if not found["n"] or found["n"] > most_rows or found["longest"] > most_chars:
+        raise Refused("no rows, too many rows, or a cell that is too long")
+    if empty := [c for k, c in enumerate(required) if found[f"no_{k}"]]:
+        raise Refused(f"{', '.join(empty)} lacks a value")
+    return table.select("row_id", *required, *[F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in optional])
 
 
 def _flat(pairs: list) -> dict:
@@ -163,21 +238,38 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, T.StructType([T.StructField("row_id", T.LongType()), *(T.StructField(n, T.StringType()) for n in names)]))
 
 
-def open_table(spark: SparkSession, path: str, **how) -> DataFrame:
-    """By extension."""
-    kind = path.rsplit(".", 1)[-1].lower()
+@dataclass(frozen=True)
+class Opened:
+    """A whole table, what it was read from, and what was set aside."""
+
+    table: DataFrame
+    name: str
+    size_bytes: int
+    sha256: str
+    rejects: DataFrame | None = None
+    blank_lines: int = 0
+
+
+def open_table(spark: SparkSession, path: str, most: int = MAX_BYTES, **how) -> Opened:
+    """By extension: CSV, JSON or XLSX of at most ``most`` bytes, with its digest; nothing is ever used in part."""
+    name = path.rsplit("/", 1)[-1]
+    kind = name.rsplit(".", 1)[-1].lower() if "." in name else ""
+    if kind not in ("csv", "json", "xlsx"):
+        raise Refused(f"{kind or 'no'} kind of file: csv, json or xlsx is read")
+    files = spark.read.format("binaryFile").load(path)
+    size = files.select("length").first()["length"]
+    if size > most:
+        raise Refused(f"{size} bytes are more than {most}")
+    digest = files.select(F.sha2("content", 256).alias("d")).first()["d"]
     if kind == "csv":
-        return number_rows(read_csv(spark, path, **how)[0])
-    if kind in ("json", "xlsx"):
-        return {"json": read_json, "xlsx": read_xlsx}[kind](spark, path)
-    if kind == "parquet":
-        return spark.read.parquet(path)
-    raise Refused(f"unknown kind of file: {kind}")
+        found = read_csv(spark, path, **how)
+        return Opened(found.table, name, size, digest, found.rejects, found.blank_lines)
+    return Opened({"json": read_json, "xlsx": read_xlsx}[kind](spark, path), name, size, digest)
 
 
 def uniform_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """Exactly n rows (or all), the same for the same seed: those with the least keyed hashes, in key order."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n).orderBy(key)
+    """Exactly n rows (or all), the same for the same seed: those with the least keyed digests, in key order."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n).orderBy(key)
 
 
 def open_within(df: DataFrame, key: str, whole: int, most: int, sample: int, seed: int = 0) -> tuple[DataFrame, str]:
@@ -190,7 +282,7 @@ def open_within(df: DataFrame, key: str, whole: int, most: int, sample: int, see
 
 def read_registry(spark: SparkSession, path: str, columns: Sequence[str], rules: dict[str, Column], key: str) -> DataFrame:
     """A CSV of rules or entries: exactly these columns, every row within every rule, no key twice; else refused."""
-    rows = read_csv(spark, path)[0]
+    rows = read_csv(spark, path).table.drop("row_id")
     if rows.columns != list(columns):
         raise Refused(f"the columns are not {', '.join(columns)}")
     broken = rows.select([F.count_if(~F.coalesce(rule, F.lit(False))).alias(name) for name, rule in rules.items()]).first()
@@ -201,51 +293,73 @@ def read_registry(spark: SparkSession, path: str, columns: Sequence[str], rules:
     return rows
 
 
-class _Tables(HTMLParser):
-    """Rows of each plain table; nested or merged ones get a reason."""
+class TableParser(HTMLParser):
+    """Rows of cells of each table, each cell with whether it heads its column; nested or merged ones get a reason."""
 
     def __init__(self):
         super().__init__()
-        self.tables, self.open, self.row, self.cell = [], [], None, None
+        self.tables, self.open, self.row, self.cell, self.mute = [], [], None, None, 0
 
     def handle_starttag(self, tag, attrs):
-        if tag == "table":
+        if tag in ("script", "style"):
+            self.mute += 1
+        elif tag == "table":
             if self.open:
                 self.open[-1]["reason"] = "NESTED"
             self.open.append({"rows": [], "reason": None})
+            self.tables.append(self.open[-1])
         elif self.open and tag == "tr":
             self.row = []
         elif self.row is not None and tag in ("td", "th"):
-            if {"colspan", "rowspan"} & {k for k, v in attrs if v not in (None, "1")}:
+            if {"colspan", "rowspan"} & {k for k, v in attrs if v not in (None, "", "1")}:
                 self.open[-1]["reason"] = self.open[-1]["reason"] or "MERGED"
-            self.cell = []
+            self.cell = (tag == "th", [])
+        elif tag == "br" and self.cell is not None:
+            self.cell[1].append(" ")
 
     def handle_data(self, data):
-        if self.cell is not None:
-            self.cell.append(data)
+        if self.cell is not None and not self.mute:
+            self.cell[1].append(data)
 
     def handle_endtag(self, tag):
-        if tag in ("td", "th") and self.cell is not None:
-            self.row.append(" ".join("".join(self.cell).split()))
+        if tag in ("script", "style"):
+            self.mute = max(0, self.mute - 1)
+        elif tag in ("td", "th") and self.cell is not None:
+            if self.row is not None:
+                self.row.append((self.cell[0], " ".join("".join(self.cell[1]).split())))
             self.cell = None
         elif tag == "tr" and self.row is not None:
-            self.open[-1]["rows"].append(self.row)
+            if self.open and self.row:
+                self.open[-1]["rows"].append(self.row)
             self.row = None
         elif tag == "table" and self.open:
-            self.tables.append(self.open.pop())
-
-
-def tables_in(html: str) -> list[dict]:
-    """Each table as ``rows`` and ``reason`` (why it can't be used, or null)."""
-    parser = _Tables()
+            self.open.pop()
+
+
+def _why_not(rows: list[list[tuple[bool, str]]], longest: int = 10_000) -> str | None:
+    """Why rows of cells are no usable table: a header row, then rows as wide as it."""
+    if not rows:
+        return "EMPTY"
+    if not all(heads for heads, _ in rows[0]):
+        return "NO_HEADER"
+    names = [text for _, text in rows[0]]
+    if "" in names:
+        return "EMPTY_HEADER"
+    if len(set(names)) < len(names):
+        return "REPEATED_HEADER"
+    if any(len(r) != len(names) for r in rows):
+        return "RAGGED"
+    if len(rows) == 1:
+        return "NO_ROWS"
+    return "LONG_CELL" if any(len(text) > longest for r in rows for _, text in r) else None
+
+
+def tables_in(html: str, most: int = 200) -> list[dict]:
+    """Each of the first ``most`` tables in the order of the page as ``rows`` (header first) and ``reason``: why it can't be used, or null."""
+    parser = TableParser()
     parser.feed(html or "")
-    for t in parser.tables:
-        rows = t["rows"]
-        if not t["reason"] and (not rows or len({len(r) for r in rows}) > 1):
-            t["reason"] = "RAGGED" if rows else "EMPTY"
-        if not t["reason"] and (len(set(rows[0])) < len(rows[0]) or "" in rows[0]):
-            t["reason"] = "HEADER"
-    return parser.tables
+    parser.close()
+    return [{"rows": [[text for _, text in r] for r in t["rows"]], "reason": t["reason"] or _why_not(t["rows"])} for t in parser.tables[:most]]
 
 
 def html_tables(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
@@ -276,6 +390,17 @@ def chosen_table(tables: DataFrame, index: int | None = None, most: int = 10) ->
     return found.select("page", F.when(why.isNull(), F.col("at")).alias("table_index"), F.when(why.isNull(), F.col("rows")).alias("n_rows"), why.alias("reason"))
 
 
+def coded(df: DataFrame, column: str, codes: dict[str, int], into: str, keys: Sequence[str]) -> DataFrame:
+    """The number that a stated code stands for; an unknown code, or a key that occurs twice, is an error."""
+    table = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])
+    value = F.try_element_at(table, F.col(column))
+    wrong = F.concat(F.lit("unknown code "), F.coalesce(F.col(column), F.lit("null")))
+    twice = df.groupBy(*keys).count().filter("count > 1").limit(1).collect()
+    if twice:
+        raise Refused(f"{', '.join(keys)} occurs twice: {twice[0]}")
+    return df.withColumn(into, F.when(value.isNotNull(), value).otherwise(F.raise_error(wrong).cast("int")))
+
+
 def unwrapped(document: Column) -> Column:
     """The one list that a JSON envelope holds, as JSON text; null if there is none, several, or no JSON object."""
     fields = F.from_json(document, "map<string,variant>")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import tempfile
 import uuid
 
@@ -16,10 +17,12 @@ MANIFEST = "manifest.json"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """A fresh folder that all executors see: under ``spark.checkpoint.dir``, or under one of our own where that is unset."""
+    """A fresh folder that all executors see: under ``spark.checkpoint.dir``; under one of our own only where a local session has none."""
     context = spark.sparkContext
     top = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not top:
+        if not re.match(r"local(\[|$)", context.master):
+            raise Refused("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
         top = context.getCheckpointDir()
     return f"{top.rstrip('/')}/store-{uuid.uuid4().hex}"
