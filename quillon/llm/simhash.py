@@ -10,7 +10,7 @@ anchor are dealt over several tiles, each of which sees all copies there: no lin
 ``near_duplicates`` links 64-bit fingerprints within a number of bits. ``similar`` links texts whose sets of word shingles have
 a Jaccard similarity of ``least`` or more. A similarity of 0.8 leaves two of 13 bits different, too many for 64 bits and a sure
 threshold; its fingerprints have ``WIDE`` words of 64 bits and many blocks, so that a pair meets at one of their anchors with a
-probability that ``meeting`` states: 0.990 at 0.8, 0.997 at 0.82, 0.9995 at 0.85. Pairs that meet and are near enough in all
+probability that ``meeting`` states: 0.989 at 0.8, 0.9975 at 0.82, 0.9995 at 0.85. Pairs that meet and are near enough in all
 bits are compared shingle by shingle, so that nothing else is ever linked. Links that span
 what is near are compared first; after that all pairs that meet and are still apart, none left out.
 
@@ -42,9 +42,9 @@ PAIRS_AT_ONCE = 1 << 21
 ROWS_AT_ONCE = 1 << 18
 #: Pairs of homes and copies at an anchor beyond which it is compared home by home, and homes that are compared with all first.
 LARGE, PIVOTS = 1 << 18, 64
-#: Words of a wide fingerprint and their blocks, the bits in which texts of similarity 0.8 differ at most (but for 5 in a thousand),
-#: and those in which pairs that are compared first do.
-WIDE, WIDE_BLOCKS, NEAR, CLOSE = 10, 4, 120, 83
+#: Words of a wide fingerprint, those of them that have anchors and their blocks, the bits in which texts of similarity 0.8 differ at
+#: most (but for 6 in a thousand), and those in which pairs that are compared first do.
+WIDE, ANCHORED, WIDE_BLOCKS, NEAR, CLOSE = 20, 10, 4, 226, 165
 FIRST = 48
 
 
@@ -86,7 +86,7 @@ def wide_fingerprint(found: np.ndarray, wide: int = WIDE) -> np.ndarray:
     return majority(mixed ^ (mixed >> np.uint64(31)))
 
 
-def meeting(similarity: float, wide: int = WIDE, blocks: int = WIDE_BLOCKS) -> float:
+def meeting(similarity: float, wide: int = WIDE, blocks: int = WIDE_BLOCKS, anchored: int = ANCHORED) -> float:
     """The probability that texts of this similarity have a home in common and are near enough in all bits."""
     from math import acos, comb, pi
 
@@ -98,7 +98,7 @@ def meeting(similarity: float, wide: int = WIDE, blocks: int = WIDE_BLOCKS) -> f
         met = sum(comb(coded, d) * differ**d * (1 - differ) ** (coded - d) * w for d, w in ((0, 1.0), (1, 2 / ball), (2, 2 / ball)))
         none *= 1 - met * (1 - differ) ** (n - coded)
     bits = BITS * wide
-    return (1 - none**wide) * sum(comb(bits, d) * differ**d * (1 - differ) ** (bits - d) for d in range(NEAR + 1))
+    return (1 - none**anchored) * sum(comb(bits, d) * differ**d * (1 - differ) ** (bits - d) for d in range(NEAR + 1))
 
 
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,15 +313,15 @@ def _match(keys: np.ndarray, home: np.ndarray, rows: Rows, nodes: np.ndarray, ro
     return distinct[pair // len(distinct)], distinct[pair % len(distinct)]
 
 
-def links(distinct: DataFrame, shelf: Shelf, threshold: int = 4, blocks: int = 3, wide: int = 1, near: int | None = None, ratio: float = 0.0) -> DataFrame:
+def links(distinct: DataFrame, shelf: Shelf, threshold: int = 4, blocks: int = 3, wide: int = 1, near: int | None = None, ratio: float = 0.0, anchored: int = 1) -> DataFrame:
     """Pairs ``src, dst`` of a written table with a row for each fingerprint.
 
     With the column ``fp`` alone: links that span the fingerprints within the threshold. With ``node`` and ``wide`` (bytes of
-    ``wide`` words) the pairs are of nodes that meet at an anchor and whose words are within ``near`` bits and whose sizes ``n`` have ``ratio`` at least; with ``root`` as well, all such pairs of different roots.
+    ``wide`` words, the first ``anchored`` with blocks) the pairs are of nodes that meet at an anchor and whose words are within ``near`` bits and whose sizes ``n`` have ``ratio`` at least; with ``root`` as well, all such pairs of different roots.
     """
     n = distinct.count()
     near = threshold if near is None else near
-    cover = Cover(threshold, blocks, wide)
+    cover = Cover(threshold, blocks, anchored)
     width, columns = cover.key_bits, [c for c in ("fp", "node", "n", "root", "wide") if c in distinct.columns]
     rest = [c for c in columns if c != "wide"]
     taken = [f"w{k}" for k in range(wide)] if "wide" in columns else ["fp"]
@@ -493,7 +493,7 @@ def similar(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
     marked = shelf.put(_marked(rows, words), "marked")
     sets = shelf.put(marked.groupBy("node").agg(*[F.min(c).alias(c) for c in ("hash", "n", "fp", "wide")]), "sets")
-    sure = WIDE * WIDE_BLOCKS - 1
+    sure = ANCHORED * WIDE_BLOCKS - 1
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = shelf.put(pairs.distinct(), f"pairs-{name}")
@@ -502,10 +502,10 @@ def similar(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "
         texts = shelf.put(rows.select("hash", "text").join(wanted, "hash").groupBy("node").agg(F.min("text").alias("text")), f"texts-{name}")
         return shelf.put(_linked(pairs, texts, words, least), f"links-{name}")
 
-    edges = verified(links(sets.select("fp", "node", "n", "wide"), shelf, sure, WIDE_BLOCKS, WIDE, CLOSE, least), "closest")
+    edges = verified(links(sets.select("fp", "node", "n", "wide"), shelf, sure, WIDE_BLOCKS, WIDE, CLOSE, least, ANCHORED), "closest")
     roots = components(edges, Shelf(docs.sparkSession, "similar-first"))
     placed = shelf.put(sets.join(roots, "node", "left").select("fp", "node", "n", F.coalesce("root", "node").alias("root"), "wide"), "placed")
-    more = verified(links(placed, shelf, sure, WIDE_BLOCKS, WIDE, NEAR, least), "apart")
+    more = verified(links(placed, shelf, sure, WIDE_BLOCKS, WIDE, NEAR, least, ANCHORED), "apart")
     roots = components(edges.unionByName(more), Shelf(docs.sparkSession, "similar-all"))
     return marked.select("doc_id", "hash", "node").join(roots, "node", "left").select("doc_id", "hash", F.coalesce("root", "node").alias("root"))
 

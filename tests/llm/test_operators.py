@@ -540,7 +540,7 @@ def test_stages_keep_the_columns(spark, sf, k):
 
 def test_meeting_is_as_likely_as_stated():
     """Pairs of sets of similarity 0.8: how many share a home and are near in all bits."""
-    rng, cover, met, n = np.random.default_rng(14), simhash.Cover(simhash.WIDE * simhash.WIDE_BLOCKS - 1, simhash.WIDE_BLOCKS, simhash.WIDE), 0, 400
+    rng, cover, met, n = np.random.default_rng(14), simhash.Cover(0, simhash.WIDE_BLOCKS, simhash.ANCHORED), 0, 400
     for _ in range(n):
         pool = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
         a, b = simhash.wide_fingerprint(pool[:450]), simhash.wide_fingerprint(pool[50:])
