@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import parsed_date, parsed_number, squeezed
+from quillon.operators.ordered import quantiles
 from quillon.operators.windows import mark_duplicates
 
 
@@ -34,7 +35,10 @@ def fill_value(df: DataFrame, column: str, method: str, constant=None):
     if method == "mode":
         counts = df.filter(c.isNotNull()).groupBy(c.alias("v")).count().orderBy(F.desc("count"), F.asc("v")).first()
         return counts["v"] if counts else None
-    return df.agg({"median": F.median, "mean": F.avg}[method](c)).first()[0]
+    if method == "median":
+        found = quantiles(df, column, (0.5,)).first()
+        return found["q"][0] if found and found["n"] else None
+    return df.agg({"mean": F.avg}[method](c)).first()[0]
 
 
 def fill_missing(df: DataFrame, column: str, method: str, constant=None) -> DataFrame:

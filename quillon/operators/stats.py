@@ -8,6 +8,11 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.ordered import average_ranks, counted, quantiles
+
+
+LEAST_ROWS = 20
+
 
 def pearson(x: str, y: str) -> Column:
     """Over rows that have both; null under three rows or if a side is constant; within -1 and 1."""
@@ -29,31 +34,28 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson of average ranks over rows that have both."""
-    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    counted = [both.groupBy(c).agg(F.count("*").alias("n")).withColumn("r", average_rank_of_counts(c)).select(c, F.col("r").alias(f"r_{c}")) for c in (x, y)]
-    return both.join(counted[0], x).join(counted[1], y).agg(pearson(f"r_{x}", f"r_{y}").alias("rho"), F.count("*").alias("n"))
-
-
-def average_rank_of_counts(column: str) -> Column:
-    """The average rank of a distinct value from counts: rows before it, and half of its own."""
-    from pyspark.sql import Window
-
-    upto = F.sum("n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return upto - (F.col("n") - 1) / 2
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
+    ranked = average_ranks(average_ranks(both, x, "rank_x"), y, "rank_y")
+    return ranked.agg(pearson("rank_x", "rank_y").alias("rho"), F.count("*").alias("n"))
 
 
 def fences(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     """Tukey's fences; null under eight values or without spread."""
-    q = F.percentile(F.col(column), F.array(F.lit(0.25), F.lit(0.75)))
-    found = df.agg(q.alias("q"), F.count(column).alias("n")).select("n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    found = quantiles(df, column, (0.25, 0.75)).select(F.coalesce("n", F.lit(0)).alias("n"), F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("q3"))
     fine = (F.col("n") >= 8) & (F.col("q3") > F.col("q1"))
     return found.select("n", F.when(fine, F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("low"), F.when(fine, F.col("q3") + k * (F.col("q3") - F.col("q1"))).alias("high"))
 
 
-def remove_outliers(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
-    """Rows inside the fences; rows without a value stay. The fences are one row."""
+def flag_outliers(df: DataFrame, column: str, k: float = 1.5, name: str = "is_outlier") -> DataFrame:
+    """All rows, and whether they are outside the fences; nothing is removed. The fences are one row."""
     edge = fences(df, column, k).select("low", "high")
-    return df.crossJoin(edge).filter(F.col(column).isNull() | F.col("low").isNull() | F.col(column).between(F.col("low"), F.col("high"))).drop("low", "high")
+    inside = F.col(column).isNull() | F.col("low").isNull() | F.col(column).between(F.col("low"), F.col("high"))
+    return df.crossJoin(edge).withColumn(name, ~inside).drop("low", "high")
+
+
+def remove_outliers(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
+    """Rows inside the fences; rows without a value stay."""
+    return flag_outliers(df, column, k, "out_").filter(~F.col("out_")).drop("out_")
 
 
 def problem_kind(distinct: int, numeric: bool) -> str:
@@ -88,7 +90,7 @@ def capped_values(df: DataFrame, column: str, most: int = 20, rest: str = "other
 def time_folds(df: DataFrame, day: str, folds: int = 5) -> DataFrame:
     """A ``fold`` from 0 by time, cut at even shares of the rows; fold k is tested on models of the folds before it."""
     number = F.unix_date(F.to_date(day))
-    cuts = df.agg(F.percentile(number, F.array(*[F.lit(k / folds) for k in range(1, folds)])).alias("cuts_"))  # one row
+    cuts = quantiles(df.select(number.alias("day_")), "day_", [k / folds for k in range(1, folds)]).select(F.col("q").alias("cuts_"))  # one row
     return df.crossJoin(cuts).withColumn("fold", F.size(F.filter("cuts_", lambda c: c <= number))).drop("cuts_")
 
 
@@ -124,10 +126,13 @@ def estimators(problem: str, label: str, seed: int = 0) -> dict:
 
 
 def compare_models(df: DataFrame, key: str, label: str, numeric: Sequence[str], categorical: Sequence[str] = (), problem: str = "regression", names: Sequence[str] = (), seed: int = 0) -> dict[str, dict[str, float]]:
-    """Fit each estimator on the training part; scores on the hold-out."""
+    """Fit each estimator on the training part; scores on the hold-out. Under 20 rows with a label nothing is fitted."""
     from pyspark.ml import Pipeline
 
-    marked = split_by_hash(df.filter(F.col(label).isNotNull()), key, 20, seed)
+    labelled = df.filter(F.col(label).isNotNull())
+    if labelled.limit(LEAST_ROWS).count() < LEAST_ROWS:
+        raise ValueError(f"fewer than {LEAST_ROWS} rows have a label")
+    marked = split_by_hash(labelled, key, 20, seed)
     train, test = marked.filter(~F.col("is_test")), marked.filter("is_test")
     for c in categorical:
         top = capped_values(train, c)
@@ -164,11 +169,10 @@ def classification_scores(df: DataFrame, label: str, prediction: str) -> DataFra
 
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the ROC curve from average ranks; counted by distinct score first."""
-    counts = df.groupBy(score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    ranked = counts.withColumn("r", average_rank_of_counts(score))
-    return ranked.agg(F.sum(F.col("r") * F.col("pos")).alias("s"), F.sum("pos").alias("p"), (F.sum("n") - F.sum("pos")).alias("q")).select(
-        F.try_divide(F.col("s") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q")).alias("auc")
-    )
+    found = counted(df.select(score, F.col(label).cast("long").alias("label_")), [F.asc(score), F.asc("label_")], (), [score, "label_"])
+    by_score = found.groupBy(score).agg(F.min("before_").alias("before_"), F.sum("n_").alias("n_"), F.sum(F.col("n_") * F.col("label_")).alias("pos"))
+    sums = by_score.agg(F.sum((F.col("before_") + (F.col("n_") + 1) / 2) * F.col("pos")).alias("s"), F.sum("pos").alias("p"), (F.sum("n_") - F.sum("pos")).alias("q"))
+    return sums.select(F.try_divide(F.col("s") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q")).alias("auc"))
 
 
 def permutation_importance(model, df: DataFrame, label: str, columns: Sequence[str], key: str, seed: int = 0) -> dict[str, float]:

@@ -14,9 +14,16 @@ def competition_rank(columns: Sequence[str], by: Sequence[str] = ()) -> Column:
 
 
 def top_with_ties(df: DataFrame, metric: str, n: int, falling: bool = True) -> DataFrame:
-    """The first n and all that tie with the last of them; rows without a value come last either way."""
+    """The first n and all that tie with the last of them, in order; rows without a value come last either way.
+
+    Only rows from the n-th value on are ranked, so not all rows meet in one task.
+    """
     order = F.desc_nulls_last(metric) if falling else F.asc_nulls_last(metric)
-    return df.withColumn("place", F.rank().over(Window.orderBy(order))).filter(F.col("place") <= n)
+    first = df.orderBy(order).limit(n)
+    edge = first.agg(F.count("*").alias("got_"), (F.min if falling else F.max)(metric).alias("edge_"), F.count_if(F.col(metric).isNull()).alias("nulls_"))  # one row
+    inside = (F.col(metric) >= F.col("edge_")) if falling else (F.col(metric) <= F.col("edge_"))
+    kept = df.crossJoin(edge).filter(F.coalesce(inside, F.lit(False)) | (F.col("nulls_") > 0)).drop("got_", "edge_", "nulls_")
+    return kept.withColumn("place", F.rank().over(Window.orderBy(order))).filter(F.col("place") <= n).orderBy("place")
 
 
 def first_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:

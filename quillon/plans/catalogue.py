@@ -12,6 +12,7 @@ from quillon.operators import aggregates as A
 from quillon.operators import cleaning as C
 from quillon.operators import filters as P
 from quillon.operators import joins as J
+from quillon.operators import ordered as O
 from quillon.operators import stats as M
 from quillon.operators import versioned as V
 from quillon.operators import windows as W
@@ -85,12 +86,12 @@ def _(t):
     import hashlib
     import json
 
-    from quillon.sources import writers as O
+    from quillon.sources import writers
     from quillon.sources.store import Store
 
     nation = t("nation").orderBy("n_nationkey")  # 25 rows
     spark = nation.sparkSession
-    files = {"csv": O.csv_bytes(nation), "json": json.dumps([r.asDict() for r in nation.collect()]).encode(), "xlsx": O.xlsx_bytes(nation)}
+    files = {"csv": writers.csv_bytes(nation), "json": json.dumps([r.asDict() for r in nation.collect()]).encode(), "xlsx": writers.xlsx_bytes(nation)}
     store, out = Store(spark), []
     for kind, data in files.items():
         store.put(f"nation.{kind}", data)
@@ -167,14 +168,14 @@ def _(t):
 def _(t):
     import hashlib
 
-    from quillon.sources import writers as O
+    from quillon.sources import writers
 
     nation = t("nation").orderBy("n_nationkey")
     cells = nation.select(
         F.col("n_nationkey").alias("k"), F.concat(F.lit("=1+"), F.col("n_nationkey").cast("string"), F.lit(",x")).alias("formula"),
         F.when(F.col("n_nationkey") % 2 == 0, -F.col("n_nationkey") - 1.5).alias("price"), F.lit("2024-02-29").cast("date").alias("day"),
     )
-    found = [(name, hashlib.sha256(O.csv_bytes(df)).hexdigest()) for name, df in (("nation.csv", nation), ("cells.csv", cells))]
+    found = [(name, hashlib.sha256(writers.csv_bytes(df)).hexdigest()) for name, df in (("nation.csv", nation), ("cells.csv", cells))]
     return nation.sparkSession.createDataFrame(found, "name string, digest string")
 
 
@@ -694,7 +695,7 @@ def _(t):
 
 @query("win01", "SELECT s_suppkey, rank() OVER (ORDER BY s_nationkey DESC) AS place FROM supplier")
 def _(t):
-    return t("supplier").select("s_suppkey", W.competition_rank(["s_nationkey"]).alias("place"))
+    return O.competition_ranks(t("supplier").select("s_suppkey", "s_nationkey"), ["s_nationkey"]).drop("s_nationkey")
 
 
 @query("win03", "SELECT p_brand, n, place FROM (SELECT *, rank() OVER (ORDER BY n DESC) AS place FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY 1)) WHERE place <= 5")
@@ -736,7 +737,7 @@ def _(t):
 
 @query("win10", "SELECT p_partkey, rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2 AS r FROM part")
 def _(t):
-    return t("part").select("p_partkey", W.average_rank("p_size").alias("r"))
+    return O.average_ranks(t("part").select("p_partkey", "p_size"), "p_size", "r").drop("p_size")
 
 
 @query("win11", "WITH l AS (SELECT l_orderkey AS k, l_linenumber AS i, l_partkey AS p, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2, 3), z AS (SELECT k, i, p, row_number() OVER (PARTITION BY k ORDER BY i, p) AS slot FROM l) SELECT k, i, p, CAST(slot AS BIGINT) AS slot FROM z")
@@ -917,9 +918,10 @@ def _(t):
 # ---- statistics ----
 
 
-@query("stt01", "SELECT p_brand, round(quantile_cont(p_retailprice, 0.9), 4) AS p90 FROM part GROUP BY 1")
+@query("stt01", "SELECT p_brand, round(quantile_cont(p_retailprice, 0.9), 4) AS p90, round(median(p_retailprice), 4) AS p50 FROM part GROUP BY 1")
 def _(t):
-    return t("part").groupBy("p_brand").agg(F.round(F.percentile("p_retailprice", F.lit(0.9)), 4).alias("p90"))
+    found = O.quantiles(t("part"), "p_retailprice", (0.9, 0.5), ["p_brand"])
+    return found.select("p_brand", F.round(F.col("q")[0], 4).alias("p90"), F.round(F.col("q")[1], 4).alias("p50"))
 
 
 @query("stt02", "SELECT p_brand, round(stddev_samp(p_retailprice), 4) AS std FROM part GROUP BY 1")
@@ -947,10 +949,11 @@ def _(t):
     return M.fences(t("part"), "p_retailprice").select("n", r("low", 4), r("high", 4))
 
 
-@query("stt12", "WITH m AS (SELECT (l_quantity > 25) AS y, (l_extendedprice > 30000) AS p FROM lineitem) SELECT round(avg(CAST(y = p AS INTEGER)), 6) AS accuracy FROM m")
+@query("stt12", "WITH m AS (SELECT (l_quantity > 25) AS y, (l_extendedprice > 30000) AS p, l_extendedprice AS s FROM lineitem), c AS (SELECT count(*) FILTER (y AND p) AS tp, count(*) FILTER (NOT y AND p) AS fp, count(*) FILTER (y AND NOT p) AS fn, count(*) FILTER (NOT y AND NOT p) AS tn FROM m), s AS (SELECT *, tp / (tp + fp) AS p1, tn / (tn + fn) AS p0, tp / (tp + fn) AS r1, tn / (tn + fp) AS r0 FROM c), k AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS r FROM m), a AS (SELECT (sum(r) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2) / (count(*) FILTER (y) * count(*) FILTER (NOT y)) AS auc FROM k), e AS (SELECT l_quantity - l_extendedprice / 1500 AS e, l_quantity AS y FROM lineitem) SELECT round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, round((p1 + p0) / 2, 6) AS \"precision\", round((r1 + r0) / 2, 6) AS recall, round((2 * p1 * r1 / (p1 + r1) + 2 * p0 * r0 / (p0 + r0)) / 2, 6) AS f1, round((SELECT auc FROM a), 6) AS auc, round((SELECT sqrt(avg(e * e)) FROM e), 6) AS rmse, round((SELECT avg(abs(e)) FROM e), 6) AS mae, round((SELECT 1 - avg(e * e) / var_pop(y) FROM e), 6) AS r2 FROM s")
 def _(t):
-    m = t("lineitem").select((F.col("l_quantity") > 25).cast("int").alias("y"), (F.col("l_extendedprice") > 30000).cast("int").alias("p"))
-    return M.classification_scores(m, "y", "p").select(r("accuracy"))
+    lines = t("lineitem").select((F.col("l_quantity") > 25).cast("int").alias("y"), (F.col("l_extendedprice") > 30000).cast("int").alias("p"), F.col("l_extendedprice").alias("s"), "l_quantity", (F.col("l_extendedprice") / 1500).alias("guess"))
+    scores = M.classification_scores(lines, "y", "p").crossJoin(M.auc(lines, "y", "s")).crossJoin(M.regression_scores(lines, "l_quantity", "guess"))  # one row each
+    return scores.select(*[r(c) for c in scores.columns])
 
 
 # ---- cleaning ----
@@ -977,9 +980,14 @@ def _(t):
     return C.remove_duplicates(t("orders").select("o_orderkey", "o_custkey", "o_orderstatus"), ["o_custkey", "o_orderstatus"], "o_orderkey")
 
 
-@query("cln04", "WITH o AS " + NULLED + ", m AS (SELECT priority AS v FROM o WHERE priority IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, v LIMIT 1) SELECT o_orderkey, coalesce(priority, (SELECT v FROM m)) AS priority FROM o")
+@query("cln04", "WITH o AS " + NULLED + ", m AS (SELECT priority AS v FROM o WHERE priority IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, v LIMIT 1), p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS price FROM orders) SELECT o_orderkey, coalesce(priority, (SELECT v FROM m)) AS priority, round(coalesce(price, (SELECT median(price) FROM p)), 4) AS by_median, round(coalesce(price, (SELECT avg(price) FROM p)), 4) AS by_mean, coalesce(price, -1) AS by_constant FROM o JOIN p USING (o_orderkey)")
 def _(t):
-    return C.fill_missing(nulled(t), "priority", "mode").select("o_orderkey", "priority")
+    price = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice"))
+    rows = nulled(t).select("o_orderkey", "priority", *[price.alias(f"by_{m}") for m in ("median", "mean", "constant")])
+    out = C.fill_missing(rows, "priority", "mode")
+    for method in ("median", "mean", "constant"):
+        out = C.fill_missing(out, f"by_{method}", method, -1.0)
+    return out.withColumns({c: F.round(c, 4) for c in ("by_median", "by_mean")})
 
 
 @query("cln05", "SELECT c_custkey, c_acctbal AS v FROM customer")
@@ -987,9 +995,11 @@ def _(t):
     return C.text_to_number(t("customer").select("c_custkey", F.col("c_acctbal").cast("string").alias("v")), "v")
 
 
-@query("cln06", "WITH q AS (SELECT quantile_cont(p_retailprice, 0.25) AS a, quantile_cont(p_retailprice, 0.75) AS b FROM part) SELECT p_partkey FROM part, q WHERE p_retailprice BETWEEN a - 0.5 * (b - a) AND b + 0.5 * (b - a)")
+@query("cln06", "WITH q AS (SELECT quantile_cont(p_retailprice, 0.25) AS a, quantile_cont(p_retailprice, 0.75) AS b FROM part) SELECT p_partkey, NOT p_retailprice BETWEEN a - 0.5 * (b - a) AND b + 0.5 * (b - a) AS is_outlier, p_retailprice BETWEEN a - 0.5 * (b - a) AND b + 0.5 * (b - a) AS kept FROM part, q")
 def _(t):
-    return M.remove_outliers(t("part"), "p_retailprice", 0.5).select("p_partkey")
+    flagged = M.flag_outliers(t("part"), "p_retailprice", 0.5).select("p_partkey", "is_outlier")
+    kept = M.remove_outliers(t("part"), "p_retailprice", 0.5).select("p_partkey", F.lit(True).alias("kept"))
+    return flagged.join(kept, "p_partkey", "left").na.fill(False, ["kept"])
 
 
 # ---- versioned state ----

@@ -13,10 +13,12 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.operators.ordered import marked, running, written
+
 MAX_BYTES = 25 * 1024 * 1024
 
 
@@ -40,33 +42,9 @@ def headers(names: Sequence[str | None], rename: bool = False) -> list[str]:
     return out
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """The table, written to the shared folder and read back: later uses see the same rows whatever is computed again."""
-    from quillon.sources.store import shared_root
-
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/rows"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _running(df: DataFrame, value: Column, chunk: str = "chunk_", at: str = "at_") -> DataFrame:
-    """A column ``sum_`` with the sum of ``value`` over the rows before; rows are in order of chunk and place in it, and written.
-
-    Only one sum a chunk comes together in one task.
-    """
-    marked = df.withColumn("value_", value)
-    before = Window.orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    sums = marked.groupBy(chunk).agg(F.sum("value_").alias("in_")).select(chunk, F.coalesce(F.sum("in_").over(before), F.lit(0)).alias("skip_"))
-    own = F.coalesce(F.sum("value_").over(Window.partitionBy(chunk).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return marked.withColumn("own_", own).join(sums, chunk).withColumn("sum_", F.col("own_") + F.col("skip_")).drop("value_", "own_", "skip_")
-
-
 def number_rows(df: DataFrame) -> DataFrame:
     """Dense row ids from 1 in the table's order. The rows are written with their task and place in it first, so all later steps see the same."""
-    mark = F.monotonically_increasing_id()
-    rows = _written(df.withColumn("chunk_", F.shiftright(mark, 33)).withColumn("at_", mark))
-    return _running(rows, F.lit(1)).withColumn("row_id", F.col("sum_") + 1).drop("chunk_", "at_", "sum_")
+    return running(marked(df), F.lit(1)).withColumn("row_id", F.col("sum_") + 1).drop("chunk_", "at_", "sum_")
 
 
 @dataclass(frozen=True)
@@ -89,20 +67,20 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UT
     if ragged not in ("refuse", "reject"):
         raise ValueError("ragged is refuse or reject")
     lines = spark.read.option("encoding", encoding).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at_"))
-    lines = _written(lines.select("value", F.struct("file", "start").alias("chunk_"), "at_"))
+    lines = written(lines.select("value", F.struct("file", "start").alias("chunk_"), "at_"))
     quotes = F.length("value") - F.length(F.regexp_replace("value", '"', ""))
     wrong = lines.agg(F.count_if(~F.is_valid_utf8(F.col("value").cast("binary"))).alias("bytes"), F.count_if(F.contains("value", F.lit("\x00"))).alias("nul"), F.sum(quotes).alias("quotes")).first()
     if wrong["bytes"] or wrong["nul"]:
         raise Refused("the file is not text in the stated encoding")
     if (wrong["quotes"] or 0) % 2:
         raise Refused("a quote is not closed")
-    parts = _written(_running(lines, quotes % 2).withColumn("begins", (F.col("sum_") % 2 == 0).cast("int")).drop("sum_"))
-    numbered = _running(parts, F.col("begins")).withColumn("record", F.col("sum_") + F.col("begins"))
+    parts = written(running(lines, quotes % 2).withColumn("begins", (F.col("sum_") % 2 == 0).cast("int")).drop("sum_"))
+    numbered = running(parts, F.col("begins")).withColumn("record", F.col("sum_") + F.col("begins"))
     if parts.filter("begins = 0").isEmpty():
         records = numbered.select("record", F.col("value").alias("text"))
     else:
         records = numbered.groupBy("record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_", "at_", "value"))), lambda p: p["value"]), "\n").alias("text"))
-    records = _written(records)
+    records = written(records)
     first = records.filter("text <> ''").orderBy("record").first()
     if first is None:
         raise Refused("no header row")

@@ -5,9 +5,11 @@ import datetime
 import math
 import os
 import random
+import zlib
 from decimal import Decimal
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from quillon.functions import scalars as S
 from quillon.operators import aggregates as A
 from quillon.operators import cleaning as C
 from quillon.operators import filters as P
+from quillon.operators import ordered as O
 from quillon.operators import stats as M
 from quillon.operators import versioned as V
 from quillon.operators import windows as W
@@ -352,6 +355,59 @@ def test_requests(spark, sf):
     assert requests.starters(part)
 
 
+def test_lock_keys_equal_the_library(spark):
+    rows = spark.createDataFrame([("a", "b"), ("é", ""), ("x:y", "z")], "a string, b string")
+    assert [r[0] for r in rows.select(S.lock_key(F.col("a"), F.col("b"))).collect()] == [zlib.crc32(f"{a}:{b}".encode()) for a, b in (("a", "b"), ("é", ""), ("x:y", "z"))]
+
+
+@pytest.fixture(scope="module")
+def points(spark):
+    rnd = random.Random(5)
+    rows = [(k, float(x := rnd.uniform(0, 10)), rnd.uniform(0, 10), 3 * x + rnd.gauss(0, 0.1)) for k in range(400)]
+    return spark.createDataFrame(rows, "k long, x double, noise double, y double")
+
+
+def test_every_estimator_beats_the_guess(points):
+    scores = M.compare_models(points, "k", "y", ["x", "noise"])
+    assert set(scores) == {"baseline", "linear", "tree", "forest", "boosting"} and all(s["rmse"] < scores["baseline"]["rmse"] / 3 for k, s in scores.items() if k != "baseline")
+    with pytest.raises(ValueError):
+        M.compare_models(points.limit(19), "k", "y", ["x"])
+
+
+def test_noise_has_no_importance(points):
+    from pyspark.ml import Pipeline
+
+    model = Pipeline(stages=[*M.preprocess(["x", "noise"], []), M.estimators("regression", "y")["linear"]]).fit(points)
+    found = M.permutation_importance(model, points, "y", ["x", "noise"], "k")
+    assert found["x"] > 5 and abs(found["noise"]) < 0.1
+
+
+def test_groups_are_found(spark):
+    rnd = random.Random(6)
+    rows = [(k, cx + rnd.gauss(0, 0.1), cy + rnd.gauss(0, 0.1), c) for k in range(300) for c, (cx, cy) in [(k % 3, [(0, 0), (9, 0), (0, 9)][k % 3])]]
+    k, grouped = M.cluster(spark.createDataFrame(rows, "k long, x double, y double, c int"), ["x", "y"])
+    assert k == 3 and grouped.select("c", "prediction").distinct().count() == 3
+
+
+def test_folds_follow_time(points):
+    day = points.withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), F.col("k").cast("int")))
+    counts = {r["fold"]: (r["n"], r["a"], r["b"]) for r in M.time_folds(day, "day").groupBy("fold").agg(F.count("*").alias("n"), F.min("k").alias("a"), F.max("k").alias("b")).collect()}
+    assert len(counts) == 5 and all(counts[i][2] < counts[i + 1][1] for i in range(4)) and all(79 <= c[0] <= 81 for c in counts.values())
+    assert set(M.forward_scores(day, "day", "y", ["x"])) == {1, 2, 3, 4} and max(M.forward_scores(day, "day", "y", ["x"]).values()) < 0.3
+
+
+def test_quantiles_and_ranks_in_groups(spark):
+    rnd = random.Random(7)
+    rows = [(rnd.choice("abc"), rnd.choice([None, 1.0, 2.0, 2.5, 7.0, rnd.random()])) for _ in range(500)] + [("d", None), ("e", 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r["q"] for r in O.quantiles(df, "v", (0.0, 0.3, 0.5, 1.0), ["g"]).collect()}
+    assert set(got) == set("abce")
+    for g, q in got.items():
+        assert q == pytest.approx(np.quantile([v for k, v in rows if k == g and v is not None], (0, 0.3, 0.5, 1)).tolist())
+    places = O.competition_ranks(df, ["v"], by=["g"]).collect()
+    assert len(places) == len(rows) and all(r["place"] == 1 + sum(k == r["g"] and v is not None and (r["v"] is None or v > r["v"]) for k, v in rows) for r in places)
+
+
 def test_models_compare(spark, sf):
     part = spark.read.parquet(f"{sf}/part.parquet")
     scores = M.compare_models(part, "p_partkey", "p_retailprice", ["p_size"], ["p_brand"], names=("linear",))
