@@ -101,7 +101,11 @@ def _plain(text: str) -> tuple[int, int, int]:
 class Rules:
     """Thresholds of the two verdicts."""
 
-    def __init__(self, min_words: int = 10, max_repeat_percent: int = 20, min_repeat: int = 10, max_covered_percent: int = 30, max_longest: int = 100):
+    def __init__(self, min_words: int = 10, max_repeat_percent: int = 20, min_repeat: int = 10, max_covered_percent: int = 30, max_longest: int = 100, unit: str = "words"):
+        """``unit``: what repeats, covered shares and lengths are counted in, words or characters; the base rule is in words."""
+        if unit not in ("words", "characters"):
+            raise ValueError("the unit is words or characters")
+        self.unit = unit
         self.min_words, self.max_repeat_percent = min_words, max_repeat_percent
         self.min_repeat, self.max_covered_percent, self.max_longest = min_repeat, max_covered_percent, max_longest
 
@@ -129,13 +133,34 @@ class Rules:
             covering[at:end] = covered(long, prefix[long], docs, end - at)
             np.maximum.at(longest, at + docs[long], prefix[long])
             at = end
+        size_of = n_words
+        if self.unit == "characters":
+            size_of = np.fromiter((len(t or "") for t in texts), dtype=np.int64, count=len(texts))
+            covering, longest = self._by_character(texts, size_of)
         failed = (n_words < self.min_words) | (100 * repeated > self.max_repeat_percent * n_words)
-        fine = (100 * covering <= self.max_covered_percent * n_words) & (longest <= self.max_longest)
+        fine = (100 * covering <= self.max_covered_percent * size_of) & (longest <= self.max_longest)
         return {
             "n_words": n_words, "word_chars": plain[:, 0], "n_symbols": plain[:, 1], "n_dup_lines": plain[:, 2],
             "n_repeat_words": repeated, "base_failed": failed, "kept": ~failed & fine, "n_covered": covering, "longest_repeat": longest,
         }
 
+    def _by_character(self, texts: list[str | None], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters in the union of repeated substrings, and the longest."""
+        covering, longest, at = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64), 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + sizes[end] <= WORDS_AT_ONCE):
+                size += int(sizes[end])
+                end += 1
+            letters = np.frombuffer("".join(t or "" for t in texts[at:end]).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+            docs, ends = np.repeat(np.arange(end - at), sizes[at:end]), np.repeat(np.cumsum(sizes[at:end]), sizes[at:end])
+            prefix = common_prefixes(docs, letters, ends, self.min_repeat)
+            long = np.flatnonzero(prefix >= self.min_repeat)
+            covering[at:end] = covered(long, prefix[long], docs, end - at)
+            np.maximum.at(longest, at + docs[long], prefix[long])
+            at = end
+        return covering, longest
+
 
 FLAGS = ("base_failed", "kept")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *FLAGS, "n_covered", "longest_repeat")

@@ -458,6 +458,17 @@ def test_verdicts_by_brute_force(some, odd, least):
     assert list(zip(got["n_covered"].tolist(), got["longest_repeat"].tolist(), got["kept"].tolist(), strict=True)) == [brute_verdict(t, least) for t in texts]
 
 
+def test_verdicts_by_character(some, odd):
+    texts = [t for t in [r["text"] for r in some.collect() if len(r["text"]) < 1500] + [t for _, t, *_ in ODD] if len(t or "") < 3000] + ["abcabcabcab " * 9]
+    got = repetition.Rules(min_repeat=12, max_longest=60, unit="characters").judge(texts)
+    for text, n, longest, failed, kept in zip(texts, *(got[c].tolist() for c in ("n_covered", "longest_repeat", "base_failed", "kept")), strict=True):
+        t = text or ""
+        twice = lambda k, t=t: {i for i in range(len(t) - k + 1) if t.find(t[i : i + k], i + 1) >= 0 or t.find(t[i : i + k]) < i}
+        inside = {j for i in twice(12) for j in range(i, i + 12)}
+        assert n == len(inside) and kept == (not failed and 100 * n <= 30 * len(t) and longest <= 60)
+        assert longest == 0 and not inside or twice(longest) and not twice(longest + 1)
+
+
 def brute_redacted(docs):
     """Texts by id: base spans, and tokens of at most two owners, replaced."""
     owners, spans = collections.defaultdict(set), {}
