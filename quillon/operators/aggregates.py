@@ -367,9 +367,30 @@ def standings(facts: DataFrame, categories: Sequence[str]) -> DataFrame:
     )
 
 
-def violations(summary: DataFrame) -> DataFrame:
-    """Rows of a tier table that break its invariants; none if all is well."""
-    return summary.filter((F.col("n1") + F.col("n2") + F.col("n3") != F.col("total")) | (F.col("total") < 0) | (F.col("points") < F.col("total")))
+def violations(facts: DataFrame, categories: Sequence[str], tolerance: float = 1e-9) -> DataFrame:
+    """``rule, broken``: how many rows of the metric tables break each invariant; all zero if all is well.
+
+    Totals of every table are the facts; tiers and points add up; shares of an entity sum to one; categories sum to all;
+    HHI is between one over the units and one.
+    """
+    ours = facts.filter(F.col("tier").isin(*TIERS))
+    everything = ours.agg(F.count("*").alias("facts"))
+    entity, cells, cats = tier_counts(ours, ["entity"]), entity_unit(ours), tier_counts(ours, ["entity", "unit", "category"])
+    apart = lambda a, b: F.abs(a - b) > tolerance
+    count = lambda df, rule, test: df.agg(F.lit(rule).alias("rule"), F.count_if(F.coalesce(test, F.lit(True))).alias("broken"))
+    found = [count(t.agg(F.sum("total").alias("total")).crossJoin(everything), f"{name} totals", F.col("total") != F.col("facts")) for name, t in (("entity", entity), ("cell", cells), ("category", cats))]  # one row each
+    for name, t in (("entity", entity), ("cell", cells)):
+        found.append(count(t, f"{name} tiers", F.col("n1") + F.col("n2") + F.col("n3") != F.col("total")))
+        found.append(count(t, f"{name} points", sum((F.col(f"n{k + 1}") * w for k, w in enumerate(WEIGHTS)), F.lit(0)) != F.col("points")))
+    found.append(count(cells.groupBy("entity").agg(F.sum("entity_share").alias("s")), "shares", apart(F.col("s"), F.lit(1.0))))
+    listed = cats.filter(F.col("category").isin(*categories)).groupBy("entity", "unit").agg(F.sum("total").alias("by_category"))
+    found.append(count(cells.join(listed, ["entity", "unit"], "left"), "categories", F.col("by_category") != F.col("total")))
+    hhi = concentration(ours)
+    found.append(count(hhi, "hhi", (F.col("hhi") < 1 / F.col("units") - tolerance) | (F.col("hhi") > 1 + tolerance)))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def checked(df: DataFrame, checks: dict[str, tuple[Column, Column]]) -> DataFrame:

@@ -112,3 +112,24 @@ def scoped(df: DataFrame, column: str, scope) -> DataFrame:
         raise ValueError("a scope is required")
     require_columns(df, [column])
     return df.filter(F.col(column) == F.lit(scope))
+
+
+def leads(df: DataFrame, url: str, wanted: Column, found: Column, least: float = 0.5) -> DataFrame:
+    """Leads with ``relevance, mismatches`` and the ``reason`` to drop them, if any: about another place or year, off the topic, or a URL seen before.
+
+    Of equal URLs (without fragment and closing slash) the least as written stays.
+    """
+    from quillon.functions import scalars as S
+
+    named = sorted({word for names in S.PLACES.values() for word in names.replace("|", " ").split()})
+    topic = F.filter(S.terms(wanted), lambda w: ~w.rlike(r"^(19[5-9]|20[0-9])[0-9]$") & ~w.isin(named))
+    rows = df.withColumn("key_", S.normal_url(F.col(url))).withColumn("mismatches", S.mismatches(wanted, found)).withColumn("relevance", F.coalesce(S.overlap(topic, S.terms(found)), F.lit(1.0)))
+    first = rows.groupBy("key_").agg(F.min(url).alias("first_"))
+    rows = rows.join(first, "key_").drop("key_")
+    reason = F.when(F.size("mismatches") > 0, "MISMATCH").when(F.col("relevance") < least, "OFF_TOPIC").when(F.col(url) != F.col("first_"), "REPEATED_URL")
+    return rows.withColumn("reason", reason).drop("first_")
+
+
+def provenance(df: DataFrame, table: str, row_id: str, url: Column, retrieved: Column, digest: Column) -> DataFrame:
+    """Where each row is from: ``source_url, retrieved_at, content_sha256, source_table, source_row``, after its own columns."""
+    return df.select("*", url.alias("source_url"), retrieved.alias("retrieved_at"), digest.alias("content_sha256"), F.lit(table).alias("source_table"), F.col(row_id).alias("source_row"))

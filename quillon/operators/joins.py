@@ -93,6 +93,11 @@ def longest_suffix(df: DataFrame, host: str, rules: DataFrame) -> DataFrame:
     return df.join(best, host, "left")
 
 
+def parent_policy(df: DataFrame, host: str, policies: DataFrame) -> DataFrame:
+    """The policy of a host or of the nearest domain above it; a bare top-level domain has none."""
+    return longest_suffix(df, host, policies.filter(F.col("domain").contains(".")))
+
+
 def single_cell(df: DataFrame, test: Column, column: str) -> DataFrame:
     """One row with the value of the only row that fits; any other number of rows stops the query when it runs."""
     found = df.filter(test).agg(F.any_value(column).alias("value"), F.count("*").alias("rows_"))

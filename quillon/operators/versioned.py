@@ -176,10 +176,10 @@ def alerts(now: DataFrame, sent: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def resolve(conflicts: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
-    """The status of each conflict after the decisions: only open ones change, and a note and a name are needed."""
+    """The status of each conflict after the decisions, and whether it still disputes its slot: only open ones change, and a note and a name are needed."""
     good = decisions.filter(F.col("note").isNotNull() & (F.btrim("note") != "") & F.col("resolved_by").isNotNull())
     last = good.groupBy(key).agg(F.max_by("status", "at").alias("decided"))
-    return conflicts.join(last, key, "left").withColumn("status", F.when(F.col("status") == "open", F.coalesce("decided", F.lit("open"))).otherwise(F.col("status"))).drop("decided")
+    return conflicts.join(last, key, "left").withColumn("status", F.when(F.col("status") == "open", F.coalesce("decided", F.lit("open"))).otherwise(F.col("status"))).withColumn("is_disputed", F.col("status") == "open").drop("decided")
 
 
 def rehashed(df: DataFrame, content: str, recorded: str) -> DataFrame:
@@ -236,6 +236,22 @@ def close_stuck(runs: DataFrame, is_open: Column, started: str, now: str, most_d
     return runs.withColumn("outcome", F.when(stuck, "failed").when(is_open, "running").otherwise("done")).withColumn("reason", F.when(stuck, "STUCK"))
 
 
+def outcome(status: Column, changed: Column, quarantined: Column) -> Column:
+    """What a run came to, from what it recorded: running, failed, succeeded_with_quarantine, unchanged or succeeded."""
+    return (
+        F.when(status == "running", "running").when(~status.eqNullSafe(F.lit("success")), "failed")
+        .when(F.coalesce(quarantined, F.lit(0)) > 0, "succeeded_with_quarantine").when(changed == 0, "unchanged").otherwise("succeeded")
+    )
+
+
+def run_summary(runs: DataFrame, quarantine_: DataFrame, run: str, reason: str, resolved: Column) -> DataFrame:
+    """Each run with its ``outcome``, its unresolved quarantined rows, and these by reason as ``reasons`` (a map)."""
+    open_ = quarantine_.filter(~resolved).groupBy(run, reason).agg(F.count("*").alias("n"))
+    by_run = open_.groupBy(F.col(run).alias("run_")).agg(F.sum("n").alias("open_rows"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(reason, "n")))).alias("reasons"))
+    out = runs.join(by_run, F.col(run) == F.col("run_"), "left").drop("run_").withColumn("open_rows", F.coalesce("open_rows", F.lit(0)))
+    return out.withColumn("outcome", outcome(F.col("status"), F.col("changed"), F.col("open_rows")))
+
+
 def reuse(share: Column, age_days: Column, complete: Column, most_days: int = 365, least: float = 0.5) -> Column:
     """What to do with a stored table: reuse, refresh, extend or collect anew."""
     return F.when(share < least, "collect").when(~complete, "extend").when(age_days > most_days, "refresh").otherwise("reuse")
