@@ -169,6 +169,12 @@ def retained(df: DataFrame, until: str, now) -> tuple[DataFrame, DataFrame]:
     return df.filter(~over), df.filter(over)
 
 
+def pruned(df: DataFrame, until: str, content: str, now) -> tuple[DataFrame, DataFrame]:
+    """Rows still kept, and tombstones of the rest: their rows without the content."""
+    kept, over = retained(df, until, now)
+    return kept, over.withColumn(content, F.lit(None).cast(dict(df.dtypes)[content]))
+
+
 def alerts(now: DataFrame, sent: DataFrame, keys: Sequence[str]) -> DataFrame:
     """What to notify: alerts not sent yet, and sent ones that ended."""
     new = now.select(*keys).join(sent, list(keys), "left_anti").withColumn("notice", F.lit("new"))

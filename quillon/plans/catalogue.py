@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -1070,10 +1071,13 @@ def _(t):
     return V.alerts(c.filter("c_acctbal < 0").select("c_custkey"), c.filter("c_mktsegment = 'BUILDING'").select("c_custkey"), ["c_custkey"])
 
 
-@query("sta13", "SELECT o_orderkey, o_orderdate < TIMESTAMP '1995-06-01' AS tombstone FROM orders")
+@query("sta13", "SELECT o_orderkey, CASE WHEN o_orderdate::DATE < DATE '1995-06-01' THEN 'pruned' WHEN o_orderkey % 9 = 0 THEN 'changed' ELSE 'ok' END AS status, o_orderdate::DATE < DATE '1995-06-01' AS tombstone FROM orders")
 def _(t):
-    kept, gone = V.retained(t("orders").select("o_orderkey", "o_orderdate").withColumn("o_orderdate", F.to_date("o_orderdate")), "o_orderdate", __import__("datetime").date(1995, 6, 1))
-    return kept.select("o_orderkey", F.lit(False).alias("tombstone")).unionByName(gone.select("o_orderkey", F.lit(True).alias("tombstone")))
+    text = F.col("o_orderkey").cast("string")
+    stored = t("orders").select("o_orderkey", F.to_date("o_orderdate").alias("until"), text.alias("content"), F.sha2(F.when(F.col("o_orderkey") % 9 == 0, F.concat(text, F.lit("x"))).otherwise(text), 256).alias("digest"))
+    kept, gone = V.pruned(stored, "until", "content", datetime.date(1995, 6, 1))
+    checked = V.rehashed(kept, "content", "digest").select("o_orderkey", "status", F.lit(False).alias("tombstone"))
+    return checked.unionByName(gone.select("o_orderkey", F.lit("pruned").alias("status"), F.lit(True).alias("tombstone")))
 
 
 @query("sta14", "SELECT user_id, event_type AS status, n FROM (SELECT user_id, arg_max(event_type, struct_pack(t := ts, e := event_id)) AS event_type, count(*) AS n FROM events GROUP BY 1)")
@@ -1092,12 +1096,17 @@ def _(t):
 # ---- planner ----
 
 
-@query("pln01", "SELECT p_brand, count(*) AS rows, CAST(sum(p_size) AS BIGINT) AS p_size_sum FROM part GROUP BY 1")
+@query("pln01", "SELECT 'request' AS kind, p_brand, count(*) AS rows, CAST(sum(p_size) AS BIGINT) AS p_size_sum, NULL AS said FROM part GROUP BY p_brand UNION ALL SELECT * FROM (VALUES ('chart', NULL, NULL, NULL, 'line'), ('clarification', NULL, NULL, NULL, 'p_brand'), ('refusal', NULL, NULL, NULL, 'Tables are only read.')) AS v")
 def _(t):
     from quillon.plans import requests
 
     part = t("part")
-    return requests.run(part, requests.parse("Sum p size by p brand", part.columns))
+    first = requests.plan("Sum p size by p brand", part)
+    table = requests.run(part, first.request).select(F.lit(first.kind).alias("kind"), "p_brand", "rows", "p_size_sum", F.lit(None).cast("string").alias("said"))
+    others = [requests.plan("Make it a line chart", part, first.request), requests.plan("sum p size by brand", part), requests.plan("drop everything", part)]
+    said = [(p.kind, p.chart or ",".join(p.choices) or p.question) for p in others]
+    answers = part.sparkSession.createDataFrame(said, "kind string, said string")
+    return table.unionByName(answers.select("kind", F.lit(None).cast("string").alias("p_brand"), F.lit(None).cast("long").alias("rows"), F.lit(None).cast("long").alias("p_size_sum"), "said"))
 
 
 @query("pln07", f"{BY_CELL}, e AS (SELECT entity, count(DISTINCT unit) AS units FROM facts WHERE tier IN ('A','N','R') GROUP BY 1) SELECT unnest(['entity totals','cell totals','category totals','entity tiers','entity points','cell tiers','cell points','shares','categories','hhi']) AS rule, unnest([0, 0, 0, 0, 0, 0, 0, 0, (SELECT count(DISTINCT entity || '|' || unit) FROM facts WHERE category = '5-LOW'), 0]) AS broken FROM (SELECT count(*) FROM t)")

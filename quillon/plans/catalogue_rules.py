@@ -75,10 +75,14 @@ def _(t):
     return P.not_empty(t("part").filter("p_size > 40").select("p_partkey"))
 
 
-@query("flt07", "SELECT p_partkey FROM part WHERE p_size BETWEEN 5 AND 9")
-def _(t):
-    part = t("part")
-    return requests.parse_filter("p_size between 5 and 9", part)(part).select("p_partkey")
+@query("flt07", "SELECT 'between' AS form, count(*) AS n FROM orders WHERE o_totalprice BETWEEN 50000 AND 90000 UNION ALL SELECT 'year', count(*) FROM orders WHERE year(o_orderdate) = 1995 UNION ALL SELECT 'no year', count(*) FROM orders WHERE year(o_orderdate) <> 1995 UNION ALL SELECT 'value', count(*) FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT 'no value', count(*) FROM orders WHERE o_orderpriority <> '5-LOW' UNION ALL SELECT 'is', count(*) FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'not', count(*) FROM orders WHERE o_orderstatus <> 'F'")
+def _(t):
+    orders, out = t("orders"), None
+    asked = {"between": "o_totalprice between 50000 and 90000", "year": "only 1995", "no year": "exclude 1995", "value": "only 1-urgent", "no value": "exclude 5-low", "is": "only o_orderstatus is F", "not": "exclude o_orderstatus F"}
+    for form, text in asked.items():
+        one = requests.parse_filter(text, orders)(orders).agg(F.lit(form).alias("form"), F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("flt20", "SELECT doc_id FROM documents WHERE lang = 'en'")

@@ -94,17 +94,67 @@ def starters(df: DataFrame, most: int = 8) -> list[Request]:
     return plan[:most]
 
 
+CHARTS = ("bar", "line", "pie", "scatter", "table")
+
+
+@dataclass(frozen=True)
+class Planned:
+    """What a text asks for: ``kind`` is request, chart, clarification or refusal."""
+
+    kind: str
+    request: Request | None = None
+    chart: str = ""
+    question: str = ""
+    choices: tuple[str, ...] = ()
+
+
+def plan(text: str, df: DataFrame, current: Request | None = None) -> Planned:
+    """A request, another chart of the current one, a question back where a column is not clear, or a refusal."""
+    plain = re.sub(r"\s+", " ", text.strip().lower().rstrip(".?!"))
+    if m := re.fullmatch(rf"(?:make (?:it|this) |show (?:it|this) |change (?:it|this) )?(?:as |to |into )?(?:an? )?({'|'.join(CHARTS)})(?: chart)?", plain):
+        if current is None:
+            return Planned("clarification", question="There is no result to show yet. What shall be shown?")
+        return Planned("chart", current, m[1])
+    if re.search(r"\b(delete|drop|update|insert|truncate|alter|grant)\b", plain):
+        return Planned("refusal", question="Tables are only read.")
+    try:
+        return Planned("request", parse(text, df.columns))
+    except NotUnderstood as why:
+        wanted = str(why).removeprefix("no column ")
+        near = tuple(c for c in df.columns if wanted and (wanted in c.lower().replace("_", " ") or set(wanted.split()) & set(c.lower().split("_"))))
+        if str(why).startswith("no column") and near:
+            return Planned("clarification", question=f"Which column is {wanted}?", choices=near)
+        return Planned("refusal", question=str(why))
+
+
 def parse_filter(text: str, df: DataFrame):
-    """``only region is south``, ``exclude north``, ``price between 1 and 5``: a function on the frame."""
+    """``only region is south``, ``exclude region south``, ``price between 1 and 5``, ``only 2024``, ``only south``, ``exclude north``: a function on the frame.
+
+    A bare year is one of the only date column; a bare value belongs to the only text column that has it, in any case of letters.
+    """
     plain = re.sub(r"\s+", " ", text.strip())
+    days = [c for c, k in df.dtypes if k.startswith(("date", "timestamp"))]
     if m := re.fullmatch(r"(?i)only (\w+) is (.+)", plain):
         return lambda d: filters.keep_values(d, m[1], [m[2]])
-    if m := re.fullmatch(r"(?i)exclude (\w+) (.+)", plain):
-        return lambda d: filters.drop_values(d, m[1], [m[2]])
     if m := re.fullmatch(r"(?i)(\w+) between (\S+) and (\S+)", plain):
         number = filters.column_kind(df, m[1]) == "number"
         low, high = (float(m[2]), float(m[3])) if number else (m[2], m[3])
         return lambda d: filters.keep_between(d, m[1], low, high)
+    if m := re.fullmatch(r"(?i)(only|exclude) ((?:19|20)\d\d)", plain):
+        if len(days) != 1:
+            raise NotUnderstood("a year needs one date column")
+        inside = F.year(days[0]) == int(m[2])
+        return lambda d: d.filter(inside if m[1].lower() == "only" else ~F.coalesce(inside, F.lit(False)))
+    if (m := re.fullmatch(r"(?i)exclude (\w+) (.+)", plain)) and m[1] in df.columns:
+        return lambda d: filters.drop_values(d, m[1], [m[2]])
+    if m := re.fullmatch(r"(?i)(only|exclude) (.+)", plain):
+        texts = [c for c, k in df.dtypes if k == "string"]
+        hit = [F.max(F.when(F.lower(c) == m[2].lower(), F.col(c))).alias(f"v{i}") for i, c in enumerate(texts)]
+        found = df.agg(*hit).first() if hit else []
+        named = [(c, found[i]) for i, c in enumerate(texts) if found[i] is not None]
+        if len(named) != 1:
+            raise NotUnderstood(f"{m[2]} is a value of {len(named)} columns")
+        return lambda d: (filters.keep_values if m[1].lower() == "only" else filters.drop_values)(d, named[0][0], [named[0][1]])
     raise NotUnderstood("the filter is not one of the forms")
 
 
@@ -129,8 +179,8 @@ def findings(described: DataFrame) -> list[str]:
     """Sentences from a describe table."""
     out = []
     for r in described.collect():  # a row for each column
-        if r["n"] and r["nulls"]:
-            out.append(f"{r['column']} has no value in {r['nulls']} of {r['nulls'] + r['n']} rows")
+        if r["count"] and r["nulls"]:
+            out.append(f"{r['column']} has no value in {r['nulls']} of {r['nulls'] + r['count']} rows")
         if r["distinct"] == 1:
             out.append(f"{r['column']} is constant")
     return out
