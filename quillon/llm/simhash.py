@@ -45,7 +45,8 @@ LARGE, PIVOTS = 1 << 18, 64
 #: Words of a wide fingerprint, those of them that have anchors and their blocks, the bits in which texts of similarity 0.8 differ at
 #: most (but for 6 in a thousand), and those in which pairs that are compared first do.
 WIDE, ANCHORED, WIDE_BLOCKS, NEAR, CLOSE = 20, 10, 4, 226, 165
-FIRST = 48
+#: Bits of the first two words in which similar texts differ at most (but for one in thirty thousand).
+FIRST = 36
 
 
 def shingles(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -203,7 +204,7 @@ class Rows:
 
     def __init__(self, bits: np.ndarray, sizes: np.ndarray | None, threshold: int, ratio: float):
         self.bits, self.sizes, self.threshold, self.ratio = bits, sizes, threshold, ratio
-        # of many words, two are looked at first: FIRST bits are five deviations more than the threshold leaves there
+        # of many words, two are looked at first
         self.head = np.ascontiguousarray(bits[:, :2]) if bits.shape[1] > 2 else None
 
     def near(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -275,8 +276,11 @@ def _crowd(h: np.ndarray, c: np.ndarray, rows: Rows, node: np.ndarray, label: np
             yield from meet(k, c)
 
 
-def _match(keys: np.ndarray, home: np.ndarray, rows: Rows, nodes: np.ndarray, roots: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows, sorted by key with homes first, that span what is linked; or, with ``roots``, all whose roots differ."""
+def _match(keys: np.ndarray, home: np.ndarray, rows: Rows, nodes: np.ndarray, roots: np.ndarray | None, once=None) -> tuple[np.ndarray, np.ndarray]:
+    """Links among rows, sorted by key with homes first, that span what is linked; or, with ``roots``, all whose roots differ.
+
+    ``once``: of rows that are linked, whether this anchor is the one to say so.
+    """
     distinct, node = np.unique(nodes, return_inverse=True)
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     ends = np.r_[starts[1:], len(keys)]
@@ -295,6 +299,7 @@ def _match(keys: np.ndarray, home: np.ndarray, rows: Rows, nodes: np.ndarray, ro
             label[place[s:e]] = np.unique(roots[s:e], return_inverse=True)[1]
         homes = s + np.argsort(place[s:m], kind="stable")  # the same nodes come first at every anchor
         for one, others in _crowd(homes, homes if alone[g] else np.arange(m, e), rows, place, label, roots is None):
+            others = others if once is None else others[once(np.full(len(others), one), others)]
             found_a.append(np.full(len(others), node[one]))
             found_b.append(node[others])
     small = np.flatnonzero(np.repeat(~large, ends - starts))
@@ -302,6 +307,8 @@ def _match(keys: np.ndarray, home: np.ndarray, rows: Rows, nodes: np.ndarray, ro
         for left, right in _pairs(keys[small], home[small], small, rows):
             a, b = node[left], node[right]
             apart = a != b if roots is None else roots[left] != roots[right]
+            if once is not None:
+                apart[apart] = once(left[apart], right[apart])
             pair = np.unique(np.minimum(a, b)[apart] * len(distinct) + np.maximum(a, b)[apart])
             if roots is None and len(pair):
                 names, at = np.unique(np.r_[pair // len(distinct), pair % len(distinct)], return_inverse=True)
@@ -313,19 +320,19 @@ def _match(keys: np.ndarray, home: np.ndarray, rows: Rows, nodes: np.ndarray, ro
     return distinct[pair // len(distinct)], distinct[pair % len(distinct)]
 
 
-def links(distinct: DataFrame, shelf: Shelf, threshold: int = 4, blocks: int = 3, wide: int = 1, near: int | None = None, ratio: float = 0.0, anchored: int = 1) -> DataFrame:
+def links(distinct: DataFrame, shelf: Shelf, threshold: int = 4, blocks: int = 3, wide: int = 1, near: int | None = None, ratio: float = 0.0, anchored: int = 1, taken: int | None = None) -> DataFrame:
     """Pairs ``src, dst`` of a written table with a row for each fingerprint.
 
     With the column ``fp`` alone: links that span the fingerprints within the threshold. With ``node`` and ``wide`` (bytes of
-    ``wide`` words, the first ``anchored`` with blocks) the pairs are of nodes that meet at an anchor and whose words are within ``near`` bits and whose sizes ``n`` have ``ratio`` at least; with ``root`` as well, all such pairs of different roots.
+    ``wide`` words, the first ``anchored`` with blocks) the pairs are of nodes that meet at an anchor and whose first ``taken`` words (all if not given) are within ``near`` bits and whose sizes ``n`` have ``ratio`` at least; with ``root`` as well, all such pairs of different roots.
     """
     n = distinct.count()
     near = threshold if near is None else near
     cover = Cover(threshold, blocks, anchored)
     width, columns = cover.key_bits, [c for c in ("fp", "node", "n", "root", "wide") if c in distinct.columns]
     rest = [c for c in columns if c != "wide"]
-    taken = [f"w{k}" for k in range(wide)] if "wide" in columns else ["fp"]
-    sent = [*taken, *(c for c in rest if c != "fp")]  # what goes along to an anchor
+    words = [f"w{k}" for k in range(wide if taken is None else taken)] if "wide" in columns else ["fp"]
+    sent = [*words, *(c for c in rest if c != "fp")]  # what goes along to an anchor
 
     def words_of(batch: pa.RecordBatch) -> np.ndarray:
         if "wide" not in columns:
@@ -357,7 +364,7 @@ def links(distinct: DataFrame, shelf: Shelf, threshold: int = 4, blocks: int = 3
                 part = batch.slice(at, 4000)
                 whole = words_of(part)
                 others = [np.asarray(part.column(columns.index(c))) for c in rest if c != "fp"]
-                own_columns = [*np.ascontiguousarray(whole[:, : len(taken)].T).view(np.int64), *others]
+                own_columns = [*np.ascontiguousarray(whole[:, : len(words)].T).view(np.int64), *others]
                 home = cover.homes(whole)
                 own = np.repeat(np.arange(len(whole)), home.shape[1])
                 home = home.ravel()
@@ -383,8 +390,9 @@ def links(distinct: DataFrame, shelf: Shelf, threshold: int = 4, blocks: int = 3
         def out(last: bool):
             nonlocal held, size
             keys, copy, *more = (np.concatenate(x) for x in zip(*held, strict=True))
-            bits, others = np.stack(more[: len(taken)], axis=1).view(np.uint64), more[len(taken) :]
-            a, b = _match(keys, copy == 0, Rows(bits, others[1] if others else None, near, ratio), others[0] if others else more[0], others[2] if len(others) > 2 else None)
+            bits, others = np.stack(more[: len(words)], axis=1).view(np.uint64), more[len(words) :]
+            once = None if len(others) < 3 else lambda left, right: (cover.homes(bits[left]) == cover.homes(bits[right])).argmax(axis=1) == keys[left] >> cover.width & (1 << cover.key_bits - cover.width) - 1
+            a, b = _match(keys, copy == 0, Rows(bits, others[1] if others else None, near, ratio), others[0] if others else more[0], others[2] if len(others) > 2 else None, once)
             if last:
                 held, size = [], 0
             else:  # of the key that may go on, its homes stay
@@ -502,6 +510,10 @@ def similar(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "
         texts = shelf.put(rows.select("hash", "text").join(wanted, "hash").groupBy("node").agg(F.min("text").alias("text")), f"texts-{name}")
         return shelf.put(_linked(pairs, texts, words, least), f"links-{name}")
 
+    # most texts are near to no other: only those that are, by two words, take all their words to their anchors
+    light = shelf.put(links(sets.select("fp", "node", "n", "wide"), shelf, sure, WIDE_BLOCKS, WIDE, FIRST, least, ANCHORED, 2), "light")
+    near = light.select(F.col("src").alias("node")).unionByName(light.select(F.col("dst").alias("node"))).distinct()
+    sets = shelf.put(sets.join(near, "node", "left_semi"), "near-sets")
     edges = verified(links(sets.select("fp", "node", "n", "wide"), shelf, sure, WIDE_BLOCKS, WIDE, CLOSE, least, ANCHORED), "closest")
     roots = components(edges, Shelf(docs.sparkSession, "similar-first"))
     placed = shelf.put(sets.join(roots, "node", "left").select("fp", "node", "n", F.coalesce("root", "node").alias("root"), "wide"), "placed")
