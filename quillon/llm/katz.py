@@ -65,15 +65,16 @@ def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    """Ranges of keys, so that keys in order are in order of buckets."""
+    return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
 def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order by bucket and key, the buckets present, and where each starts (and the last ends)."""
-    at = bucket_of(keys, buckets)
-    order = np.lexsort((keys, at))
-    present, starts = np.unique(at[order], return_index=True)
-    return order, present, np.r_[starts, len(keys)]
+    order = np.argsort(keys)
+    at = bucket_of(keys[order], buckets)
+    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, dtype=np.int64)
+    return order, at[starts], np.r_[starts, len(keys)]
 
 
 class Discounts:
@@ -202,7 +203,9 @@ def _table(kind: int, kept: bool):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         keys = [np.cumsum(unpacked(k), dtype=np.uint64) for k in part["keys"]]
         sizes = [len(k) for k in keys]
-        names, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        inverse, names = pd.factorize(np.concatenate(keys))
+        first = np.empty(len(names), dtype=np.int64)
+        first[inverse[::-1]] = np.arange(len(inverse) - 1, -1, -1)
         del keys
         totals = np.bincount(inverse, weights=np.concatenate([unpacked(c) for c in part["counts"]]).astype(np.float64)).astype(np.int64)
         asked = np.bincount(inverse, weights=_bits(part["wanted"].tolist(), sizes)) > 0
@@ -213,7 +216,10 @@ def _table(kind: int, kept: bool):
         seen = totals[totals > 0]
         stats = [float(seen.sum()), float(len(seen)), *np.bincount(np.minimum(seen, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2].astype(float).tolist()]
         rest = [None] * (len(sizes) - 1)
-        table = [packed(np.diff(names[totals > 0], prepend=np.uint64(0))), packed(seen.astype(np.uint64))] if kept else [None, None]
+        table = [None, None]
+        if kept:
+            order = np.argsort(names[totals > 0])
+            table = [packed(np.diff(names[totals > 0][order], prepend=np.uint64(0))), packed(seen[order].astype(np.uint64))]
         return pd.DataFrame({
             "kind": kind, "bucket": part["bucket"].to_numpy(), "chunk": part["chunk"].to_numpy(),
             "counts": [packed(answer[e - s : e]) for s, e in zip(sizes, ends, strict=True)],
@@ -253,9 +259,10 @@ class Chunk:
         shorter, keys = self.at, self.keys
         there = np.flatnonzero(before >= 0)
         base = len(self.words) + 1
-        named, first, inverse = np.unique(before[there] * base + self.tokens[there], return_index=True, return_inverse=True)
+        inverse, named = pd.factorize(before[there] * base + self.tokens[there])
         self.level += 1
-        self.left, self.right, self.lower = named // base, named % base, shorter[there[first]]
+        self.left, self.right, self.lower = named // base, named % base, np.empty(len(named), dtype=np.int64)
+        self.lower[inverse] = shorter[there]
         self.at = np.full(len(before), -1, dtype=np.int64)
         self.at[there] = inverse
         self.keys = pair_keys(keys[self.left], self.words[self.right] + np.uint64(self.level))
