@@ -358,7 +358,7 @@ def standings(facts: DataFrame, categories: Sequence[str]) -> DataFrame:
     c = facts.groupBy(F.col("entity").alias("of")).agg(*[F.count_if(F.col("category") == x).alias(f"c{k + 1}") for k, x in enumerate(categories)])
     sums = t.agg(F.sum("n1").alias("all_n1"), F.sum("total").alias("all_total"))
     out = t.join(c, F.col("entity") == F.col("of")).crossJoin(sums)  # one row
-    percent = lambda a, b, places, name: F.round(100 * divided(F.col(a), F.col(b)), places).alias(name)
+    percent = lambda a, b, places, name: F.round(divided(100 * F.col(a), F.col(b)), places).alias(name)
     own = [f"c{k + 1}" for k in range(len(categories))]
     place = F.row_number().over(Window.orderBy(F.desc("n1"), F.desc("n2"), F.desc("n3"), "entity"))
     return out.select(
