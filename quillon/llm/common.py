@@ -1,17 +1,25 @@
-"""Shared plumbing: written intermediate tables, connected components, and small column helpers."""
+"""Shared plumbing: written intermediate tables, memory of Python workers, connected components, and small column helpers."""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of text that a Python worker takes apart in one step.
+TEXT_AT_ONCE = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -62,6 +70,33 @@ class Shelf:
             return
 
 
+def portions(batch: pa.RecordBatch, *places: int) -> Iterator[pa.RecordBatch]:
+    """All rows in slices of ``TEXT_AT_ONCE`` bytes at most in the text columns at these places, or of one row."""
+    sizes = sum(pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for k in places)
+    upto, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + TEXT_AT_ONCE, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def release() -> None:
+    """Give the memory that this process no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same for ``mapInArrow``, but a worker, which later stages use again, doesn't keep what a task has freed."""
+
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return freed
+
+
 def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import lean
+
 SPACE = "▁"
 PRE_TOKEN = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 LOOSE = re.compile(f"^ | $|  | \n|{SPACE}").search
@@ -235,4 +237,4 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)

@@ -18,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import lean, portions
+
 #: White space between words, and the symbols counted.
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 WORDS_AT_ONCE = 500_000
-DOCS_AT_ONCE = 1000
 
 
 def common_prefixes(docs: np.ndarray, words: np.ndarray, ends: np.ndarray, least: int = 1) -> np.ndarray:
@@ -174,12 +175,11 @@ def judge_docs(docs: DataFrame, rules: Rules | None = None, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
-                part = batch.slice(at, DOCS_AT_ONCE)
+            for part in portions(batch, 1):
                 found = rules.judge(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(found[c]) for c in COUNTS)], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def filter_docs(docs: DataFrame, rules: Rules | None = None, text_col: str = "text") -> DataFrame:
@@ -189,8 +189,7 @@ def filter_docs(docs: DataFrame, rules: Rules | None = None, text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
-                part = batch.slice(at, DOCS_AT_ONCE)
+            for part in portions(batch, place):
                 yield part.filter(pa.array(rules.judge(part.column(place).to_pylist())["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shelf, components, packed_row
+from .common import Shelf, components, lean, packed_row, portions
 
 BITS = 64
 #: Homes at one anchor beyond which they are dealt over tiles.
@@ -114,7 +114,7 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
             found = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), batch.column(2)], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 class Cover:
@@ -347,7 +347,7 @@ def links(distinct: DataFrame, shelf: Shelf, threshold: int = 4, blocks: int = 3
     fps = distinct.select(*columns)
     crowded = {
         r["key"]: -(-r["count"] // limit)
-        for r in fps.mapInArrow(home_keys, "key long").groupBy("key").count().filter(F.col("count") > limit).toLocalIterator()
+        for r in fps.mapInArrow(lean(home_keys), "key long").groupBy("key").count().filter(F.col("count") > limit).toLocalIterator()
     }  # MOST_CROWDED entries at most
     heavy = np.array(sorted(crowded), dtype=np.int64)
     tiles = np.array([crowded[k] for k in heavy.tolist()], dtype=np.int64)
@@ -409,9 +409,9 @@ def links(distinct: DataFrame, shelf: Shelf, threshold: int = 4, blocks: int = 3
         if size:
             yield out(True)
 
-    dealt = fps.mapInArrow(deal, ", ".join(["key long", "copy byte", *(f"{c} long" for c in sent)]))
+    dealt = fps.mapInArrow(lean(deal), ", ".join(["key long", "copy byte", *(f"{c} long" for c in sent)]))
     pieces = max(1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return dealt.repartition(pieces, "key").sortWithinPartitions("key", "copy").mapInArrow(compare, "src long, dst long")
+    return dealt.repartition(pieces, "key").sortWithinPartitions("key", "copy").mapInArrow(lean(compare), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text", blocks: int = 3) -> DataFrame:
@@ -471,27 +471,27 @@ def _marked(rows: DataFrame, words: int) -> DataFrame:
     schema = T.StructType([rows.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("hash", "node", "n", "fp")), T.StructField("wide", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.unique(shingles(t, words)) for t in batch.column(2).to_pylist()]
+        for part in (p for batch in batches for p in portions(batch, 2)):
+            found = [np.unique(shingles(t, words)) for t in part.column(2).to_pylist()]
             nodes = np.array([xxh64_intdigest(f.tobytes(), 1) for f in found], dtype=np.uint64).view(np.int64)
             prints = np.array([wide_fingerprint(f) for f in found], dtype="<u8").reshape(-1, WIDE)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array(nodes), pa.array([len(f) for f in found], pa.int64()), pa.array(prints[:, 0].view(np.int64)), pa.array([p.tobytes() for p in prints], pa.binary()),
+                part.column(0), part.column(1), pa.array(nodes), pa.array([len(f) for f in found], pa.int64()), pa.array(prints[:, 0].view(np.int64)), pa.array([p.tobytes() for p in prints], pa.binary()),
             ], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     """Those of the pairs ``src, dst`` whose sets are similar enough, shingle by shingle."""
     def equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = ([np.unique(shingles(t, words)) for t in batch.column(k).to_pylist()] for k in (2, 3))
+        for part in (p for batch in batches for p in portions(batch, 2, 3)):
+            left, right = ([np.unique(shingles(t, words)) for t in part.column(k).to_pylist()] for k in (2, 3))
             near = [similarity(a, b) >= least for a, b in zip(left, right, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["src", "dst"]).filter(pa.array(near, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["src", "dst"]).filter(pa.array(near, pa.bool_()))
 
     a, b = (texts.select(F.col("node").alias(k), F.col("text").alias(f"{k}_text")) for k in ("src", "dst"))
-    return pairs.join(a, "src").join(b, "dst").select("src", "dst", "src_text", "dst_text").mapInArrow(equal, "src long, dst long")
+    return pairs.join(a, "src").join(b, "dst").select("src", "dst", "src_text", "dst_text").mapInArrow(lean(equal), "src long, dst long")
 
 
 def similar(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,15 +8,17 @@ import ipaddress
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillon.llm import byte_bpe, grid_join, katz, packing, piece_counts, pseudonyms, queries, repetition, secrets, sharding, simhash
+from quillon.llm import byte_bpe, common, grid_join, katz, packing, piece_counts, pseudonyms, queries, repetition, secrets, sharding, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -426,6 +428,49 @@ def test_rules(some, odd):
         assert failed == (n < 10 or 100 * rep > 20 * n) and not (failed and kept), t
 
 
+class _Captured:
+    """Stands for a table: keeps the function that would run over its batches."""
+
+    columns, schema = ["doc_id", "text"], None
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+def test_rules_hold_a_bounded_part_of_a_batch():
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.randrange(10**6)}w" for _ in range(900)) for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    run = repetition.filter_docs(_Captured())
+    list(run(iter([batch.slice(0, 1)])))
+    tracemalloc.start()
+    try:
+        kept = [k for part in run(iter([batch])) for k in part.column(0).to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert kept == np.flatnonzero(repetition.Rules().judge(texts)["kept"]).tolist() and kept
+    assert peak < 60e6  # the texts are 7 MB; all at once their words took 136 MB
+
+
+def test_portions_have_every_row_once():
+    texts = [None, "", "a" * (3 << 20), "é" * 1000, None] * 3 + ["b" * 1000] * 3000 + [""] * 10
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    parts = [p.column(1).to_pylist() for p in common.portions(batch, 1)]
+    assert [t for p in parts for t in p] == texts
+    assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p) <= common.TEXT_AT_ONCE for p in parts)
+    assert len(parts) < 20 and not list(common.portions(batch.slice(0, 0), 1))
+
+
+def test_workers_give_memory_back_after_a_task(monkeypatch):
+    said = []
+    monkeypatch.setattr(common, "release", lambda: said.append("released"))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words"])], ["doc_id", "text"])
+    for _ in repetition.filter_docs(_Captured())(iter([batch, batch])):
+        said.append("part")
+    assert said == ["part", "part", "released"]
+
+
 def test_longest_repeat():
     unit = [f"w{k}" for k in range(150)]
     got = repetition.Rules().judge([" ".join([*unit, "x", *unit[:120], *(f"y{k}" for k in range(2000))])])
