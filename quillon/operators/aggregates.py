@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import divided, period_label, period_start, value_class, value_hint
+from quillon.operators.pieces import pieces
 
 NO_VALUE, REST = "(null)", "(other)"
 FUNCTIONS = ("sum", "mean", "median", "min", "max", "count", "distinct")
@@ -220,8 +221,11 @@ SPECIALISED, FIRST_HEAVY = 1.5, 0.5
 
 
 def _per_event(facts: DataFrame, more: Sequence[Column] = ()) -> DataFrame:
-    """Tier counts by unit, event and entity, and ``opens``: 1 for one row of each event, so that its sum counts events."""
-    cells = facts.groupBy("unit", "event", "entity").agg(F.count("*").alias("n"), *[F.count_if(F.col("tier") == t).alias(f"n{k + 1}") for k, t in enumerate(TIERS)], *more)
+    """Tier counts by unit, event and entity, and ``opens``: 1 for one row of each event, so that its sum counts events.
+
+    There are about as many cells as facts, so the facts are dealt into pieces first and counted where they are.
+    """
+    cells = facts.repartition(pieces(facts), "unit", "event").groupBy("unit", "event", "entity").agg(F.count("*").alias("n"), *[F.count_if(F.col("tier") == t).alias(f"n{k + 1}") for k, t in enumerate(TIERS)], *more)
     return cells.withColumn("opens", (F.row_number().over(Window.partitionBy("unit", "event").orderBy("entity")) == 1).cast("int"))
 
 

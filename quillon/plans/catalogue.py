@@ -17,6 +17,7 @@ from quillon.operators import ordered as O
 from quillon.operators import stats as M
 from quillon.operators import versioned as V
 from quillon.operators import windows as W
+from quillon.operators.pieces import pieces
 from quillon.sources import readers as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,10 +69,17 @@ def facts(t) -> DataFrame:
     return J.star(t("lineitem"), t("orders"), t("customer"), t("nation"), t("part"))
 
 
+def event_facts(t) -> DataFrame:
+    """The same for what is counted by event: an order and its lines are in one of the ``pieces``."""
+    lines, orders = t("lineitem"), t("orders")
+    n = pieces(lines.unionByName(orders, allowMissingColumns=True))
+    return J.star(lines.repartition(n, "l_orderkey"), orders.repartition(n, "o_orderkey"), t("customer"), t("nation"), t("part"))
+
+
 def done(t) -> DataFrame:
-    """Orders with parts of each brand, and how many are completed."""
+    """Orders with parts of each brand, and how many are completed; the lines of an order are in one of the ``pieces``."""
     lines = t("lineitem").select("l_orderkey", "l_partkey").join(t("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    events = lines.select("p_brand", "l_orderkey").distinct().join(t("orders").select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
+    events = lines.select("p_brand", "l_orderkey").repartition(pieces(lines), "l_orderkey").distinct().join(t("orders").select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
     return A.completion(events, "p_brand", "o_orderstatus", ["F"])
 
 
@@ -517,7 +525,7 @@ def _(t):
 
 @query("agg15", f"{BY_CELL}, s AS (SELECT *, total / sum(total) OVER (PARTITION BY unit) AS share FROM t), o AS (SELECT p_brand AS unit, count(*) AS events_total, count(*) FILTER (o_orderstatus = 'F') AS completed FROM (SELECT DISTINCT p_brand, o_orderkey, o_orderstatus FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey) GROUP BY 1) SELECT unit, CAST(sum(n1) AS BIGINT) AS n1, CAST(sum(n2) AS BIGINT) AS n2, CAST(sum(n3) AS BIGINT) AS n3, CAST(sum(total) AS BIGINT) AS total, CAST(sum(points) AS BIGINT) AS points, any_value(c1) AS c1, any_value(c2) AS c2, any_value(c3) AS c3, any_value(c4) AS c4, any_value(c5) AS c5, count(*) AS entities, arg_min(entity, struct_pack(a := -total, b := entity)) AS leader, round(max(share), 6) AS leader_share, round(sum(share * share), 6) AS hhi, any_value(events) AS events, round(any_value(c2) / sum(total), 6) AS focus_share, any_value(events_total) AS events_total, any_value(completed) AS completed, round(any_value(completed) / any_value(events_total), 6) AS share, any_value(completed) < any_value(events_total) AS partial FROM s JOIN (SELECT unit, count(*) FILTER (category = '1-URGENT') AS c1, count(*) FILTER (category = '2-HIGH') AS c2, count(*) FILTER (category = '3-MEDIUM') AS c3, count(*) FILTER (category = '4-NOT SPECIFIED') AS c4, count(*) FILTER (category = '5-LOW') AS c5, count(DISTINCT event) AS events FROM facts GROUP BY 1) USING (unit) JOIN o USING (unit) GROUP BY unit")
 def _(t):
-    out = A.unit_summary(facts(t), PRIORITIES, "2-HIGH", done(t))
+    out = A.unit_summary(event_facts(t), PRIORITIES, "2-HIGH", done(t))
     return out.withColumns({c: F.round(c, 6) for c in ("leader_share", "hhi", "focus_share", "share")})
 
 
