@@ -551,7 +551,7 @@ def _(t):
 
 @query("agg20", f"WITH {FACTS}, e AS (SELECT entity, unit, event, count(*) AS n, count(*) FILTER (tier = 'A') AS n1 FROM facts GROUP BY ALL), c AS (SELECT unit, count(DISTINCT event) AS completed FROM facts GROUP BY 1) SELECT entity, unit, CAST(sum(n1) AS BIGINT) AS n1, CAST(sum(n) AS BIGINT) AS total, count(*) FILTER (n >= 2) AS sweeps, any_value(completed) AS completed, round(sum(n) / any_value(completed), 6) AS event_conversion, round(sum(n1) / any_value(completed), 6) AS first_conversion FROM e JOIN c USING (unit) GROUP BY 1, 2")
 def _(t):
-    return A.conversion(facts(t)).withColumns({c: F.round(c, 6) for c in ("event_conversion", "first_conversion")})
+    return A.conversion(event_facts(t)).withColumns({c: F.round(c, 6) for c in ("event_conversion", "first_conversion")})
 
 
 @query("agg20_completed", f"WITH {FACTS}, o AS (SELECT p_brand AS unit, count(*) AS events_total, count(*) FILTER (o_orderstatus = 'F') AS completed FROM (SELECT DISTINCT p_brand, o_orderkey, o_orderstatus FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey) GROUP BY 1), e AS (SELECT entity, unit, count(*) AS total, count(*) FILTER (tier = 'A') AS n1 FROM facts GROUP BY ALL) SELECT entity, unit, n1, total, completed, events_total, round(completed / events_total, 6) AS completed_share, completed < events_total AS partial, round(total / completed, 6) AS event_conversion, round(n1 / completed, 6) AS first_conversion FROM e JOIN o USING (unit)")
