@@ -740,7 +740,7 @@ def _(t):
 
 @query("win07", f"{BY_CELL}, b AS (SELECT *, coalesce(CAST(sum(points) OVER (PARTITION BY entity ORDER BY points DESC, unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before, sum(points) OVER (PARTITION BY entity) AS a, (total / sum(total) OVER (PARTITION BY entity)) / (sum(total) OVER (PARTITION BY unit) / sum(total) OVER ()) AS rca FROM t), u AS (SELECT unit, count(DISTINCT event) AS unit_events FROM facts GROUP BY 1) SELECT entity, unit, coalesce(n1, 0) AS n1, coalesce(n2, 0) AS n2, coalesce(n3, 0) AS n3, coalesce(total, 0) AS total, coalesce(points, 0) AS points, round(coalesce(points / a, 0), 6) AS points_share, round((before + points) / a, 6) AS cumulative_share, CASE WHEN total IS NULL THEN 'No results' WHEN before * 100 < 60 * a THEN 'Core' WHEN before * 100 < 90 * a THEN 'Secondary' ELSE 'Tail' END AS tier_name, coalesce(total >= 3 AND rca >= 1.5, false) AS specialised, coalesce(total >= 3 AND n1 / total >= 0.5, false) AS first_heavy, unit_events FROM (SELECT DISTINCT entity FROM facts) CROSS JOIN u LEFT JOIN b USING (entity, unit)")
 def _(t):
-    return A.strength_tiers(facts(t)).withColumns({c: F.round(c, 6) for c in ("points_share", "cumulative_share")})
+    return A.strength_tiers(event_facts(t)).withColumns({c: F.round(c, 6) for c in ("points_share", "cumulative_share")})
 
 
 @query("win08", "SELECT c_nationkey, c_custkey, c_acctbal, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer QUALIFY place <= 2")
