@@ -556,7 +556,7 @@ def _(t):
 
 @query("agg20_completed", f"WITH {FACTS}, o AS (SELECT p_brand AS unit, count(*) AS events_total, count(*) FILTER (o_orderstatus = 'F') AS completed FROM (SELECT DISTINCT p_brand, o_orderkey, o_orderstatus FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey) GROUP BY 1), e AS (SELECT entity, unit, count(*) AS total, count(*) FILTER (tier = 'A') AS n1 FROM facts GROUP BY ALL) SELECT entity, unit, n1, total, completed, events_total, round(completed / events_total, 6) AS completed_share, completed < events_total AS partial, round(total / completed, 6) AS event_conversion, round(n1 / completed, 6) AS first_conversion FROM e JOIN o USING (unit)")
 def _(t):
-    out = A.conversion(facts(t), done(t)).withColumns({c: F.round(c, 6) for c in ("completed_share", "event_conversion", "first_conversion")})
+    out = A.conversion(event_facts(t), done(t)).withColumns({c: F.round(c, 6) for c in ("completed_share", "event_conversion", "first_conversion")})
     return out.drop("sweeps")
 
 
