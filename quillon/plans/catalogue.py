@@ -562,7 +562,7 @@ def _(t):
 
 @query("agg21", f"{BY_CELL}, s AS (SELECT unit, total / sum(total) OVER (PARTITION BY unit) AS share FROM t) SELECT unit, round(10000 * sum(share * share), 3) AS hhi, round(max(share), 6) AS leader_share FROM s GROUP BY 1")
 def _(t):
-    return A.unit_summary(facts(t)).select("unit", F.round(F.col("hhi") * 10000, 3).alias("hhi"), F.round("leader_share", 6).alias("leader_share"))
+    return A.unit_summary(event_facts(t)).select("unit", F.round(F.col("hhi") * 10000, 3).alias("hhi"), F.round("leader_share", 6).alias("leader_share"))
 
 
 @query("agg22", f"{BY_CELL} SELECT entity, arg_min(unit, struct_pack(a := -total, b := unit)) AS best, round(max(total) / sum(total), 6) AS dependence FROM t GROUP BY 1")
