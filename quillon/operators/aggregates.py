@@ -229,6 +229,11 @@ def _per_event(facts: DataFrame, more: Sequence[Column] = ()) -> DataFrame:
     return cells.withColumn("opens", (F.row_number().over(Window.partitionBy("unit", "event").orderBy("entity")) == 1).cast("int"))
 
 
+def distinct_events(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct events of each group, counted in pieces like the cells of ``_per_event``."""
+    return facts.repartition(pieces(facts), *keys, "event").groupBy(*keys).agg(F.count_distinct("event").alias("events"))
+
+
 def _summed(df: DataFrame, keys: Sequence[str], also: Sequence[str] = ()) -> DataFrame:
     names = [f"n{k + 1}" for k in range(len(TIERS))]
     out = df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in (*names, "opens", *also)])

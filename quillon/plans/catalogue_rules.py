@@ -14,7 +14,7 @@ from quillon.operators import stats as M
 from quillon.operators import versioned as V
 from quillon.operators import windows as W
 from quillon.plans import requests
-from quillon.plans.catalogue import BY_CELL, BY_ENTITY, FACTS, NULLED, facts, nulled, query
+from quillon.plans.catalogue import BY_CELL, BY_ENTITY, FACTS, NULLED, event_facts, facts, nulled, query
 from quillon.sources import readers as R
 
 # ---- sources ----
@@ -123,7 +123,7 @@ def _(t):
 
 @query("agg23", f"WITH {FACTS} SELECT entity, unit, count(DISTINCT event) AS events FROM facts GROUP BY 1, 2")
 def _(t):
-    return facts(t).groupBy("entity", "unit").agg(F.count_distinct("event").alias("events"))
+    return A.distinct_events(event_facts(t), ["entity", "unit"])
 
 
 @query("agg41", "SELECT o_orderpriority, count(DISTINCT o_custkey) AS found, count(DISTINCT o_custkey) > 100 AS is_over FROM orders GROUP BY 1")

@@ -13,7 +13,7 @@ def dealt(df) -> set[int]:
     return {int(n) for n in re.findall(r"hashpartitioning\([^\n]*?, (\d+)\), REPARTITION_BY_NUM", df._jdf.queryExecution().executedPlan().toString())}
 
 
-@pytest.mark.parametrize("name", ["agg15", "agg20", "win07", "agg20_completed", "agg21"])
+@pytest.mark.parametrize("name", ["agg15", "agg20", "win07", "agg20_completed", "agg21", "agg23"])
 def test_pieces_grow_with_the_files(spark, sf, monkeypatch, name):
     whole = __spark_entry__.queries()[name](spark, sf)
     monkeypatch.setattr(K, "PIECE", 10_000)
