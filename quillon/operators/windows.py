@@ -56,21 +56,21 @@ def average_rank(column: str, by: Sequence[str] = ()) -> Column:
     return ranks + (F.count("*").over(Window.partitionBy(*by, column)) - 1) / 2
 
 
-def fill_slots(df: DataFrame, by: Sequence[str], slot: str, order: Sequence[Column]) -> DataFrame:
-    """Stated slots stay; rows without one take the free numbers of their group in order.
+def fill_slots(df: DataFrame, by: Sequence[str], slot: str, order: Sequence[Column], only: Column | None = None) -> DataFrame:
+    """Stated slots stay; rows without one take the free numbers of their group in order. Rows that are not ``only`` stay as they are and take no slot.
 
     The k-th free number is k and one for each taken number below it; of the taken ones in order, the j-th, t, is below if t - j < k.
+    One pass: the rows of a group are put in order by k and by t - j + 1, and none is computed twice.
     """
-    kind = dict(df.dtypes)[slot]
-    fixed = df.filter(F.col(slot).isNotNull())
-    taken = fixed.select(*by, F.col(slot).alias("t_")).filter("t_ >= 1").distinct()
-    at = F.col("t_") - F.row_number().over(Window.partitionBy(*by).orderBy("t_")) + 1
-    marks = taken.select(*by, at.cast("long").alias("at_"), F.lit(1).alias("taken_"), F.lit(None).cast(df.schema).alias("row_"))
-    open_ = df.filter(F.col(slot).isNull()).withColumn("k_", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    rows = open_.select(*by, F.col("k_").cast("long").alias("at_"), F.lit(0).alias("taken_"), F.struct(*df.columns).alias("row_"))
+    kind, own = dict(df.dtypes)[slot], F.col(slot)
+    sort = F.when(F.lit(True) if only is None else only, F.when(own.isNull(), 0).when(own >= 1, 1))  # open, taken, or beside the numbers
+    w = Window.partitionBy(*by, "sort_").orderBy(slot, *order)
+    taken = (F.col("sort_") == 1) & ~F.lag(slot).over(w).eqNullSafe(own)
+    placed = df.withColumn("sort_", F.coalesce(sort, F.lit(2))).withColumn("taken_", taken.cast("int"))
+    at = F.when(F.col("sort_") == 0, F.row_number().over(w)).otherwise(own - F.sum("taken_").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + 1)
     before = F.sum("taken_").over(Window.partitionBy(*by).orderBy("at_", F.desc("taken_")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    filled = marks.unionByName(rows).withColumn("free_", F.col("at_") + before).filter("taken_ = 0")
-    return fixed.unionByName(filled.select(*[F.col("free_").cast(kind).alias(c) if c == slot else F.col(f"row_.{c}").alias(c) for c in df.columns]))
+    filled = placed.withColumn("at_", at.cast("long")).withColumn("free_", F.col("at_") + before)
+    return filled.withColumn(slot, F.when(F.col("sort_") == 0, F.col("free_").cast(kind)).otherwise(own)).select(*df.columns)
 
 
 def mark_duplicates(df: DataFrame, keys: Sequence[str], row_id: str) -> DataFrame:

@@ -761,7 +761,8 @@ def _(t):
 
 @query("win11", "WITH l AS (SELECT l_orderkey AS k, l_linenumber AS i, l_partkey AS p, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2, 3), z AS (SELECT k, i, p, row_number() OVER (PARTITION BY k ORDER BY i, p) AS slot FROM l) SELECT k, i, p, CAST(slot AS BIGINT) AS slot FROM z")
 def _(t):
-    rows = t("lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i"), F.col("l_partkey").alias("p")).agg(F.min("l_quantity").alias("q"))
+    lines = t("lineitem")
+    rows = lines.repartition(pieces(lines, 2), "l_orderkey").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i"), F.col("l_partkey").alias("p")).agg(F.min("l_quantity").alias("q"))
     rows = rows.select("k", "i", "p", F.row_number().over(Window.partitionBy("k").orderBy("i", "p")).cast("long").alias("n"))
     rows = rows.withColumn("slot", F.when(F.col("n") % 2 == 1, F.col("n"))).drop("n")
     return W.fill_slots(rows, ["k"], "slot", [F.asc("i"), F.asc("p")])

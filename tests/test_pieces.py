@@ -1,11 +1,14 @@
 """A task's share does not grow with the table: what is counted by event is dealt into pieces by the size of the files."""
 
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from quillon.operators import pieces as K
+from quillon.operators import windows as W
 
 
 def dealt(df) -> set[int]:
@@ -13,7 +16,7 @@ def dealt(df) -> set[int]:
     return {int(n) for n in re.findall(r"hashpartitioning\([^\n]*?, (\d+)\), REPARTITION_BY_NUM", df._jdf.queryExecution().executedPlan().toString())}
 
 
-@pytest.mark.parametrize("name", ["agg15", "agg20", "win07", "agg20_completed", "agg21", "agg23"])
+@pytest.mark.parametrize("name", ["agg15", "agg20", "win07", "agg20_completed", "agg21", "agg23", "win11"])
 def test_pieces_grow_with_the_files(spark, sf, monkeypatch, name):
     whole = __spark_entry__.queries()[name](spark, sf)
     monkeypatch.setattr(K, "PIECE", 10_000)
@@ -22,5 +25,24 @@ def test_pieces_grow_with_the_files(spark, sf, monkeypatch, name):
     assert sorted(map(repr, cut.collect())) == sorted(map(repr, whole.collect()))
 
 
+@pytest.mark.parametrize("name", ["win11"])
+def test_events_are_dealt_once(spark, sf, name):
+    plan = __spark_entry__.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+
+
 def test_unknown_sizes_have_no_pieces(spark):
     assert K.pieces(spark.createDataFrame([(1,)], "k int")) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_slots_by_brute_force(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice("abc"), i, rnd.choice([None, None, -1, 0, 1, 2, 2, 3, 7, 9]), rnd.random() < 0.8) for i in range(120)]
+    df = spark.createDataFrame(rows, "k string, i int, slot int, fine boolean")
+    want = {}
+    for key in "abc":
+        mine = [r for r in rows if r[0] == key]
+        taken = {r[2] for r in mine if r[3] and r[2] is not None}
+        free = (n for n in range(1, 999) if n not in taken)
+        want |= {r[1]: r[2] if r[2] is not None or not r[3] else next(free) for r in mine}
+    assert {r["i"]: r["slot"] for r in W.fill_slots(df, ["k"], "slot", [F.asc("i")], F.col("fine")).collect()} == want
