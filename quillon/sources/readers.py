@@ -7,12 +7,13 @@ import io
 import json
 import zipfile
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -386,12 +387,31 @@ def unwrapped(document: Column) -> Column:
     return F.when(F.size(lists) == 1, F.to_json(F.get(lists, 0)))
 
 
+#: Characters that stand in Python objects at a time.
+PORTION = 1_000_000
+
+
+def _by_portions(values: pa.Array, one: Callable[[str], str]) -> pa.Array:
+    """The function over all texts; only a portion of them stands in Python objects, and freed memory goes back to the system."""
+    done, part, size = [], [], 0
+    for value in values:
+        part.append(None if (text := value.as_py()) is None else one(text))
+        size += len(text or "")
+        if size >= PORTION:
+            done.append(pa.array(part, pa.string()))
+            part, size = [], 0
+    out = pa.concat_arrays([*done, pa.array(part, pa.string())])
+    del done, part
+    pa.default_memory_pool().release_unused()
+    return out
+
+
 def encode_payloads(df: DataFrame, column: str) -> DataFrame:
     """The inverse of ``decode_payloads``."""
 
-    @F.pandas_udf("string")
-    def deflate(values: pd.Series) -> pd.Series:
-        return values.map(lambda text: None if text is None else zlib.compress(text.encode()).decode("latin-1"))
+    @F.arrow_udf("string")
+    def deflate(values: pa.Array) -> pa.Array:
+        return _by_portions(values, lambda text: zlib.compress(text.encode()).decode("latin-1"))
 
     return df.withColumn(column, deflate(F.col(column)))
 
@@ -399,17 +419,15 @@ def encode_payloads(df: DataFrame, column: str) -> DataFrame:
 def decode_payloads(df: DataFrame, column: str, most: int = 50 * 1024 * 1024) -> DataFrame:
     """Text whose characters are the bytes of a zlib stream, as the text inside; a bounded size each."""
 
-    @F.pandas_udf("string")
-    def inflate(values: pd.Series) -> pd.Series:
-        def one(text):
-            if text is None:
-                return None
-            stream = zlib.decompressobj()
-            data = stream.decompress(text.encode("latin-1"), most)
-            if stream.unconsumed_tail:
-                raise Refused("the payload is larger than the limit")
-            return data.decode()
-
-        return values.map(one)
+    def one(text: str) -> str:
+        stream = zlib.decompressobj()
+        data = stream.decompress(text.encode("latin-1"), most)
+        if stream.unconsumed_tail:
+            raise Refused("the payload is larger than the limit")
+        return data.decode()
+
+    @F.arrow_udf("string")
+    def inflate(values: pa.Array) -> pa.Array:
+        return _by_portions(values, one)
 
     return df.withColumn(column, inflate(F.col(column)))

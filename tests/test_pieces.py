@@ -2,13 +2,16 @@
 
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from quillon.operators import pieces as K
 from quillon.operators import windows as W
+from quillon.sources import readers as R
 
 
 def dealt(df) -> set[int]:
@@ -16,7 +19,7 @@ def dealt(df) -> set[int]:
     return {int(n) for n in re.findall(r"hashpartitioning\([^\n]*?, (\d+)\), REPARTITION_BY_NUM", df._jdf.queryExecution().executedPlan().toString())}
 
 
-@pytest.mark.parametrize("name", ["agg15", "agg20", "win07", "agg20_completed", "agg21", "agg23", "win11"])
+@pytest.mark.parametrize("name", ["agg15", "agg20", "agg20_completed", "agg21", "agg23", "win07", "win11"])
 def test_pieces_grow_with_the_files(spark, sf, monkeypatch, name):
     whole = __spark_entry__.queries()[name](spark, sf)
     monkeypatch.setattr(K, "PIECE", 10_000)
@@ -46,3 +49,17 @@ def test_slots_by_brute_force(spark):
         free = (n for n in range(1, 999) if n not in taken)
         want |= {r[1]: r[2] if r[2] is not None or not r[3] else next(free) for r in mine}
     assert {r["i"]: r["slot"] for r in W.fill_slots(df, ["k"], "slot", [F.asc("i")], F.col("fine")).collect()} == want
+
+
+def test_payloads_by_portions(spark):
+    texts = [None, "", "h\u00e9 \U0001f642", "long " * 300_000, "x"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    packed = R.encode_payloads(df, "text")
+    assert {r["k"]: r["text"] for r in R.decode_payloads(packed, "text").collect()} == dict(enumerate(texts))
+    many = pa.array([f"{k} " * 20_000 for k in range(100)])
+    tracemalloc.start()
+    try:
+        R._by_portions(many, str.upper)
+        assert tracemalloc.get_traced_memory()[1] < 6 * R.PORTION
+    finally:
+        tracemalloc.stop()
