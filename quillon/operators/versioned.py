@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.pieces import pieces
+
 
 def validity(claims: DataFrame, slot: Sequence[str], order: Sequence[str], value: str, at: str, detail: str | None = None, day: str | None = None) -> DataFrame:
     """Versions of each slot: ``valid_from, valid_to, is_current, action`` (created, reallocated or corrected) with value, detail and day.
@@ -269,18 +271,18 @@ def validated(df: DataFrame, event: str, tier: str, slot: str, entity: str, kind
     DUPLICATE (all of event, tier, slot and entity as in an earlier row); KIND_CONFLICT (not the kind of the event's first row);
     SLOT_CONFLICT (a stated slot that an earlier row has; rows without one take the free slots in order); TOO_MANY (beyond slot 1,
     unless it is slot 2 and both are ties, or ``double`` allows two in the last tier); TEAM_TWICE (an entity's second row in an
-    event of kind ``team``, by tier and slot).
+    event of kind ``team``, by tier and slot). The rows of an event are in one of the ``pieces`` from the first rule to the last.
     """
     from quillon.operators.windows import fill_slots
 
     first = Window.partitionBy(event, tier, slot, entity).orderBy(row)
-    out = df.withColumn("reason", F.when(F.row_number().over(first) > 1, "DUPLICATE"))
+    out = df.repartition(pieces(df, 3), event).withColumn("reason", F.when(F.row_number().over(first) > 1, "DUPLICATE"))
     fine = F.col("reason").isNull()
     kinds = Window.partitionBy(event, fine).orderBy(row)
     out = out.withColumn("reason", F.coalesce("reason", F.when(~F.col(kind).eqNullSafe(F.first(kind).over(kinds)), "KIND_CONFLICT")))
     slots = Window.partitionBy(event, tier, slot, fine).orderBy(row)
     out = out.withColumn("reason", F.coalesce("reason", F.when(F.col(slot).isNotNull() & (F.row_number().over(slots) > 1), "SLOT_CONFLICT")))
-    out = fill_slots(out.filter(fine), [event, tier], slot, [F.col(row).asc()]).unionByName(out.filter(~fine))
+    out = fill_slots(out, [event, tier], slot, [F.col(row).asc()], fine)
     head = F.max(F.when(F.col(slot) == 1, F.col(tie))).over(Window.partitionBy(event, tier, fine))
     second = (F.col(slot) == 2) & (F.coalesce(F.col(tie) & head, F.lit(False)) | ((F.col(tier) == tiers[-1]) & (F.lit(False) if double is None else double)))
     out = out.withColumn("reason", F.coalesce("reason", F.when((F.col(slot) != 1) & ~second, "TOO_MANY")))

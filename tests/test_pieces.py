@@ -19,7 +19,7 @@ def dealt(df) -> set[int]:
     return {int(n) for n in re.findall(r"hashpartitioning\([^\n]*?, (\d+)\), REPARTITION_BY_NUM", df._jdf.queryExecution().executedPlan().toString())}
 
 
-@pytest.mark.parametrize("name", ["agg15", "agg20", "agg20_completed", "agg21", "agg23", "win07", "win11"])
+@pytest.mark.parametrize("name", ["agg15", "agg20", "agg20_completed", "agg21", "agg23", "win07", "win11", "sta06"])
 def test_pieces_grow_with_the_files(spark, sf, monkeypatch, name):
     whole = __spark_entry__.queries()[name](spark, sf)
     monkeypatch.setattr(K, "PIECE", 10_000)
@@ -28,7 +28,7 @@ def test_pieces_grow_with_the_files(spark, sf, monkeypatch, name):
     assert sorted(map(repr, cut.collect())) == sorted(map(repr, whole.collect()))
 
 
-@pytest.mark.parametrize("name", ["win11"])
+@pytest.mark.parametrize("name", ["win11", "sta06"])
 def test_events_are_dealt_once(spark, sf, name):
     plan = __spark_entry__.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1
