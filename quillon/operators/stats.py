@@ -176,7 +176,7 @@ def auc(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def permutation_importance(model, df: DataFrame, label: str, columns: Sequence[str], key: str, seed: int = 0) -> dict[str, float]:
-    """How much worse the error gets if a column's values are dealt anew among the rows."""
+    """How much worse the error gets if a column's values are dealt anew among the rows; they are as many as the rows, so they are merged and never sent whole."""
     from pyspark.sql import Window
 
     base = regression_scores(model.transform(df), label, "prediction").first()["rmse"]
@@ -185,7 +185,7 @@ def permutation_importance(model, df: DataFrame, label: str, columns: Sequence[s
         buckets = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(64))
         left = df.drop(c).withColumn("b_", buckets).withColumn("i_", F.row_number().over(Window.partitionBy("b_").orderBy(key)))
         right = df.select(c, buckets.alias("b_"), F.row_number().over(Window.partitionBy(buckets).orderBy(F.xxhash64(F.col(key), F.lit(seed + 1)))).alias("i_"))
-        out[c] = regression_scores(model.transform(left.join(right, ["b_", "i_"])), label, "prediction").first()["rmse"] - base
+        out[c] = regression_scores(model.transform(left.join(right.hint("merge"), ["b_", "i_"])), label, "prediction").first()["rmse"] - base
     return out
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from quillon.operators import pieces as K
+from quillon.operators import stats as M
 from quillon.operators import windows as W
 from quillon.sources import readers as R
 
@@ -51,6 +52,23 @@ def test_slots_by_brute_force(spark):
     assert {r["i"]: r["slot"] for r in W.fill_slots(df, ["k"], "slot", [F.asc("i")], F.col("fine")).collect()} == want
 
 
+def test_importance_sends_no_table_to_all_tasks(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+
+    points, plans, own = spark.range(200).selectExpr("id AS k", "double(id % 17) AS x", "double(id % 17 * 3 + id % 2) AS y"), [], M.regression_scores
+
+    def seen(df, *names):
+        out = own(df, *names)
+        out.collect()
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    model = Pipeline(stages=[*M.preprocess(["x"], []), M.estimators("regression", "y")["linear"]]).fit(points)
+    monkeypatch.setattr(M, "regression_scores", seen)
+    assert M.permutation_importance(model, points, "y", ["x"], "k")["x"] > 1
+    assert "SortMergeJoin" in plans[-1] and not any("BroadcastHashJoin" in p for p in plans)
+
+
 def test_payloads_by_portions(spark):
     texts = [None, "", "h\u00e9 \U0001f642", "long " * 300_000, "x"] * 3
     df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
