@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.ordered import average_ranks, counted, quantiles
+from quillon.operators.pieces import pieces
 
 
 LEAST_ROWS = 20
@@ -132,7 +133,8 @@ def compare_models(df: DataFrame, key: str, label: str, numeric: Sequence[str],
     labelled = df.filter(F.col(label).isNotNull())
     if labelled.limit(LEAST_ROWS).count() < LEAST_ROWS:
         raise ValueError(f"fewer than {LEAST_ROWS} rows have a label")
-    marked = split_by_hash(labelled, key, 20, seed)
+    # what a forest keeps of a row is far larger than its part of the file, so the rows are dealt into many pieces; in order, so that a seed means the same rows
+    marked = split_by_hash(labelled, key, 20, seed).repartition(pieces(df, 20), key).sortWithinPartitions(key)
     train, test = marked.filter(~F.col("is_test")), marked.filter("is_test")
     for c in categorical:
         top = capped_values(train, c)

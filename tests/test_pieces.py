@@ -52,6 +52,19 @@ def test_slots_by_brute_force(spark):
     assert {r["i"]: r["slot"] for r in W.fill_slots(df, ["k"], "slot", [F.asc("i")], F.col("fine")).collect()} == want
 
 
+def test_models_are_fitted_in_pieces(spark, sf, monkeypatch):
+    parts, own = [], M.regression_scores
+
+    def seen(df, *names):
+        parts.append(df.rdd.getNumPartitions())
+        return own(df, *names)
+
+    monkeypatch.setattr(M, "regression_scores", seen)
+    monkeypatch.setattr(K, "PIECE", 10_000)
+    M.compare_models(spark.read.parquet(f"{sf}/part.parquet"), "p_partkey", "p_retailprice", ["p_size"], names=("linear",))
+    assert min(parts) > 1
+
+
 def test_importance_sends_no_table_to_all_tasks(spark, monkeypatch):
     from pyspark.ml import Pipeline
 
